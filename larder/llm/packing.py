@@ -32,7 +32,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_id
 
     Each piece is a whole sequence of its bucket (``bucket`` is the exponent of its length), so no
     sequence crosses documents and none needs padding.  One pass over the input, no shuffle; a
-    task's memory is that of a few hundred documents.  Sequence ids are unique and come from the
+    task's memory is that of a few thousand documents.  Sequence ids are unique and come from the
     input partition and the place in it, so a task that runs again gives the same ids.
 
     A null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed
@@ -42,12 +42,12 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_id
         raise ValueError("limit must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder("byte", path).encode, np.array([end_id], dtype="<u4").tobytes()
+        tool, end = encoder("byte", path), np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4096):
             columns: list[list] = [[] for _ in range(9)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), tool.encode_all(batch.column(1))):
+                ids = found.tobytes() + end
                 total, start = len(ids) // 4, 0
                 for length in binary_lengths(total, limit):
                     piece = ids[4 * start : 4 * (start + length)]

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .automaton import op8_bpe_automaton
+from .language import op9_language_id
 from .packing import op2_packing
 from .token_files import op4_token_files
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_token_files": op4_token_files,
+    "op7_toxicity": op7_toxicity,
+    "op8_bpe_automaton": op8_bpe_automaton,
+    "op9_language_id": op9_language_id,
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.

@@ -142,10 +142,9 @@ def write_shards(docs: DataFrame, root: str, path: str, end_id: int = 2, shards:
         name, out = f"{base}/shard-{part:05d}-{uuid.uuid4().hex}", None
         ids: list[int | None] = []
         lengths: list[int] = []
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4096):
             out = out or files.open_output_stream(name + ".ids")
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(tool.encode(text or ""), "<u4")
+            for doc_id, got in zip(batch.column(0).to_pylist(), tool.encode_all(batch.column(1))):
                 out.write(np.append(got, end_id).astype(width).tobytes())
                 ids.append(doc_id)
                 lengths.append(len(got) + 1)

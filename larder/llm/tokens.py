@@ -1,56 +1,111 @@
 """Exact, cached tokenization with the ``tokenizers`` library.
 
-Both encoders give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.  A text is cut
-where the tokenizer's own pre-tokenizer always cuts, every distinct piece goes through the library
-once per worker, and texts outside the simple alphabet of those cuts go through the library whole.
+Both encoders give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.  A batch of
+texts is cut by Arrow where the tokenizer's own pre-tokenizer cuts, each distinct piece of the batch
+is looked up once and goes through the library if it is new to the worker, and the ids of the batch
+are gathered by array operations.  Texts outside the alphabet of those cuts go through the library
+whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-#: Pieces made of these characters only are normal forms of themselves, apart from case.
-_LATIN = re.compile(r"[\x21-\x7e¡-ɏ]+\Z")
-
-
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def pieces_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of lists of strings: a code for each string, the lists' bounds, and the strings by code."""
+    coded = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.indices.to_numpy(zero_copy_only=False), bounds - bounds[0], coded.dictionary.to_pylist()
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words between ASCII white space: codes, bounds by text, words by code; no words in blank texts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    codes, bounds, words = pieces_of(lists)
+    if "" in words:  # what a blank text is split into
+        keep = codes != words.index("")
+        bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
+        codes = codes[keep]
+    return codes, bounds, words
+
+
+def gathered(codes: np.ndarray, ids_by_code: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a sequence of codes, and the place before each code's ids (and after the last)."""
+    flat = np.frombuffer(b"".join(ids_by_code), "<u4")
+    sizes = np.fromiter(map(len, ids_by_code), np.int64, len(ids_by_code)) // 4
+    starts = np.cumsum(sizes) - sizes
+    places = np.concatenate(([0], np.cumsum(sizes[codes])))
+    shift = starts[codes] - places[:-1]
+    return flat[np.arange(places[-1]) + np.repeat(shift, sizes[codes])], places
+
+
 class _Cached:
-    """A bounded cache from pieces to their ids as little-endian unsigned 32-bit integers."""
+    """A bounded cache from pre-split pieces to their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    #: Texts that are cut by Arrow hold only these characters: Latin letters, digits and marks,
+    #: general punctuation, currency signs.  They are their own normal forms, apart from case.
+    OTHER = r"[^\n\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20b5}]|<\|"
+
+    def __init__(self, path: str, limit: int = 600_000):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
         self.limit = limit
-        self.pieces: dict[str, bytes] = {}
-
-    def by_library(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _store(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw, keep = ids.tobytes(), self.pieces
-        for piece, a, b in zip(pieces, (4 * starts).tolist(), (4 * ends).tolist()):
-            keep[piece] = raw[a:b]
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def by_library(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, from the cache or learnt now."""
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            if len(self.pieces) > self.limit:
+                self.pieces = {"": b""}
+                found = list(map(self.pieces.get, pieces))
+            new = [p for p, ids in zip(pieces, found) if ids is None]
+            self.pieces.update(zip(new, self.learnt(new)))
+            found = list(map(self.pieces.__getitem__, pieces))
+        return found
+
+    def learnt(self, pieces: list[str]) -> list[bytes]:
+        """The ids of new pieces: one call of the library for all, cut where each piece ends."""
+        ids, starts, ends = self.at_once(pieces)
+        if len(starts) != len(pieces):
+            return [np.array(self.bare.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in pieces]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        texts = pc.fill_null(texts, "")
+        other = pc.match_substring_regex(texts, self.OTHER).to_numpy(zero_copy_only=False)
+        codes, bounds, pieces = pieces_of(self.cut(texts.filter(pa.array(~other))))
+        ids, places = gathered(codes, self.known(pieces))
+        cuts = places[bounds].tolist()
+        by_pieces = iter([ids[a:b] for a, b in zip(cuts, cuts[1:])])
+        alone = iter([self.by_library(t) for t in texts.filter(pa.array(other)).to_pylist()])
+        return [next(alone if w else by_pieces) for w in other.tolist()]
 
 
 class WordEncoder(_Cached):
-    """BPE with word ends: white space separates words and is dropped."""
+    """BPE with word ends: lower case, white space separates words and is dropped."""
 
-    #: The split pattern of the public tokenizer file, and what needs the whole text.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    ODD = re.compile(r"[\x1c-\x1f]|<\|")
+    #: Fixed value: what the split pattern of the public tokenizer file sets apart inside words.
+    APART = r"('(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+|\p{N})"
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 600_000):
         super().__init__(path, limit)
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
@@ -59,98 +114,45 @@ class WordEncoder(_Cached):
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends_word[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.by_library(text)
-        words, known = text.split(), self.words
-        if new := {w for w in words if w not in known}:
-            if len(known) > self.limit:
-                known.clear()
-                self.pieces.clear()
-                new = set(words)
-            self._learn(new)
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        split, fresh = {}, {}
-        for w in words:
-            if _LATIN.match(w):
-                split[w] = parts = self.PATTERN.findall(w.lower())
-                fresh.update((p, None) for p in parts if p not in self.pieces)
-            else:
-                self.words[w] = self.by_library(w)
-        if fresh:
-            pieces = list(fresh)
-            ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(pieces):
-                self._store(pieces, ids, np.concatenate(([0], ends[:-1])), ends)
-            else:
-                self.pieces.update((p, self.by_library(p)) for p in pieces)
-        for w, parts in split.items():
-            self.words[w] = b"".join(map(self.pieces.__getitem__, parts))
+
+    @classmethod
+    def cut(cls, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), cls.APART, r" \1 "))
+
+    def at_once(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return ids, np.concatenate(([0], ends[:-1])), ends
 
 
 class ByteEncoder(_Cached):
-    """Byte-level BPE: a word keeps the space before it."""
+    """Byte-level BPE: a word keeps the blank before it."""
 
-    #: The split pattern of byte-level BPE, and what needs the whole text.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]|<\|")
-    LOOSE = re.compile(r"[ \n][ \n]|\A[ \n]|[ \n]\Z")
-    CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+    #: Fixed value: what the split pattern of byte-level BPE sets apart from letters.
+    APART = r"('(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}\x01]+| ?\p{N}+)"
+    #: White space in runs or at a text's ends needs the whole text.
+    OTHER = _Cached.OTHER + r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 600_000):
         super().__init__(path, limit)
         self.bare = Tokenizer.from_file(path)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.newline = self.whole.encode("\n", add_special_tokens=False).ids[0]
-        self.spaced: dict[str, bytes] = {}  # by the word without the space before it
-        self.chunks: dict[str, bytes] = {}  # by the whole chunk
-
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.by_library(text)
-        if not text:
-            return b""
-        if len(self.spaced) + len(self.chunks) > self.limit:
-            for cache in (self.spaced, self.chunks, self.pieces):
-                cache.clear()
-        if self.LOOSE.search(text):
-            return self._join(self.CHUNK.findall(text), self.chunks, "")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._join([first], self.chunks, "") + self._join(rest, self.spaced, " ")
-
-    def _join(self, chunks: list[str], known: dict[str, bytes], lead: str) -> bytes:
-        if new := {c for c in chunks if c not in known}:
-            split, fresh = {}, {}
-            for c in new:
-                full = c if c[:1] == "\n" else lead + c
-                if _LATIN.match(c.strip(" \n")):
-                    split[c] = parts = self.PATTERN.findall(full)
-                    fresh.update((p, None) for p in parts if p not in self.pieces)
-                else:
-                    known[c] = self.by_library(full)
-            self._learn(list(fresh))
-            for c, parts in split.items():
-                known[c] = b"".join(map(self.pieces.__getitem__, parts))
-        return b"".join(map(known.__getitem__, chunks))
-
-    def _learn(self, pieces: list[str]) -> None:
-        for p in pieces:
-            if "\n" in p:
-                self.pieces[p] = self.by_library(p)
-        pieces = [p for p in pieces if "\n" not in p]
-        if not pieces:
-            return
+        self.newline = self.by_library("\n")[0]
+
+    @classmethod
+    def cut(cls, texts: pa.Array) -> pa.ListArray:
+        spaced = pc.replace_substring(pc.replace_substring(texts, " ", "\x01 "), "\n", "\x01\n\x01")
+        apart = pc.replace_substring_regex(spaced, cls.APART, "\x01\\1\x01")
+        return pc.split_pattern(pc.replace_substring(apart, "\x01\x01", "\x01"), "\x01")
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        self.pieces.setdefault("\n", np.array([self.newline], "<u4").tobytes())
+        return super().known(pieces)
+
+    def at_once(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.array(self.bare.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.newline)
-        if len(cuts) == len(pieces) - 1:
-            self._store(pieces, ids, np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)])))
-        else:
-            self.pieces.update((p, self.by_library(p)) for p in pieces)
+        return ids, np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)]))
 
 
 _encoders: dict[tuple[str, str], _Cached] = {}
