@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from .automaton import op8_bpe_automaton
+from .fingerprints import op6_fingerprints
 from .language import op9_language_id
 from .packing import op2_packing
+from .sharding import ORACLE as SHARDING_SQL
+from .sharding import op10_sharding
 from .token_files import op4_token_files
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_token_files": op4_token_files,
+    "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_language_id": op9_language_id,
+    "op10_sharding": op10_sharding,
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_sharding": SHARDING_SQL,
+}
