@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .automaton import op8_bpe_automaton
 from .fingerprints import op6_fingerprints
+from .jaccard import op3_jaccard_join
 from .language import op9_language_id
 from .packing import op2_packing
 from .sharding import ORACLE as SHARDING_SQL
@@ -13,6 +14,7 @@ from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
