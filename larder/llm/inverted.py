@@ -23,8 +23,9 @@ from .tokens import words_of
 
 #: Windows and documents of a chunk at most (but a chunk holds one document at least).
 CHUNK_WINDOWS, CHUNK_DOCS = 1_500_000, 60_000
-#: Hash bits that a block stores besides its range.
-LOW_BITS = 48
+#: Bytes of a hash that a block stores besides its range, where windows are to be told apart
+#: exactly; fewer serve where a chance match does no harm.
+EXACT_BYTES = 6
 BLOCKS = "range long, chunk long, n int, docs binary, tokens binary, owners binary"
 _U = np.uint64
 
@@ -54,20 +55,25 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """The low 48 bits of ascending tokens, one plane a byte, highest first: high planes compress."""
-    planes = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 5::-1]
+def _packed(tokens: np.ndarray, low: int) -> bytes:
+    """The low bytes of ascending tokens, one plane a byte, highest first: high planes compress."""
+    planes = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, low - 1 :: -1]
     return np.ascontiguousarray(planes.T).tobytes()
 
 
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, 5::-1] = np.frombuffer(raw, np.uint8).reshape(6, n).T
+    out, low = np.zeros((n, 8), np.uint8), len(raw) // max(1, n)
+    out[:, low - 1 :: -1] = np.frombuffer(raw, np.uint8).reshape(low, n).T
     return out.reshape(-1).view("<u8")
 
 
 def range_bits(df: DataFrame) -> int:
-    return min(64 - LOW_BITS, max(0, (shuffle_width(df.sparkSession) - 1).bit_length()))
+    return min(15, max(0, (shuffle_width(df.sparkSession) - 1).bit_length()))
+
+
+def short(hashes: np.ndarray, bits: int, low: int = EXACT_BYTES) -> np.ndarray:
+    """What is left of hashes in blocks: the bits of the range and those stored."""
+    return hashes >> _U(64 - 8 * low - bits)
 
 
 class _Chunk:
@@ -76,34 +82,32 @@ class _Chunk:
     def __init__(self, number: int):
         self.number, self.rows, self.tokens, self.owners, self.windows = number, [], [], [], 0
 
-    def add(self, row: tuple, tokens: np.ndarray, owners: np.ndarray | None = None) -> None:
-        """owners: a number for each token instead of that of its document."""
+    def add(self, row: tuple, tokens: np.ndarray) -> None:
         self.tokens.append(tokens)
-        self.owners.append(np.full(len(tokens), len(self.rows), np.uint32) if owners is None else owners)
+        self.owners.append(np.full(len(tokens), len(self.rows), np.uint16))
         self.rows.append(row)
         self.windows += len(tokens)
 
     def full(self) -> bool:
         return self.windows >= CHUNK_WINDOWS or len(self.rows) >= CHUNK_DOCS
 
-    def blocks(self, bits: int) -> pa.RecordBatch:
-        tokens = (np.concatenate(self.tokens) if self.tokens else np.zeros(0, _U)) >> _U(64 - LOW_BITS - bits)
-        owners = np.concatenate(self.owners).astype("<u4") if self.owners else np.zeros(0, "<u4")
+    def blocks(self, bits: int, low: int) -> pa.RecordBatch:
+        tokens = short(np.concatenate(self.tokens) if self.tokens else np.zeros(0, _U), bits, low)
+        owners = np.concatenate(self.owners) if self.owners else np.zeros(0, np.uint16)
         order = np.argsort(tokens)
         tokens, owners = tokens[order], owners[order]
-        cuts = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=_U) << _U(LOW_BITS)) if bits < 16 else np.append(np.searchsorted(tokens, np.arange(1 << bits, dtype=_U) << _U(LOW_BITS)), len(tokens))
+        cuts = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=_U) << _U(8 * low))
         docs = np.array(self.rows, dtype="<i8").tobytes()
         # The chunk's own row goes to a range of its own, below 0, and through it back to the chunk.
         rows = [(-1 - self.number % (1 << bits), self.number, len(self.rows), docs, None, None)]
-        wide = "<u4" if len(owners) and owners.max() >= 1 << 16 else "<u2"
         for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
             if a < b:
-                rows.append((r, self.number, b - a, None, _packed(tokens[a:b]), owners[a:b].astype(wide).tobytes()))
+                rows.append((r, self.number, b - a, None, _packed(tokens[a:b], low), owners[a:b].astype("<u2").tobytes()))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["range", "chunk", "n", "docs", "tokens", "owners"])
 
 
-def blocks_of(docs: DataFrame, fill: Callable[[pa.RecordBatch, Callable[[], _Chunk]], None]) -> DataFrame:
+def blocks_of(docs: DataFrame, fill: Callable[[pa.RecordBatch, _Chunk], None], low: int = EXACT_BYTES) -> DataFrame:
     """Blocks by range of the windows that ``fill`` adds to chunks for each batch of documents."""
     bits = range_bits(docs)
 
@@ -113,28 +117,33 @@ def blocks_of(docs: DataFrame, fill: Callable[[pa.RecordBatch, Callable[[], _Chu
         for batch in small_batches(batches, 2048):
             fill(batch, chunk)
             if chunk.full():
-                yield chunk.blocks(bits)
+                yield chunk.blocks(bits, low)
                 count += 1
                 chunk = _Chunk(part << 24 | count)
         if chunk.rows:
-            yield chunk.blocks(bits)
+            yield chunk.blocks(bits, low)
 
     return docs.mapInArrow(run, BLOCKS)
 
 
-def answers(blocks: DataFrame, least: int = 2) -> DataFrame:
-    """For each chunk, its windows that at least ``least`` owners (all chunks counted) have.
+ANSWERS = "chunk long, range long, n int, docs binary, tokens binary, owners binary, counts binary"
+
+
+def answers(blocks: DataFrame, least: int = 2, low: int = EXACT_BYTES, with_counts: bool = True) -> DataFrame:
+    """For each chunk, its windows that occur at least ``least`` times in all chunks together.
 
-    Rows as in ``blocks_of`` but with 64-bit tokens and, after the owners, the windows' counts.
+    Rows as in ``blocks_of``, and the windows' counts up to 65535.
     """
+    names = ["chunk", "range", "n", "docs", "tokens", "owners", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
         if r < 0:
-            return table.select(["chunk", "n", "docs", "tokens", "owners"]).append_column("counts", pa.nulls(table.num_rows, pa.binary()))
+            return table.append_column("counts", pa.nulls(table.num_rows, pa.binary())).select(names)
         sizes = table["n"].to_numpy()
         tokens = np.concatenate([_unpacked(raw, n) for raw, n in zip(table["tokens"].to_pylist(), sizes.tolist())])
-        owners = np.concatenate([np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4") for raw, n in zip(table["owners"].to_pylist(), sizes.tolist())])
+        owners = np.concatenate([np.frombuffer(raw, "<u2") for raw in table["owners"].to_pylist()])
         chunks = table["chunk"].to_numpy()
         of = np.repeat(np.arange(len(chunks)), sizes)
         order = np.argsort(tokens, kind="stable")
@@ -145,31 +154,29 @@ def answers(blocks: DataFrame, least: int = 2) -> DataFrame:
         keep = count >= least
         at, count = order[keep], count[keep]
         by_chunk = np.argsort(of[at], kind="stable")
-        at, count = at[by_chunk], count[by_chunk]
+        at, count = at[by_chunk], np.minimum(count[by_chunk], 0xFFFF).astype("<u2")
         cuts = np.searchsorted(of[at], np.arange(len(chunks) + 1)).tolist()
         rows = []
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                found = tokens[at[a:b]] | _U(r << LOW_BITS)
-                rows.append((int(chunks[k]), b - a, None, found.astype("<u8").tobytes(), owners[at[a:b]].tobytes(), np.minimum(count[a:b], 0xFFFFFFFF).astype("<u4").tobytes()))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "n", "docs", "tokens", "owners", "counts"])
+                rows.append((int(chunks[k]), r, b - a, None, _packed(tokens[at[a:b]], low), owners[at[a:b]].tobytes(), count[a:b].tobytes() if with_counts else None))
+        columns = list(zip(*rows)) or [()] * 7
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return blocks.groupBy("range").applyInArrow(merge, "chunk long, n int, docs binary, tokens binary, owners binary, counts binary")
+    return blocks.groupBy("range").applyInArrow(merge, ANSWERS)
 
 
-def chunk_answer(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunk_answer(table: pa.Table, columns: int, low: int = EXACT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one chunk: its documents' rows, and tokens, owners and counts of its answered windows."""
     docs, tokens, owners, counts = np.zeros((0, columns), np.int64), [], [], []
-    for row in table.select(["docs", "tokens", "owners", "counts"]).to_pylist():
+    for row in table.select(["range", "n", "docs", "tokens", "owners", "counts"]).to_pylist():
         if row["docs"] is not None:
             docs = np.frombuffer(row["docs"], "<i8").reshape(-1, columns)
         else:
-            tokens.append(np.frombuffer(row["tokens"], "<u8"))
-            owners.append(np.frombuffer(row["owners"], "<u4"))
-            counts.append(np.frombuffer(row["counts"], "<u4"))
-    joined = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((tokens, "<u8"), (owners, "<u4"), (counts, "<u4"))]
+            tokens.append(_unpacked(row["tokens"], row["n"]) | _U(row["range"] << 8 * low))
+            owners.append(np.frombuffer(row["owners"], "<u2"))
+            counts.append(np.frombuffer(row["counts"] or b"", "<u2"))
+    joined = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((tokens, "<u8"), (owners, "<u2"), (counts, "<u2"))]
     return docs, *joined
 
 

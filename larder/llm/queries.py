@@ -9,10 +9,12 @@ from .language import op9_language_id
 from .packing import op2_packing
 from .sharding import ORACLE as SHARDING_SQL
 from .sharding import op10_sharding
+from .substring_dedup import op1_substring_dedup
 from .token_files import op4_token_files
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
