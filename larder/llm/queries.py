@@ -6,6 +6,7 @@ from .automaton import op8_bpe_automaton
 from .fingerprints import op6_fingerprints
 from .jaccard import op3_jaccard_join
 from .language import op9_language_id
+from .neighbours import op5_neighbours
 from .packing import op2_packing
 from .sharding import ORACLE as SHARDING_SQL
 from .sharding import op10_sharding
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
+    "op5_neighbours": op5_neighbours,
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_bpe_automaton": op8_bpe_automaton,
