@@ -241,5 +241,33 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Data
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents with their columns, where repeated words are gone from ``text``.
+
+    A text that loses words becomes its kept words joined by one space, and ``n_chars``, if there is
+    such a column, its length; other texts stay as they are.
+    """
+    texts, found = repeated_windows(docs, window)
+    rows = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_h": F.xxhash64("text")})
+    found = found.select(F.col("doc_id").alias("_key"), F.col("h").alias("_h"), F.col("found").alias("_found"))
+    joined = rows.join(found, ["_key", "_h"], "left").drop("_h")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            keys, texts_, runs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_key", "text", "_found"))
+            new = []
+            for key, text, found_ in zip(keys, texts_, runs):
+                new.append(b" ".join(_kept(key, text, found_, window)[1]).decode() if found_ and text else text)
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+            columns["text"] = pa.array(new, pa.string())
+            if "n_chars" in columns:
+                sizes = [len(t or "") if f else n for t, f, n in zip(new, runs, columns["n_chars"].to_pylist())]
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir), with_text=False).drop("kept_text")
