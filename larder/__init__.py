@@ -1,0 +1 @@
+"""Larder: price-archive analytics on Spark DataFrames."""
