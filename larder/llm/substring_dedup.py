@@ -8,18 +8,21 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_width, small_batches, stage
+from .common import documents, small_batches
 from .fm_index import FmIndex
 from .inverted import answers, blocks_of, chunk_answer, mixed, range_bits, short, window_hashes, word_hashes
 
 WINDOW = 13
-#: Words of the grams whose two smallest hashes give a window its key.
-GRAM = 3
-#: Windows of a segment at most, words of an index shard about.
-SEGMENT, SHARD_WORDS = 48, 400_000
+#: Words of the grams whose smallest hash gives a window its key.
+GRAM = 5
+#: Windows of a segment at most, and windows of a chunk of segments about.
+SEGMENT, CHUNK_WINDOWS = 48, 400_000
+#: Keys that occur more often than this give each window a segment and a shard of its own.
+HOT_KEY = 1000
 #: Hash bytes of the keys' inverted index: a chance match only sends a window to the index in vain.
 KEY_BYTES = 4
 _U = np.uint64
@@ -29,25 +32,21 @@ _NO_ID = np.iinfo(np.int64).max
 def window_keys(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Key of each whole window and the word at which it starts; a window's key depends on it alone.
 
-    The key joins the two smallest hashes of the window's three-word grams.  Neighbouring windows
-    often share it, so a text has about a key every four words; equal windows have equal keys.
+    The key is the smallest hash of the window's five-word grams.  Neighbouring windows often share
+    it, so a text has about a key every five words; equal windows have equal keys.
     """
     grams = window_hashes(words, GRAM)
     n = max(0, len(words) - window + 1)
-    least, second = np.full((2, n), np.iinfo(_U).max, _U)
+    least = np.full(n, np.iinfo(_U).max, _U)
     for k in range(window - GRAM + 1):
-        x = grams[k : k + n]
-        np.minimum(second, np.maximum(least, x), out=second)
-        np.minimum(least, x, out=least)
-    with np.errstate(over="ignore"):
-        keys = mixed(least * _U(0x9E3779B97F4A7C15) + second)
+        np.minimum(least, grams[k : k + n], out=least)
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     inside = np.flatnonzero(of[:n] == of[window - 1 :]) if n else np.zeros(0, np.int64)
-    return keys[inside], inside
+    return mixed(least[inside]), inside
 
 
 def _shared_keys(docs: DataFrame, window: int) -> DataFrame:
-    """For each document with any: its keys (short form, ascending) that occur elsewhere too."""
+    """For each document with any: its keys (short form, ascending) that occur elsewhere, and how often."""
 
     def fill(batch: pa.RecordBatch, chunk) -> None:
         words, bounds = word_hashes(batch.column(2), lower=False)
@@ -58,154 +57,236 @@ def _shared_keys(docs: DataFrame, window: int) -> DataFrame:
             chunk.add((doc_id, h), own[np.concatenate(([True], own[1:] != own[:-1]))] if b > a else own)
 
     def by_document(key: tuple, table: pa.Table) -> pa.Table:
-        rows, tokens, owners, _ = chunk_answer(table, 2, KEY_BYTES)
+        rows, tokens, owners, counts = chunk_answer(table, 2, KEY_BYTES)
         order = np.lexsort((tokens, owners))
-        tokens, cuts = tokens[order], np.searchsorted(owners[order], np.arange(len(rows) + 1)).tolist()
-        out = [(doc_id, h, np.unique(tokens[a:b]).tobytes()) for (doc_id, h), a, b in zip(rows.tolist(), cuts, cuts[1:]) if b > a]
-        columns = list(zip(*out)) or [()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "h", "keys"])
-
-    blocks = blocks_of(docs, fill, KEY_BYTES)
-    found = answers(blocks, low=KEY_BYTES, with_counts=False)
-    return found.groupBy("chunk").applyInArrow(by_document, "doc_id long, h long, keys binary").groupBy("doc_id", "h").agg(F.first("keys").alias("keys"))
-
-
-def _segments(texts: DataFrame, bits: int, window: int) -> DataFrame:
-    """Runs of windows with one shared key, as places in documents and as contents.
-
-    A place has doc_id, h, start and segment; a content, once for each batch that has it, the
-    segment's key, smallest doc_id and words (32-bit hashes).
-    """
-    schema = "segment long, windows int, doc_id long, h long, start int, key long, words binary"
+        tokens, counts, owners = tokens[order], counts[order], owners[order]
+        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1]))) if len(tokens) else np.zeros(0, bool)
+        tokens, counts, owners = tokens[new], counts[new], owners[new]
+        cuts = np.searchsorted(owners, np.arange(len(rows) + 1)).tolist()
+        out = [(doc_id, h, tokens[a:b].tobytes(), counts[a:b].tobytes()) for (doc_id, h), a, b in zip(rows.tolist(), cuts, cuts[1:]) if b > a]
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "h", "keys", "counts"])
+
+    found = answers(blocks_of(docs, fill, KEY_BYTES), low=KEY_BYTES).groupBy("chunk").applyInArrow(by_document, "doc_id long, h long, keys binary, counts binary")
+    return found.groupBy("doc_id", "h").agg(F.first(F.struct("keys", "counts")).alias("shared"))
+
+
+class _Segments:
+    """Segments of one chunk of documents: distinct contents for the shards, places to keep."""
+
+    def __init__(self, number: int):
+        self.number, self.windows = number, 0
+        self.docs: list[tuple[int, int]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []  # segment, key, document, start, windows, words
+
+    def rows(self, bits: int, window: int) -> pa.RecordBatch:
+        segment, key, doc, start, windows, words = (np.concatenate(x) for x in zip(*self.parts))
+        sizes = windows + window - 1
+        offsets = np.cumsum(sizes) - sizes
+        ids = np.array([d for d, _ in self.docs], np.int64)[doc]
+        shard = (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        order = np.lexsort((ids, segment, shard))  # a shard's segments together, the smallest id first
+        new = np.concatenate(([True], segment[order][1:] != segment[order][:-1]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        one = order[new]
+        own = shard[one]
+        taken = sizes[one]
+        flat = words[np.repeat(offsets[one], taken) + np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)]
+        ends = np.concatenate(([0], np.cumsum(taken)))
+        kept = (np.array(self.docs, "<i8").tobytes(), place.astype("<u4").tobytes(), doc.astype("<u2").tobytes(), start.astype("<u4").tobytes(), windows.astype("u1").tobytes())
+        # The chunk's own row goes to a range below 0, and through it back to the chunk.
+        out = [(-1 - self.number % (1 << bits), self.number, *kept)]
+        cuts = np.searchsorted(own, np.arange((1 << bits) + 1)).tolist()
+        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                out.append((r, self.number, segment[one[a:b]].tobytes(), ids[one[a:b]].tobytes(), windows[one[a:b]].astype("u1").tobytes(), flat[ends[a] : ends[b]].tobytes(), None))
+        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["range", "chunk", "a", "b", "c", "d", "e"])
+
+
+def _segments(texts: DataFrame, bits: int, window: int, hot_key: int) -> DataFrame:
+    """Runs of windows with one shared key, chunk by chunk: contents by shard, places for the chunk."""
+
+    def find(batch: pa.RecordBatch, chunk: _Segments) -> None:
+        words, bounds = word_hashes(batch.column(2), lower=False)
+        keys, at = window_keys(words, bounds, window)
+        cuts = np.searchsorted(at, bounds).tolist()
+        often = np.zeros(len(keys), np.int64)
+        for shared, a, b in zip(batch.column(3).to_pylist(), cuts, cuts[1:]):
+            known, counts = np.frombuffer(shared["keys"], "<u8"), np.frombuffer(shared["counts"], "<u2")
+            own = short(keys[a:b], bits, KEY_BYTES)
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            often[a:b] = np.where(known[place] == own, counts[place], 0)
+        some = often > 0
+        keys, at, hot = keys[some], at[some], often[some] > hot_key
+        first_doc = len(chunk.docs)
+        chunk.docs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        if not len(at):
+            return
+        if hot.any():
+            keys = np.where(hot, window_hashes(words, window)[at], keys)
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])))
+        first = np.flatnonzero(new)
+        within = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        first = np.flatnonzero(within % SEGMENT == 0)
+        windows = np.diff(np.append(first, len(at)))
+        start, sizes = at[first], windows + window - 1
+        offsets = np.cumsum(sizes) - sizes
+        inner = np.arange(sizes.sum()) - np.repeat(offsets, sizes)
+        taken = words[np.repeat(start, sizes) + inner]
+        with np.errstate(over="ignore"):
+            hashes = mixed(np.add.reduceat(mixed(taken + inner.astype(_U) * _U(0xA0761D6478BD642F)), offsets) + sizes.astype(_U))
+        chunk.parts.append((hashes, keys[first], first_doc + doc[first], start - bounds[doc[first]], windows, (taken >> _U(32)).astype("<u4")))
+        chunk.windows += len(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = TaskContext.get().partitionId(), 0
+        chunk = _Segments(part << 24)
         for batch in small_batches(batches, 1024):
-            words, bounds = word_hashes(batch.column(2), lower=False)
-            keys, at = window_keys(words, bounds, window)
-            cuts = np.searchsorted(at, bounds).tolist()
-            known = np.zeros(len(keys), bool)
-            for raw, a, b in zip(batch.column(3).to_pylist(), cuts, cuts[1:]):
-                shared = np.frombuffer(raw, "<u8")
-                own = short(keys[a:b], bits, KEY_BYTES)
-                known[a:b] = shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own
-            keys, at = keys[known], at[known]
-            if not len(at):
-                continue
-            doc = np.searchsorted(bounds, at, side="right") - 1
-            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])))
-            first = np.flatnonzero(new)
-            long = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            first = np.flatnonzero(long % SEGMENT == 0)
-            windows = np.diff(np.append(first, len(at)))
-            start, size = at[first], windows + window - 1
-            offsets = np.cumsum(size) - size
-            inner = np.arange(size.sum()) - np.repeat(offsets, size)
-            taken = words[np.repeat(start, size) + inner]
-            with np.errstate(over="ignore"):
-                hashes = mixed(np.add.reduceat(mixed(taken + inner.astype(_U) * _U(0xA0761D6478BD642F)), offsets) + size.astype(_U)).view(np.int64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[doc[first]]
-            hs = batch.column(1).to_numpy(zero_copy_only=False)[doc[first]]
-            k = len(first)
-            none = pa.nulls(k, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(windows, pa.int32()), pa.array(ids), pa.array(hs), pa.array(start - bounds[doc[first]], pa.int32()), pa.nulls(k, pa.int64()), none], schema_names)
-            _, one = np.unique(hashes, return_index=True)
-            order = np.lexsort((ids, hashes))
-            least = ids[order[np.searchsorted(hashes[order], hashes[one])]]
-            pick = np.repeat(offsets[one], size[one]) + np.arange(size[one].sum()) - np.repeat(np.cumsum(size[one]) - size[one], size[one])
-            data = (taken[pick] >> _U(32)).astype("<u4")
-            ends = np.concatenate(([0], np.cumsum(size[one]) * 4)).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[one]), pa.array(windows[one], pa.int32()), pa.array(least), pa.nulls(len(one), pa.int64()), pa.nulls(len(one), pa.int32()), pa.array(keys[first[one]].view(np.int64)), raw], schema_names)
-
-    schema_names = ["segment", "windows", "doc_id", "h", "start", "key", "words"]
-    return texts.mapInArrow(run, schema)
+            find(batch, chunk)
+            if chunk.windows >= CHUNK_WINDOWS or len(chunk.docs) > 60_000:
+                if chunk.parts:
+                    yield chunk.rows(bits, window)
+                count += 1
+                chunk = _Segments(part << 24 | count)
+        if chunk.parts:
+            yield chunk.rows(bits, window)
+
+    return texts.mapInArrow(run, "range long, chunk long, a binary, b binary, c binary, d binary, e binary")
 
 
 def _search(window: int):
+    names = ["chunk", "range", "a", "b", "c", "d", "e"]
+
     def search(key: tuple, table: pa.Table) -> pa.Table:
         """Index a shard's distinct segments and stream them against it.
 
-        For each segment the smallest doc_id that has each of its windows: the smallest and largest
-        of these, and all of them where they differ.
+        For each chunk, in its order of segments: the smallest doc_id of each segment's windows if
+        one holds for all, else each window's.
         """
-        segments, ids = table["segment"].to_numpy(), table["doc_id"].to_numpy()
-        order = np.lexsort((ids, segments))
-        one = order[np.concatenate(([True], np.diff(segments[order]) != 0))]
-        segments, ids = segments[one], ids[one]
-        raw = table["words"].combine_chunks() if isinstance(table["words"], pa.ChunkedArray) else table["words"]
-        parts = raw.take(pa.array(one)).to_pylist()
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        words, codes = np.unique(np.frombuffer(b"".join(parts), "<u4"), return_inverse=True)
-        starts = np.cumsum(sizes + 1) - (sizes + 1)
-        text = np.zeros(int((sizes + 1).sum()), np.int64)
-        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        text[np.repeat(starts, sizes) + inner] = codes + 1
-        index = FmIndex(text, window)
-        of = np.searchsorted(starts, index.suffixes, side="right") - 1
-        windows = sizes - window + 1
-        at = np.repeat(starts, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        least = np.full(len(at), _NO_ID)
-        for a in range(0, len(at), 100_000):
-            some = at[a : a + 100_000]
-            matched, lo, hi = index.match(text[some[:, None] + np.arange(window)])
-            full = np.flatnonzero(matched == window)
-            pairs, back = np.unique(lo[full], return_inverse=True)
-            ends = np.zeros(len(pairs), np.int64)
-            ends[back] = hi[full]
-            bounds = np.column_stack((pairs, ends)).ravel()
-            held = np.append(ids[of], _NO_ID)  # so that an interval can end with the last suffix
-            least[a + full] = np.minimum.reduceat(held, bounds)[::2][back]
-        firsts = np.cumsum(windows) - windows
-        low, high = np.minimum.reduceat(least, firsts), np.maximum.reduceat(least, firsts)
-        mixed_ = np.flatnonzero(low != high).tolist()
-        each = [None] * len(segments)
-        for i in mixed_:
-            each[i] = least[firsts[i] : firsts[i] + windows[i]].tolist()
-        return pa.table({"segment": segments, "low": low, "high": high, "each": pa.array(each, pa.list_(pa.int64()))})
+        if key[0].as_py() < 0:
+            return table.select(names)
+        rows = table.to_pylist()
+        counts = [len(r["a"]) // 8 for r in rows]
+        segments = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
+        owners = np.concatenate([np.frombuffer(r["b"], "<i8") for r in rows])
+        windows = np.concatenate([np.frombuffer(r["c"], "u1") for r in rows]).astype(np.int64)
+        words = np.concatenate([np.frombuffer(r["d"], "<u4") for r in rows])
+        sizes = windows + window - 1
+        offsets = np.cumsum(sizes) - sizes
+        order = np.lexsort((owners, segments))
+        new = np.concatenate(([True], segments[order][1:] != segments[order][:-1]))
+        one = order[new]
+        alike = np.empty(len(order), np.int64)
+        alike[order] = np.cumsum(new) - 1
+        low = window_owners(words, offsets[one], sizes[one], owners[one], window)
+        n = windows[one]
+        firsts = np.cumsum(n) - n
+        least, most = np.minimum.reduceat(low, firsts), np.maximum.reduceat(low, firsts)
+        out, at = [], 0
+        for r, count in zip(rows, counts):
+            own = alike[at : at + count]
+            at += count
+            varied = (least[own] != most[own]).astype("u1")
+            v = own[varied == 1]
+            each = low[np.repeat(firsts[v], n[v]) + np.arange(n[v].sum()) - np.repeat(np.cumsum(n[v]) - n[v], n[v])]
+            out.append((r["chunk"], r["range"], least[own].tobytes(), varied.tobytes(), each.tobytes(), None, None))
+        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return search
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The texts (doc_id, h, text) and, by document, the windows that a smaller doc_id has too.
+def window_owners(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, window: int) -> np.ndarray:
+    """For each window of each segment the smallest owner of a segment that holds it.
 
-    The second table has doc_id, h and ``found``: runs (start, windows, each), where ``each`` holds
-    the windows' smallest doc_ids if not all windows of the run are repeated.
+    The segments are indexed, and their windows streamed against the index: a matching statistic of
+    a whole window gives the interval of its places in suffix order, and the owners there a minimum.
     """
-    spark = docs.sparkSession
+    taken = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    _, codes = np.unique(words[taken], return_inverse=True)
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    text = np.zeros(int((sizes + 1).sum()), np.int64)
+    text[np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = codes + 1
+    index = FmIndex(text, window)
+    held = np.append(owners[np.searchsorted(begins, index.suffixes, side="right") - 1], _NO_ID)
+    n = sizes - window + 1
+    at = np.repeat(begins, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out = np.full(len(at), _NO_ID)
+    for a in range(0, len(at), 100_000):
+        some = at[a : a + 100_000]
+        matched, lo, hi = index.match(text[some[:, None] + np.arange(window)])
+        full = np.flatnonzero(matched == window)
+        runs, back = np.unique(lo[full], return_inverse=True)
+        ends = np.zeros(len(runs), np.int64)
+        ends[back] = hi[full]
+        out[a + full] = np.minimum.reduceat(held, np.column_stack((runs, ends)).ravel())[::2][back]
+    return out
+
+
+def _runs(window: int):
+    def runs(key: tuple, table: pa.Table) -> pa.Table:
+        """For each document of a chunk the stretches of words (start, end) that repeated windows cover."""
+        kept, found = None, []
+        for row in table.to_pylist():
+            if row["range"] < 0:
+                kept = row
+            else:
+                found.append((row["range"], row))
+        docs = np.frombuffer(kept["a"], "<i8").reshape(-1, 2)
+        place, doc, start, windows = (np.frombuffer(kept[c], k).astype(np.int64) for c, k in (("b", "<u4"), ("c", "<u2"), ("d", "<u4"), ("e", "u1")))
+        found = [r for _, r in sorted(found, key=lambda x: x[0])]
+        least = np.concatenate([np.frombuffer(r["a"], "<i8") for r in found])
+        varied = np.concatenate([np.frombuffer(r["b"], "u1") for r in found]).astype(bool)
+        each = np.concatenate([np.frombuffer(r["c"], "<i8") for r in found])
+        n = np.zeros(len(least), np.int64)
+        n[place] = windows
+        width = np.where(varied, n, 0)
+        begin = np.cumsum(width) - width
+        mine = docs[doc, 0]
+        whole = np.flatnonzero(~varied[place] & (least[place] < mine))
+        part = np.flatnonzero(varied[place])
+        many = windows[part]
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        hit = each[np.repeat(begin[place[part]], many) + inner] < np.repeat(mine[part], many)
+        lines = np.concatenate((doc[whole], np.repeat(doc[part], many)[hit]))
+        a = np.concatenate((start[whole], (np.repeat(start[part], many) + inner)[hit]))
+        b = np.concatenate((start[whole] + windows[whole] + window - 1, (np.repeat(start[part], many) + inner)[hit] + window))
+        order = np.lexsort((a, lines))
+        lines, pairs = lines[order], np.column_stack((a, b))[order].astype("<i4")
+        cuts = np.searchsorted(lines, np.arange(len(docs) + 1)).tolist()
+        out = [(d, h, pairs[x:y].tobytes()) for (d, h), x, y in zip(docs.tolist(), cuts, cuts[1:]) if y > x]
+        columns = list(zip(*out)) or [()] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "h", "found"])
+
+    return runs
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_key: int = HOT_KEY) -> tuple[DataFrame, DataFrame]:
+    """The texts (doc_id, h, text) and, by document, the stretches of words that repeated windows cover."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id")
     texts = docs.select(ids, F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     bits = range_bits(docs)
-    with_keys = texts.join(_shared_keys(texts, window), ["doc_id", "h"]).select("doc_id", "h", "text", "keys")
-    pieces = stage(spark, _segments(with_keys, bits, window), "dedup-segments")
-    contents = pieces.where("words is not null")
-    held = contents.agg(F.sum(F.octet_length("words") / 4)).first()[0] or 0
-    shards = max(1, shuffle_width(spark), int(held // SHARD_WORDS))
-    sharded = contents.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "segment", "doc_id", "words")
-    owners = sharded.groupBy("shard").applyInArrow(_search(window), "segment long, low long, high long, each array<long>")
-    places = pieces.where("words is null").select("segment", "windows", "doc_id", "h", "start")
-    hits = places.join(owners, "segment").where("low < doc_id")
-    run = F.struct("start", "windows", F.when(F.col("high") >= F.col("doc_id"), F.col("each")).alias("each"))
-    return texts, hits.groupBy("doc_id", "h").agg(F.collect_list(run).alias("found"))
-
-
-def _kept(doc_id: int, text: str, found: list | None, window: int) -> tuple[list[bytes], list[bytes]]:
+    with_keys = texts.join(_shared_keys(texts, window), ["doc_id", "h"]).select("doc_id", "h", "text", "shared")
+    answered = _segments(with_keys, bits, window, hot_key).groupBy("range").applyInArrow(_search(window), "chunk long, range long, a binary, b binary, c binary, d binary, e binary")
+    hits = answered.groupBy("chunk").applyInArrow(_runs(window), "doc_id long, h long, found binary")
+    return texts, hits.groupBy("doc_id", "h").agg(F.first("found").alias("found"))
+
+
+def _kept(text: str, found: bytes | None) -> tuple[list[bytes], list[bytes]]:
     words = text.encode().split()  # bytes are split at ASCII white space only
     if not found:
         return words, words
-    gone = np.zeros(len(words) + 1, np.int64)
-    for run in found:
-        if run["each"] is None:
-            gone[run["start"]] += 1
-            gone[run["start"] + run["windows"] + window - 1] -= 1
-        else:
-            at = run["start"] + np.flatnonzero(np.array(run["each"]) < doc_id)
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + window, -1)
-    return words, list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
+    pairs = np.frombuffer(found, "<i4").reshape(-1, 2)
+    edges = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edges, pairs[:, 0], 1)
+    np.add.at(edges, pairs[:, 1], -1)
+    return words, list(compress(words, (np.cumsum(edges[:-1]) == 0).tolist()))
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, hot_key: int = HOT_KEY) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a smaller doc_id.
 
     Gives doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by
@@ -213,25 +294,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Data
 
     1. each window has a key made from its own words; an inverted index over keys leaves the windows
        whose key occurs elsewhere;
-    2. runs of such windows with one key are segments; equal segments become one with its smallest
-       doc_id before anything is gathered, so copies never meet in one task;
-    3. the key's hash sends a segment to an index shard, where equal windows meet; the shard builds
-       an FM-index (wavelet tree over the suffix-ordered words) and streams its segments against it:
-       a matching statistic of a whole window gives the interval of its places, and so the smallest
-       doc_id;
-    4. documents take the windows back whose smallest doc_id is below their own.
+    2. runs of such windows with one key are segments; equal segments of a chunk of documents become
+       one with its smallest doc_id before anything moves, so that copies never meet in one task;
+    3. the key's hash sends a segment to an index shard, where equal windows meet (windows with a
+       very frequent key go by their own hash); the shard builds an FM-index (wavelet tree over the
+       suffix-ordered words) and streams its distinct segments against it: a matching statistic of
+       a whole window gives the interval of its places, and so the smallest doc_id;
+    4. the shards' answers return to the chunks, whose documents lose the windows with a smallest
+       doc_id below their own.
 
     Null texts have no words.  Rows of one doc_id take nothing from each other.  A null doc_id
     counts as larger than all: its repeated words go, it takes none from others.  Empty tables give
     empty results; other columns are ignored.
     """
-    texts, found = repeated_windows(docs, window)
+    texts, found = repeated_windows(docs, window, hot_key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             rows = []
             for doc_id, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                words, kept = _kept(doc_id, text, runs, window)
+                words, kept = _kept(text, runs)
                 joined = b" ".join(kept)
                 rows.append((None if doc_id == _NO_ID else doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -255,10 +337,10 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            keys, texts_, runs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_key", "text", "_found"))
+            texts_, runs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_found"))
             new = []
-            for key, text, found_ in zip(keys, texts_, runs):
-                new.append(b" ".join(_kept(key, text, found_, window)[1]).decode() if found_ and text else text)
+            for text, found_ in zip(texts_, runs):
+                new.append(b" ".join(_kept(text, found_)[1]).decode() if found_ and text else text)
             columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
