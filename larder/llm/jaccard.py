@@ -150,29 +150,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = stage(spark, shared_shingles(docs), "jaccard-sets")
     able = rows.where("tokens is not null")
-    same = able.where("alike is not null").groupBy("n", "alike").agg(F.min("rid").alias("vid"))
-    member = able.where("alike is not null").select("rid", "n", "alike").join(same, ["n", "alike"]).select("rid", "vid")
-    member = stage(spark, member.unionByName(able.where("alike is null").select("rid", F.col("rid").alias("vid"))), "jaccard-members")
-    one_each = member.where("rid = vid").select("vid")
-    sets = able.withColumnRenamed("rid", "vid").join(one_each, "vid", "left_semi")
-    keyed = sets.select("vid", "n", F.md5("prefix").alias("key"))
+    # Narrow tables decide what goes where; the sets themselves move twice, to their row's place in
+    # that decision and to the task that verifies them.
+    narrow = able.select("rid", "n", "alike", F.md5("prefix").alias("key"), (F.octet_length("tokens") / 8).alias("size"))
+    same = narrow.where("alike is not null").groupBy("n", "alike").agg(F.min("rid").alias("vid"))
+    member = narrow.where("alike is not null").select("rid", "n", "alike").join(same, ["n", "alike"]).select("rid", "vid")
+    member = stage(spark, member.unionByName(narrow.where("alike is null").select("rid", F.col("rid").alias("vid"))), "jaccard-members")
+    keyed = narrow.withColumnRenamed("rid", "vid").join(member.where("rid = vid").select("vid"), "vid", "left_semi").select("vid", "n", "key", "size")
     groups = keyed.groupBy("n", "key").agg(F.min("vid").alias("gid"))
-    grouped = stage(spark, keyed.join(groups, ["n", "key"]).select("vid", "gid"), "jaccard-groups")
-    firsts = sets.join(grouped.where("vid = gid").select("vid"), "vid", "left_semi")
+    grouped = stage(spark, keyed.join(groups, ["n", "key"]).select("vid", "gid", "size"), "jaccard-groups")
+    firsts = able.select(F.col("rid").alias("vid"), "prefix").join(grouped.where("vid = gid").select("vid"), "vid", "left_semi")
     postings = firsts.select("vid", "prefix").mapInArrow(_postings, "token long, gid long")
     roots = postings.groupBy("token").agg(F.min("gid").alias("root"), F.max("gid").alias("last")).where("root < last").select("token", "root")
     stars = postings.join(roots, "token").where("gid <> root").select(F.col("gid").alias("a"), F.col("root").alias("b")).distinct()
     comps = connected_components(stars)
-    placed = grouped.join(comps.withColumnRenamed("node", "gid"), "gid", "left").select("vid", F.coalesce("root", "gid").alias("comp"))
+    placed = grouped.join(comps.withColumnRenamed("node", "gid"), "gid", "left").select("vid", F.coalesce("root", "gid").alias("comp"), "size")
     placed = stage(spark, placed, "jaccard-candidates")
-    sized = sets.select("vid", "n", "tokens", (F.octet_length("tokens") / 8).alias("size")).join(placed, "vid")
-    of = placed.join(sets.select("vid", (F.octet_length("tokens") / 8).alias("size")), "vid").groupBy("comp").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("sets"))
-    of = stage(spark, of.where("sets > 1").select("comp", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
+    of = placed.groupBy("comp").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    wanted = placed.join(of.select("comp", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "comp").select("vid", "comp", "blocks")
+    wanted = stage(spark, wanted, "jaccard-wanted")
+    sized = able.select(F.col("rid").alias("vid"), "n", "tokens").join(wanted, "vid")
     width = shuffle_width(spark) * 2
-    small = sized.join(of.where("blocks = 1").select("comp"), "comp").select(F.pmod(F.xxhash64("comp"), F.lit(width)).alias("key"), "comp", "vid", "n", "tokens")
+    small = sized.where("blocks = 1").select(F.pmod(F.xxhash64("comp"), F.lit(width)).alias("key"), "comp", "vid", "n", "tokens")
     found = small.groupBy("key").applyInArrow(_verify, "vid long, root long")
-    if not of.where("blocks > 1").isEmpty():
-        large = sized.join(of.where("blocks > 1"), "comp").withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    if not wanted.where("blocks > 1").isEmpty():
+        large = sized.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
         paired = large.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         paired = paired.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "vid", "n", "tokens")
         edges = paired.groupBy("comp", "i", "j").applyInArrow(_verify, "vid long, root long").where("vid <> root")
