@@ -17,7 +17,7 @@ def week_figures(obs: DataFrame, most: float) -> DataFrame:
     face = F.when(F.col("face").between(0, most), F.col("face"))
     return obs.groupBy("d").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("flagged").alias("flagged"), F.count_if("bonus").alias("bonus"),
-        round6(F.count_if("gpf is null") / F.count(F.lit(1))).alias("coverage"), round6(F.avg(face)).alias("avg_face"), F.median(face).alias("med_face"),
+        round6(F.count_if(F.col("gpf").isNull()) / F.count(F.lit(1))).alias("coverage"), round6(F.avg(face)).alias("avg_face"), F.median(face).alias("med_face"),
     )
 
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import detectors, text
+from ..functions import detectors, scalars, text
 from ..functions.unitprice import derived, product_key, quoted, resolved, round2, round6, size_bucket
-from ..operators import audit, history, matching, personal, pricecheck, trend
+from ..operators import audit, digest, history, matching, personal, pricecheck, trend
+from ..sources import sinks
 from ..sources.tables import observations, table, worded_offers
 from ..streaming import ingest
 
@@ -333,10 +334,10 @@ def _(spark, sf):
 
 
 @query("q41_first_wins_keep_nulls", """WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS sku FROM events)
- SELECT event_id, sku FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY event_id) AS r FROM e) WHERE r = 1 OR sku IS NULL""")
+ SELECT event_id, coalesce(sku, -1) AS sku FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY event_id) AS r FROM e) WHERE r = 1 OR sku IS NULL""")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumn("sku", F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("user_id")))
-    return matching.first_wins(e, "sku", F.col("event_id")).select("event_id", "sku")
+    return matching.first_wins(e, "sku", F.col("event_id")).select("event_id", F.coalesce("sku", F.lit(-1).cast("long")).alias("sku"))
 
 
 @query("q42_duplicate_keys_audit", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -569,3 +570,75 @@ def _(spark, sf):
     p = table(spark, sf, "part")
     wanted, offered = p.where("p_size > 40").select("p_partkey", "p_name"), p.where("p_size < 5").select(F.col("p_partkey").alias("offer"), "p_name", "p_retailprice")
     return matching.one_to_one(wanted, offered, "p_name", F.col("p_partkey"), F.struct("p_retailprice", "offer")).select("p_name", "p_partkey", "offer")
+
+
+@query("q69_vote_and_basket_lookup", f"""WITH {VOTES} SELECT p_partkey AS id, p_name, coalesce(s, 0) AS votes, coalesce(bought, false) AS bought FROM part LEFT JOIN v ON p_partkey = v.id""")
+def _(spark, sf):
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("p_partkey"))
+    v = e.agg(F.sum(F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", -1).otherwise(0)).alias("s"), (F.count_if(F.col("event_type") == "purchase") > 0).alias("bought"))
+    return table(spark, sf, "part").join(v, "p_partkey", "left").select(F.col("p_partkey").alias("id"), "p_name", F.coalesce("s", F.lit(0).cast("long")).alias("votes"), F.coalesce("bought", F.lit(False)).alias("bought"))
+
+
+@query("q70_manifest_differences", """WITH m AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), f AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem)
+ SELECT d, 'left' AS side FROM (SELECT d FROM m EXCEPT SELECT d FROM f) UNION ALL SELECT d, 'right' FROM (SELECT d FROM f EXCEPT SELECT d FROM m)""")
+def _(spark, sf):
+    return matching.differences(table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d")), table(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("d")))
+
+
+@query("q71_sectioned_digest", """WITH s AS (SELECT p_partkey AS id, unnest(list_filter([CASE WHEN p_name LIKE '%small%' THEN 'small' END, CASE WHEN p_type LIKE 'PROMO%' THEN 'promo' END], lambda x: x IS NOT NULL)) AS section, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS pctile, p_size % 5 = 0 AS best FROM part),
+ r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY pctile IS NULL, CASE WHEN pctile IS NULL THEN 1 WHEN best THEN 0 ELSE 1 END, coalesce(pctile, 100), id) AS place FROM s) SELECT section, place, id FROM r WHERE place <= 18""")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    named = F.array_compact(F.array(F.when(F.col("p_name").contains("small"), "small"), F.when(F.col("p_type").startswith("PROMO"), "promo")))
+    pctile = F.when(F.col("p_size") % 3 != 0, F.col("p_size"))
+    s = p.select(F.col("p_partkey").alias("id"), F.explode(named).alias("section"), pctile.alias("pctile"), F.when(pctile.isNotNull(), F.col("p_size") % 5 == 0).alias("best"))
+    order = Window.partitionBy("section").orderBy(F.col("pctile").isNull(), F.coalesce(~F.col("best"), F.lit(True)), F.coalesce("pctile", F.lit(100)), "id")
+    return s.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 18").select("section", "place", "id")
+
+
+@query("q72_validated_recommendations", """WITH r AS (SELECT o_custkey AS reply, o_orderkey AS rank, 'part ' || CAST(o_orderkey % 60 AS VARCHAR) AS title FROM orders), c AS (SELECT DISTINCT 'part ' || CAST(p_size AS VARCHAR) AS title FROM part)
+ SELECT reply, title, row_number() OVER (PARTITION BY reply ORDER BY rank, title) AS rank FROM r WHERE title IN (SELECT title FROM c)""")
+def _(spark, sf):
+    title = lambda c: F.concat(F.lit("part "), c.cast("string")).alias("title")
+    r = table(spark, sf, "orders").select(F.col("o_custkey").alias("reply"), F.col("o_orderkey").alias("rank"), title(F.col("o_orderkey") % 60), F.lit("why").alias("reason"), F.lit("cheap").alias("tag"))
+    return digest.validated(r, table(spark, sf, "part").select(title(F.col("p_size")))).select("reply", "title", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q73_verbatim_share", """WITH r AS (SELECT o_custkey AS reply, 'part ' || CAST(o_orderkey % 60 AS VARCHAR) AS title FROM orders), c AS (SELECT DISTINCT 'part ' || CAST(p_size AS VARCHAR) AS title FROM part)
+ SELECT reply, count(*) AS n, CAST(floor(avg(CASE WHEN title IN (SELECT title FROM c) THEN 1 ELSE 0 END)*100 + 0.5) AS BIGINT) AS verbatim_pct FROM r GROUP BY reply""")
+def _(spark, sf):
+    title = lambda c: F.concat(F.lit("part "), c.cast("string")).alias("title")
+    r = table(spark, sf, "orders").select(F.col("o_custkey").alias("reply"), title(F.col("o_orderkey") % 60))
+    return digest.verbatim_share(r, table(spark, sf, "part").select(title(F.col("p_size"))))
+
+
+@query("q74_visible_rows_export", """SELECT '{"title":"' || p_name || '","category":"' || p_type || '"}' AS value FROM part WHERE p_size > 25""")
+def _(spark, sf):
+    return sinks.as_json(table(spark, sf, "part").where("p_size > 25").select(F.col("p_name").alias("title"), F.col("p_type").alias("category")), ["title", "category"])
+
+
+@query("q75_shopping_text", """WITH i AS (SELECT p_type AS grp, '- [ ] ' || p_name AS line FROM (SELECT DISTINCT p_type, p_name FROM part)) SELECT grp, string_agg(line, chr(10) ORDER BY line) AS text FROM i GROUP BY grp""")
+def _(spark, sf):
+    return personal.grouped_text(table(spark, sf, "part").select(F.col("p_type").alias("grp"), F.col("p_name").alias("name")).distinct())
+
+
+@query("q76_trend_index", f"""WITH {OBS}, c AS (SELECT d, cat, count(*) AS n FROM obs GROUP BY d, cat) SELECT d, CAST(sum(n) AS BIGINT) AS total, string_agg(cat || '=' || CAST(n AS VARCHAR), ';' ORDER BY cat) AS counts FROM c GROUP BY d""")
+def _(spark, sf):
+    t = trend.trend_index(observations(spark, sf), SANE)
+    pairs = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return t.select("d", "total", F.array_join(F.array_sort(pairs), ";").alias("counts"))
+
+
+@query("q77_newest_variant", f"WITH {OBS} SELECT title, CAST(arg_max(gp, (d, l_orderkey, l_linenumber, part, supp)) AS DOUBLE) AS newest, count(DISTINCT part) AS variants, count(DISTINCT d) AS weeks, min(d) AS first_d, max(d) AS last_d FROM obs GROUP BY title")
+def _(spark, sf):
+    o = observations(spark, sf)
+    order = F.struct("d", "l_orderkey", "l_linenumber", "part", "supp")
+    return o.groupBy("title").agg(F.max_by("gp", order).alias("newest"), F.count_distinct("part").alias("variants"), F.count_distinct("d").alias("weeks"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
+
+
+@query("q78_money_and_badges", """SELECT p_partkey, printf('%.2f', p_retailprice) || ' €' AS plain, replace(printf('%.2f', p_retailprice), '.', ',') || ' €' AS comma,
+ CASE WHEN p_size % 2 = 0 THEN 'PAYBACK +' || CAST(p_size AS VARCHAR) || ' P' ELSE '' END AS badges FROM part""")
+def _(spark, sf):
+    p = table(spark, sf, "part").withColumn("criteria", F.when(F.col("p_size") % 2 == 0, F.array(F.struct(F.lit(scalars.BONUS).alias("name")))))
+    shown = F.array_join(scalars.badges(F.col("criteria"), F.col("p_size"), F.lit(None).cast("double")), ",")
+    return p.select("p_partkey", scalars.money(F.col("p_retailprice")).alias("plain"), scalars.money(F.col("p_retailprice"), "comma").alias("comma"), shown.alias("badges"))
