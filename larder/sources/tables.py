@@ -11,11 +11,11 @@ OFFER = T.StructType().add("id", "string").add("title", "string").add("category"
 OFFER = OFFER.add("basicPrice", "string").add("baseUnit", "string").add("description", "string").add("criteria", T.ArrayType(T.StructType().add("name", "string")))
 OFFER = OFFER.add("pbAdditionalPoints", "double").add("pbPointsMultiplier", "double").add("images", T.StructType().add("app", "string").add("original", "string"))
 SNAPSHOT = T.StructType().add("validFrom", "string").add("validTill", "string").add("totalCount", "long").add("offers", T.ArrayType(OFFER))
-PREFERENCES = T._parse_datatype_string(
+PREFERENCES = (
     "version int, interests map<string,int>, votes map<string,struct<v:int,t:string>>, bought map<string,struct<c:int,t:string>>, "
     "meals map<string,struct<v:int,t:string,tags:array<string>>>, glutenFree boolean, updatedAt string"
 )
-RECEIPT = T._parse_datatype_string("store string, date string, items array<struct<name:string,qty:double,price:double>>")
+RECEIPT = "store string, date string, items array<struct<name:string,qty:double,price:double>>"
 #: How snapshot paths name year, week and date.
 WEEK_PATH, DATE_PATH = r"(\d{4})/(KW\d+)/", r"(\d{4}-\d{2}-\d{2})"
 
@@ -51,7 +51,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return located(listed.where(F.col("path").rlike(WEEK_PATH)))
 
 
-def optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def optional(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON source that may be missing or malformed: then an empty table, never an error."""
     try:
         read = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
