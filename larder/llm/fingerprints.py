@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import documents, shuffle_width, stage
 
@@ -77,7 +78,7 @@ def likeness(a: Column, b: Column) -> Column:
         apart = apart + F.bit_count(z)
     chance = 1 / (1 << STORED_BITS)
     share = F.greatest(F.lit(0.0), ((F.lit(BINS) - apart) / F.lit(float(BINS)) - chance) / (1 - chance))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(share)
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(share)
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -110,7 +111,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     need go to the documents before them.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # A cast that changes nothing would leave an alias in one of the two plans below, and so two exchanges.
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType == LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    base = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
     ring = stage(spark, next_ids(base), "fingerprint-ring")
     asked = ring.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.col("most").cast("int").alias("most"), "next_id")
