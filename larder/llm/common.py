@@ -41,11 +41,17 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+#: Bytes of a piece of a batch on average, so that very long texts come in few rows.
+PIECE_BYTES = 16 << 20
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of few rows, so that Python never holds many texts at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches
-from .tokens import encoder, vocabulary_path
+from .tokens import CACHED, encoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
@@ -27,13 +27,14 @@ def binary_lengths(n: int, limit: int) -> list[int]:
     return [limit] * (n // limit) + [1 << k for k in range(tail.bit_length() - 1, -1, -1) if tail >> k & 1]
 
 
-def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_ids: bool = True, cached: int = CACHED) -> DataFrame:
     """Split every document's ids into pieces of power-of-two length and bucket equal lengths.
 
     Each piece is a whole sequence of its bucket (``bucket`` is the exponent of its length), so no
     sequence crosses documents and none needs padding.  One pass over the input, no shuffle; a
     task's memory is that of a few thousand documents.  Sequence ids are unique and come from the
-    input partition and the place in it, so a task that runs again gives the same ids.
+    input partition and the place in it, so a task that runs again gives the same ids.  ``cached``
+    bounds the pieces whose ids a worker keeps.
 
     A null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed
     once each; an empty table gives an empty result; all other columns are ignored.
@@ -42,9 +43,9 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 1, with_id
         raise ValueError("limit must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder("byte", path), np.array([end_id], dtype="<u4").tobytes()
+        tool, end = encoder("byte", path, cached), np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches, 4096):
+        for batch in small_batches(batches, 2048):
             columns: list[list] = [[] for _ in range(9)]
             for doc_id, found in zip(batch.column(0).to_pylist(), tool.encode_all(batch.column(1))):
                 ids = found.tobytes() + end

@@ -16,6 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+#: Pieces that a worker's cache holds, about.
+CACHED = 600_000
+#: Pieces of one call of the library, whose results take some hundred bytes a token.
+AT_ONCE = 2000
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -51,41 +57,57 @@ def gathered(codes: np.ndarray, ids_by_code: list[bytes]) -> tuple[np.ndarray, n
 
 
 class _Cached:
-    """A bounded cache from pre-split pieces to their ids as little-endian unsigned 32-bit integers."""
+    """A bounded cache from pre-split pieces to their ids as little-endian unsigned 32-bit integers.
+
+    It has two generations: when the young one is full it becomes the old one, and what is found in
+    the old one joins the young one again, so that frequent pieces stay.
+    """
 
     #: Texts that are cut by Arrow hold only these characters: Latin letters, digits and marks,
     #: general punctuation, currency signs.  They are their own normal forms, apart from case.
     OTHER = r"[^\n\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20b5}]|<\|"
+    #: Pieces whose ids are given from the start.
+    GIVEN: dict[str, bytes] = {"": b""}
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
         self.limit = limit
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.given = dict(self.GIVEN)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def by_library(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def known(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, from the cache or learnt now."""
-        found = list(map(self.pieces.get, pieces))
+        found = list(map(self.young.get, pieces))
         if None in found:
-            if len(self.pieces) > self.limit:
-                self.pieces = {"": b""}
-                found = list(map(self.pieces.get, pieces))
-            new = [p for p, ids in zip(pieces, found) if ids is None]
-            self.pieces.update(zip(new, self.learnt(new)))
-            found = list(map(self.pieces.__getitem__, pieces))
+            if len(self.young) > self.limit // 2:
+                self.old, self.young = self.young, {}
+            missing = [p for p, ids in zip(pieces, found) if ids is None]
+            got = [self.given.get(p) if ids is None else ids for p, ids in zip(missing, map(self.old.get, missing))]
+            learnt = iter(self.learnt([p for p, ids in zip(missing, got) if ids is None]))
+            got = [next(learnt) if ids is None else ids for ids in got]
+            self.young.update(zip(missing, got))
+            rest = iter(got)
+            found = [next(rest) if ids is None else ids for ids in found]
         return found
 
     def learnt(self, pieces: list[str]) -> list[bytes]:
-        """The ids of new pieces: one call of the library for all, cut where each piece ends."""
-        ids, starts, ends = self.at_once(pieces)
-        if len(starts) != len(pieces):
-            return [np.array(self.bare.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in pieces]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+        """The ids of new pieces: a call of the library for many at once, cut where each piece ends."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), AT_ONCE):
+            some = pieces[at : at + AT_ONCE]
+            ids, starts, ends = self.at_once(some)
+            if len(starts) == len(some):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+            else:
+                out += [np.array(self.bare.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in some]
+        return out
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
@@ -105,7 +127,7 @@ class WordEncoder(_Cached):
     #: Fixed value: what the split pattern of the public tokenizer file sets apart inside words.
     APART = r"('(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+|\p{N})"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = CACHED):
         super().__init__(path, limit)
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
@@ -133,11 +155,12 @@ class ByteEncoder(_Cached):
     #: White space in runs or at a text's ends needs the whole text.
     OTHER = _Cached.OTHER + r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = CACHED):
         super().__init__(path, limit)
         self.bare = Tokenizer.from_file(path)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.newline = self.by_library("\n")[0]
+        newline = self.by_library("\n")
+        self.newline, self.given["\n"] = newline[0], newline.tobytes()
 
     @classmethod
     def cut(cls, texts: pa.Array) -> pa.ListArray:
@@ -145,10 +168,6 @@ class ByteEncoder(_Cached):
         apart = pc.replace_substring_regex(spaced, cls.APART, "\x01\\1\x01")
         return pc.split_pattern(pc.replace_substring(apart, "\x01\x01", "\x01"), "\x01")
 
-    def known(self, pieces: list[str]) -> list[bytes]:
-        self.pieces.setdefault("\n", np.array([self.newline], "<u4").tobytes())
-        return super().known(pieces)
-
     def at_once(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.array(self.bare.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.newline)
@@ -158,11 +177,13 @@ class ByteEncoder(_Cached):
 _encoders: dict[tuple[str, str], _Cached] = {}
 
 
-def encoder(kind: str, path: str) -> WordEncoder | ByteEncoder:
+def encoder(kind: str, path: str, cached: int = CACHED) -> WordEncoder | ByteEncoder:
     """One encoder per Python worker, kept between tasks."""
     if (kind, path) not in _encoders:
-        _encoders[kind, path] = {"word": WordEncoder, "byte": ByteEncoder}[kind](path)
-    return _encoders[kind, path]
+        _encoders[kind, path] = {"word": WordEncoder, "byte": ByteEncoder}[kind](path, cached)
+    found = _encoders[kind, path]
+    found.limit = cached
+    return found
 
 
 def merges_of(path: str) -> tuple[list[tuple[str, str]], dict[str, int]]:

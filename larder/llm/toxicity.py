@@ -26,7 +26,7 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 class Words(dict):
     """From a word as it stands in a text to the hash of its lower-case form without edge marks."""
 
-    LIMIT = 700_000
+    LIMIT = 250_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
