@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detectors, scalars, text
-from ..functions.unitprice import derived, product_key, quoted, resolved, round2, round6, size_bucket
+from ..functions.unitprice import product_key, quoted, resolved, round6, size_bucket
 from ..operators import audit, digest, history, matching, personal, pricecheck, trend
 from ..sources import sinks
 from ..sources.tables import observations, table, worded_offers
