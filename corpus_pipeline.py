@@ -38,8 +38,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, with their ids."""
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
+    """Pieces of power-of-two length, with their ids.
+
+    The stages share their Python workers, so packing keeps fewer pieces there than it does alone.
+    """
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), cached=150_000)
 
 
 STAGES = [
