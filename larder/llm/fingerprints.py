@@ -91,9 +91,11 @@ def next_ids(docs: DataFrame) -> DataFrame:
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.char_length("text") / 3)).alias("most"))
     dealt = ids.repartitionByRange(shuffle_width(spark), F.col("doc_id").desc()).withColumn("part", F.spark_partition_id())
     dealt = stage(spark, dealt, "fingerprint-order")
-    firsts = sorted((r["first"], r["part"]) for r in dealt.groupBy("part").agg(F.max("doc_id").alias("first")).collect())[::-1]
-    after = [(part, firsts[(k + 1) % len(firsts)][0]) for k, (_, part) in enumerate(firsts)]
-    gaps = F.broadcast(spark.createDataFrame(after, "part int, after long"))  # a row a partition
+    # A row for each partition: its first id, and that of the partition after it (after the last, the first).
+    one = Window.partitionBy(F.lit(0))
+    firsts = dealt.groupBy("part").agg(F.max("doc_id").alias("first"))
+    after = F.coalesce(F.lead("first").over(one.orderBy(F.desc("first"))), F.max("first").over(one))
+    gaps = F.broadcast(firsts.select("part", after.alias("after")))
     within = F.lead("doc_id").over(Window.partitionBy("part").orderBy(F.col("doc_id").desc()))
     return dealt.withColumn("within", within).join(gaps, "part").select("doc_id", F.coalesce("within", "after").alias("next_id"), "most")
 
