@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ from .common import shuffle_width, stage
 
 #: Trees, symbols of a hash string, and entries of a sorted array that one partition holds.
 TREES, SYMBOLS, PART_ROWS = 48, 8, 60_000
-#: Candidates of each query whose exact cosines are taken, by their approximate ones.
-RERANKED = 24
+#: Entries of a block and queries of a task where dense buckets are scored whole, and how many times
+#: the share of patternless data a dense bucket holds.
+BLOCK_ROWS, BLOCK_QUERIES, DENSE = 4096, 2048, 4
+
+
+EMPTY = pa.table({"asker": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
 
 
 def breadth_for(n: int) -> int:
@@ -74,9 +79,16 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
     * Equal vectors become one entry with its k + 1 smallest ids (ties go to smaller ids, and a query
       takes itself out), so copies never meet in one place and each distinct query is searched once.
     * Each tree is one sorted array of hash strings, cut into ranges; its entries carry the vector in
-      8 bits a component.  A query descends to its place, the longest common prefix, and ascends
-      symbol by symbol until ``breadth`` entries are reached in every tree alike.
-    * The best candidates of all trees by approximate cosine get exact ones in double precision.
+      8 bits a component and that vector's distance from it.  A query descends to its place, the
+      longest common prefix, and ascends symbol by symbol until ``breadth`` entries are reached in
+      every tree alike.  On patternless data the last level is cut there, which is the forest's
+      approximation.
+    * A bucket of more than ``breadth`` entries, and of ``DENSE`` times those that patternless data
+      would give its level, is dense.  Its entries stand in blocks by the string of the first tree; a
+      query is scored exactly against every entry of all blocks its deepest dense buckets touch, each
+      block once, so no pair is scored twice and the most work is that of brute force.
+    * Of the other candidates all whose approximate cosine, with its error bound, may belong to the
+      k + 1 best get exact ones in double precision.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows
     without vec_id nor vectors of another length than the most common one.  Repeated rows are one.
@@ -99,32 +111,61 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
     reach = breadth or breadth_for(n)
     width = max(1, (2 * dims - 1).bit_length())
     symbols = min(SYMBOLS, 63 // width)
+    most_sparse = [max(reach, DENSE * n / (2 * dims) ** level) for level in range(symbols + 1)]
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = rotations(dims)
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                x = _as_matrix(part.column(1), dims)
+                x = _as_matrix(part.column(2), dims)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 strings = hash_strings(x, turns)
-                scale = np.abs(x).max(axis=1) / 127
+                scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
                 small = np.rint(x / scale[:, None]).astype(np.int8)
-                held = pa.array([v.tobytes() for v in small], pa.binary())
+                off = np.linalg.norm(x - small * scale[:, None].astype(np.float64), axis=1) + 1e-5  # and float32 sums
+                held = [pa.array([v.tobytes() for v in m], pa.binary()) for m in (strings, small)]
+                made = [pa.array(strings[:, 0]), pa.array(scale), pa.array(off.astype(np.float32)), *held]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "first", "scale", "off", "strings", "small"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            block = part + np.arange(at, at + batch.num_rows) // BLOCK_ROWS
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*batch.schema.names, "block"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                strings = np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64).reshape(-1, TREES)
                 for tree in range(TREES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(strings[:, tree]), part.column(0), part.column(2), pa.array(scale.astype(np.float32)), held], ["tree", "string", "rep", "asked", "scale", "small"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(strings), tree, np.int32)), pa.array(strings[:, tree]), *part.columns[1:]], ["tree", "string", *part.schema.names[1:]])
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates (asker, rep, block, low, high); runs of one prefix that may be part of a dense
+        bucket, with their rows by block (block, held) and their queries (asker)."""
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        trees, strings, reps = (table[c].to_numpy() for c in ("tree", "string", "rep"))
-        asks = table["asked"].to_numpy()
+        trees, strings, reps, blocks, asks, off = (table[c].to_numpy() for c in ("tree", "string", "rep", "block", "asked", "off"))
         x = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dims).astype(np.float32) * table["scale"].to_numpy()[:, None]
-        out: list[list[np.ndarray]] = [[], [], []]
+        near_out: list[list[np.ndarray]] = [[], [], [], [], []]
+        run_out: list[tuple] = []
         cuts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1], [True]))).tolist()
         for a, b in zip(cuts, cuts[1:]):
+            for level in range(1, symbols + 1):
+                prefix = strings[a:b] >> width * (symbols - level)
+                ends = np.flatnonzero(np.concatenate((prefix[1:] != prefix[:-1], [True]))) + 1
+                starts = np.concatenate(([0], ends[:-1]))
+                open_ = (ends - starts > most_sparse[level]) | (starts == 0) | (ends == b - a)  # ranges may cut runs at their ends
+                for lo, hi in zip((a + starts[open_]).tolist(), (a + ends[open_]).tolist()):
+                    name = (int(trees[a]), level, int(prefix[lo - a]))
+                    run_out += [(*name, None, block, count) for block, count in zip(*(v.tolist() for v in np.unique(blocks[lo:hi], return_counts=True)))]
+                    run_out += [(*name, asker, None, None) for asker in reps[lo:hi][asks[lo:hi]].tolist()]
             for q in (a + np.flatnonzero(asks[a:b])).tolist():
                 lo, hi = max(a, q - reach), min(b, q + reach + 1)
                 near = np.arange(lo, hi)
@@ -132,27 +173,79 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
                     level = shared_levels(strings[lo:hi], strings[q], width, symbols)
                     near = near[np.lexsort((np.abs(near - q), -level))[:reach]]
                 scores = x[near] @ x[q]
-                best = np.argsort(-scores)[: 2 * RERANKED]
-                for column, value in zip(out, (np.full(len(best), reps[q]), reps[near[best]], scores[best])):
+                error = off[q] + off[near] + off[q] * off[near]
+                low, high = scores - error, scores + error
+                some = high >= (np.partition(low, -k - 1)[-k - 1] if len(low) > k else -np.inf)
+                for column, value in zip(near_out, (np.full(some.sum(), reps[q]), reps[near[some]], blocks[near[some]], low[some], high[some])):
                     column.append(value)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["asker", "rep", "near"])
+        none = lambda m, kind: pa.nulls(m, kind)
+        names = ["tree", "level", "prefix", "asker", "block", "held", "rep", "low", "high"]
+        if near_out[0]:
+            asker, rep, block, low, high = (pa.array(np.concatenate(c)) for c in near_out)
+            m = len(asker)
+            yield pa.RecordBatch.from_arrays([none(m, pa.int32()), none(m, pa.int32()), none(m, pa.int64()), asker, block, none(m, pa.int64()), rep, low.cast(pa.float32()), high.cast(pa.float32())], names)
+        if run_out:
+            kinds, m = [pa.int32(), pa.int32()] + [pa.int64()] * 4, len(run_out)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*run_out), kinds)), none(m, pa.int64()), none(m, pa.float32()), none(m, pa.float32())], names)
 
-    tree_rows = entries.select("rep", "embedding", "asked").mapInArrow(grow, "tree int, string long, rep long, asked boolean, scale float, small binary")
+    base = "rep long, ids array<long>, embedding array<double>, asked boolean"
+    more = ", first long, scale float, off float, strings binary, small binary"
+    entries = stage(spark, entries.select("rep", "ids", "embedding", "asked").mapInArrow(hashed, base + more), "forest-strings")
+    ranges = max(1, min(shuffle_width(spark), -(-n // BLOCK_ROWS)), -(-n // (16 * BLOCK_ROWS)))
+    entries = entries.repartitionByRange(ranges, "first", "rep").sortWithinPartitions("first", "rep").mapInArrow(numbered, base + more + ", block long")
+    entries = stage(spark, entries, "forest-blocks")
+    tree_rows = entries.select("strings", "rep", "block", "asked", "scale", "off", "small").mapInArrow(grow, "tree int, string long, rep long, block long, asked boolean, scale float, off float, small binary")
     parts = max(1, min(shuffle_width(spark) * 4, -(-n * TREES // PART_ROWS)), -(-n * TREES // (4 * PART_ROWS)))
     arrays = tree_rows.repartitionByRange(parts, "tree", "string", "rep").sortWithinPartitions("tree", "string", "rep")
-    found = arrays.mapInArrow(climb, "asker long, rep long, near float").groupBy("asker", "rep").agg(F.max("near").alias("near"))
-    best = found.withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("near"), "rep"))).where(F.col("at") <= RERANKED)
-    one = entries.select(F.col("rep").alias("asker"), F.col("embedding").alias("own"))
+    found = stage(spark, arrays.mapInArrow(climb, "tree int, level int, prefix long, asker long, block long, held long, rep long, low float, high float"), "forest-found")
+
+    bucket = ["tree", "level", "prefix"]
+    runs = found.where("held is not null").groupBy(*bucket, "block").agg(F.sum("held").alias("held"))
+    sparse = F.element_at(F.array(*[F.lit(float(m)) for m in most_sparse]), F.col("level") + 1)
+    dense = runs.groupBy(*bucket).agg(F.sum("held").alias("total")).where(F.col("total") > sparse).select(*bucket)
+    deepest = found.where("tree is not null and asker is not null").select(*bucket, "asker").join(dense, bucket).groupBy("asker", "tree").agg(F.max(F.struct("level", "prefix")).alias("at"))
+    wanted = deepest.select("asker", "tree", "at.level", "at.prefix").join(runs.select(*bucket, "block"), bucket).select("asker", "block").distinct()
+    wanted = stage(spark, wanted, "forest-dense")
+
+    reached = found.where("rep is not null").groupBy("asker", "rep", "block").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    reached = reached.join(wanted, ["asker", "block"], "left_anti").withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("low"), "rep")))
+    least = F.max(F.when(F.col("at") == k + 1, F.col("low"))).over(Window.partitionBy("asker"))
+    best = reached.withColumn("least", least).where("least is null or high >= least")
+    one = entries.where("asked").select(F.col("rep").alias("asker"), F.col("embedding").alias("own"))
     pairs = best.select("asker", "rep").join(one, "asker").join(entries.select("rep", "ids", "embedding"), "rep").select("asker", "ids", "own", "embedding")
 
+    def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _as_matrix(batch.column(2), dims), _as_matrix(batch.column(3), dims)
-            score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+            score = cosines(_as_matrix(batch.column(2), dims), _as_matrix(batch.column(3), dims))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["asker", "ids", "score"])
 
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The k + 1 best entries of a block for each query sent to it."""
+        askers, own = left["asker"].to_numpy(), _as_matrix(left["own"].combine_chunks(), dims)
+        reps, all_ = right["rep"].to_numpy(), _as_matrix(right["embedding"].combine_chunks(), dims)
+        unit = lambda v: v / np.abs(v).max(axis=1, keepdims=True) / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True)
+        turned, rows, picked, scores = unit(all_).T, [], [], []
+        for a in range(0, len(own), 256):
+            for q, near in enumerate(unit(own[a : a + 256]) @ turned, a):
+                some = np.flatnonzero(near >= np.partition(near, -k - 1)[-k - 1] - 1e-12) if len(near) > k else np.arange(len(near))
+                score = cosines(np.broadcast_to(own[q], (len(some), dims)), all_[some])
+                best = np.lexsort((reps[some], -score))[: k + 1]
+                rows.append(np.full(len(best), askers[q]))
+                picked.append(some[best])
+                scores.append(score[best])
+        ids = right["ids"].combine_chunks().take(pa.array(np.concatenate(picked)))
+        return pa.table({"asker": np.concatenate(rows), "ids": ids, "score": np.concatenate(scores)})
+
     scored = pairs.mapInArrow(exact, "asker long, ids array<long>, score double")
+    if not wanted.isEmpty():
+        shares = wanted.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("shares"))
+        sent = wanted.join(shares, "block").join(one, "asker").select("block", F.pmod(F.xxhash64("asker"), F.col("shares")).cast("int").alias("share"), "asker", "own")
+        held = entries.select("block", "rep", "ids", "embedding").join(shares, "block").select("block", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "rep", "ids", "embedding")
+        both = sent.groupBy("block", "share").cogroup(held.groupBy("block", "share"))
+        scored = scored.unionByName(both.applyInArrow(lambda left, right: whole(left, right) if left.num_rows and right.num_rows else EMPTY, "asker long, ids array<long>, score double"))
     top = scored.withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("at") <= k + 1)
     asks = asked.join(entries.where("asked").select("embedding", F.col("rep").alias("asker")), "embedding").select(F.col("vec_id").alias("query_id"), "asker")
     each = asks.join(top.select("asker", "score", F.explode("ids").alias("vec_id")), "asker").where("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"])

@@ -76,6 +76,21 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(few.where("false")).count() == 0
 
 
+def test_neighbours_in_dense_clusters(spark):
+    """Close but not equal vectors: a cluster far larger than the forest's breadth, and a small tight one."""
+    r = np.random.default_rng(6)
+    groups = [(0, r.standard_normal((1000, 16))), (10_000, r.standard_normal(16) + 0.02 * r.standard_normal((3000, 16))), (20_000, r.standard_normal(16) + 0.001 * r.standard_normal((200, 16)))]
+    rows = [(first + i, [float(x) for x in v]) for first, group in groups for i, v in enumerate(group)]
+    got = {}
+    for row in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), breadth=256).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
+    expected = brute_nearest(dict(rows))
+    assert set(got) == set(expected)
+    for first, share in ((0, 0.9), (10_000, 1), (20_000, 1)):
+        hits = [len({v for _, v in got[q]} & {v for v, _ in expected[q]}) / 5 for q in expected if first <= q < first + 10_000]
+        assert np.mean(hits) >= share
+
+
 def labelled(n=1500):
     r, rows = random.Random(2), []
     plain = ["".join(r.choices("abcdefgh", k=5)) for _ in range(300)]
