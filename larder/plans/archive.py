@@ -490,6 +490,12 @@ for _name, _dir in (("q58_null_last_ascending", "ASC"), ("q58_null_last_descendi
         o = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
         return o.orderBy(F.col("status").asc_nulls_last() if up else F.col("status").desc_nulls_last(), "o_orderkey").limit(2500)
 
+    @query(f"{_name}_whole", f"SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status FROM orders ORDER BY status {_dir} NULLS LAST, o_orderkey")
+    def _(spark, sf, up=_dir == "ASC"):
+        """The same sort of every order."""
+        o = table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+        return o.orderBy(F.col("status").asc_nulls_last() if up else F.col("status").desc_nulls_last(), "o_orderkey")
+
 
 @query("q59_weekly_bucket", "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def _(spark, sf):

@@ -48,3 +48,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(("name", "up"), [("q58_null_last_ascending_whole", True), ("q58_null_last_descending_whole", False)])
+def test_null_last_sorts_every_order(spark, duck, name, up):
+    got = [(r.status, r.o_orderkey) for r in archive.QUERIES[name](spark, SF).collect()]
+    rows = duck.sql("select nullif(o_orderstatus, 'P'), o_orderkey from orders").fetchall()
+    assert len(got) == len(rows) and any(s is None for s, _ in got)
+    assert got == sorted(rows, key=lambda r: (r[0] is None, (ord(r[0]) if up else -ord(r[0])) if r[0] else 0, r[1]))
