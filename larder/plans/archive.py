@@ -273,6 +273,23 @@ def _(spark, sf):
     return w.select(*ROWS, size_bucket(F.col("wording")).alias("size_bucket"), product_key(F.col("title"), F.col("unit"), F.col("wording")).alias("product_key"))
 
 
+@query("q32_derive_unit_price_whole", f"""WITH {WORDED} SELECT {ROW}, floor(face / CASE l_linenumber % 6 WHEN 5 THEN qty WHEN 3 THEN qty*0.001 ELSE 1 END * 100 + 0.5)/100 AS value,
+ CASE l_linenumber % 6 WHEN 1 THEN 'kg' WHEN 5 THEN 'St' ELSE 'l' END AS unit, 'derived' AS flag FROM worded WHERE l_linenumber % 6 NOT IN (0, 4)""")
+def _(spark, sf):
+    """Every derived price: form 0 names two sizes and form 4 is a multipack, which have none."""
+    r = worded_offers(spark, sf).withColumn("r", resolved(F.lit(None).cast("string"), F.col("wording"), F.lit(None).cast("string"), F.col("face"))).where("r.flag = 'derived'")
+    return r.select(*ROWS, "r.value", "r.unit", "r.flag")
+
+
+@query("q33_size_bucket_and_key_whole", f"""WITH {WORDED}, s AS (SELECT *, CASE l_linenumber % 6 WHEN 2 THEN 'v' WHEN 3 THEN 'v' WHEN 5 THEN 'c' ELSE 'w' END AS kind,
+ CASE l_linenumber % 6 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 5 THEN qty ELSE qty*0.001 END AS base FROM worded)
+ SELECT {ROW}, kind || CAST(CAST(floor(log10(base)) AS INT) AS VARCHAR) AS size_bucket, lower(trim(title)) || '|' || unit || '|' || kind || CAST(CAST(floor(log10(base)) AS INT) AS VARCHAR) AS product_key FROM s""")
+def _(spark, sf):
+    """Bucket and key of every offer, whatever the form of its wording."""
+    w = worded_offers(spark, sf)
+    return w.select(*ROWS, size_bucket(F.col("wording")).alias("size_bucket"), product_key(F.col("title"), F.col("unit"), F.col("wording")).alias("product_key"))
+
+
 @query("q34_price_contradictions", f"""WITH {WORDED}, c AS (SELECT *, {DEC.format("gp")} AS quoted_value, floor(face/(qty*0.001)*100 + 0.5)/100 AS derived_value FROM worded WHERE l_linenumber % 6 = 0)
  SELECT {ROW}, quoted_value, derived_value FROM c WHERE quoted_value > 0 AND (derived_value/quoted_value > 3 OR derived_value/quoted_value < 1/3.0::DOUBLE)""")
 def _(spark, sf):

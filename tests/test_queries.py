@@ -56,3 +56,9 @@ def test_null_last_sorts_every_order(spark, duck, name, up):
     rows = duck.sql("select nullif(o_orderstatus, 'P'), o_orderkey from orders").fetchall()
     assert len(got) == len(rows) and any(s is None for s, _ in got)
     assert got == sorted(rows, key=lambda r: (r[0] is None, (ord(r[0]) if up else -ord(r[0])) if r[0] else 0, r[1]))
+
+
+@pytest.mark.parametrize(("name", "forms"), [("q32_derive_unit_price_whole", (1, 2, 3, 5)), ("q33_size_bucket_and_key_whole", (0, 1, 2, 3, 4, 5))])
+def test_every_form_of_wording_is_read(spark, duck, name, forms):
+    got = dict(archive.QUERIES[name](spark, SF).selectExpr("l_linenumber % 6 as form").groupBy("form").count().collect())
+    assert got == dict(duck.sql(f"select l_linenumber % 6, count(*) from lineitem join part on l_partkey = p_partkey where l_linenumber % 6 in {forms} group by 1").fetchall())
