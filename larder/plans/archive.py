@@ -551,6 +551,12 @@ def _(spark, sf):
     return h.select("d", "n", (F.length("hash") == 32).alias("hashed"))
 
 
+@query("q63_churn_hash_values", None)
+def _(spark, sf):
+    """The hashes themselves, which SQL does not have."""
+    return ingest.canonical_hash(observations(spark, sf), "d", ["l_orderkey", "l_linenumber", "part", "supp", "face"]).select("d", "n", "hash")
+
+
 @query("q64_stream_weekly_unique", "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def _(spark, sf):
     """The same counts from a stream that runs to its present end."""

@@ -62,3 +62,18 @@ def test_null_last_sorts_every_order(spark, duck, name, up):
 def test_every_form_of_wording_is_read(spark, duck, name, forms):
     got = dict(archive.QUERIES[name](spark, SF).selectExpr("l_linenumber % 6 as form").groupBy("form").count().collect())
     assert got == dict(duck.sql(f"select l_linenumber % 6, count(*) from lineitem join part on l_partkey = p_partkey where l_linenumber % 6 in {forms} group by 1").fetchall())
+
+
+def test_churn_hash_follows_the_rows_and_not_their_order(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = archive.observations
+    rows = real(spark, SF).localCheckpoint()
+    found = lambda o: (monkeypatch.setattr(archive, "observations", lambda *_: o), {r.d: (r.n, r.hash) for r in archive.QUERIES["q63_churn_hash_values"](spark, SF).collect()})[1]
+    before = found(rows)
+    assert len({h for _, h in before.values()}) == len(before)
+    assert found(rows.repartition(7, "face").sortWithinPartitions(F.desc("face"))) == before
+    week, order, line = rows.orderBy("d", "l_orderkey", "l_linenumber").select("d", "l_orderkey", "l_linenumber").first()
+    one = (F.col("l_orderkey") == order) & (F.col("l_linenumber") == line) & (F.col("d") == week)
+    after = found(rows.withColumn("face", F.when(one, F.col("face") + 0.01).otherwise(F.col("face"))))
+    assert {d for d in before if before[d] != after[d]} == {week} and before[week][0] == after[week][0]
