@@ -8,14 +8,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Values of the hash by which bounded samples are drawn, fine enough for any number of rows.
+DRAWS = 1 << 40
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none."""
+    """The folder all executors share; a local one is set only where a local session names none."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larder-shared-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -36,9 +41,9 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """The texts of a batch; null counts as empty."""
-    return [t or "" for t in batch.column(column).to_pylist()]
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts in UTF-8, by which tables are cut into groups of bounded size."""
+    return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
 #: Bytes of a piece of a batch on average, so that very long texts come in few rows.

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import DRAWS, documents, small_batches
 
 #: Documented bounds of the training sample and of the landmarks taken from it.
 TRAIN_ROWS, LANDMARKS = 1500, 192
 #: Hashed n-gram space, longest n-gram, ridge.
 BITS, LONGEST, RIDGE = 18, 3, 1e-3
+#: Landmarks whose presence rows stand in memory at once (1 MB each).
+BLOCK = 32
 UNKNOWN = "und"
 
 
@@ -104,30 +106,42 @@ def learn(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS) -> Model:
         place.append((turns[lang], lang))
         turns[lang] += 1
     chosen = sorted(range(len(data)), key=place.__getitem__)[:landmarks]
-    table = np.zeros((1 << BITS, len(chosen)), np.float32)
-    for column, i in enumerate(chosen):
-        table[data[i][1], column] = 1 / np.sqrt(len(data[i][1]))
-    kernel = np.stack([table[s].sum(axis=0, dtype=np.float64) / np.sqrt(len(s)) for _, s in data])
+    blocks = [chosen[at : at + BLOCK] for at in range(0, len(chosen), BLOCK)]
+
+    def rows_of(block: list[int]) -> np.ndarray:
+        """The presence rows of some landmarks, a column each."""
+        table = np.zeros((1 << BITS, len(block)), np.float32)
+        for column, i in enumerate(block):
+            table[data[i][1], column] = 1 / np.sqrt(len(data[i][1]))
+        return table
+
+    kernel = np.hstack([np.stack([table[s].sum(axis=0, dtype=np.float64) / np.sqrt(len(s)) for _, s in data]) for table in map(rows_of, blocks)])
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     phi = kernel @ root
     signs = np.array([[1.0 if lang == one else -1.0 for one in languages] for lang, _ in data])
     beta = np.linalg.solve(phi.T @ phi + RIDGE * len(data) * np.eye(phi.shape[1]), phi.T @ signs)
-    return Model(languages, (table @ (root @ beta).astype(np.float32)).astype(np.float32))
+    weights, out = (root @ beta).astype(np.float32), np.zeros((1 << BITS, len(languages)), np.float32)
+    for k, block in enumerate(blocks):
+        out += rows_of(block) @ weights[k * BLOCK : k * BLOCK + len(block)]
+    return Model(languages, out)
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from about ``rows`` documents with a lang whose crc32(doc_id) mod 5 is not 0.
 
-    The sample is taken by a hash of the id and bounded by that number; presence vectors, not
-    texts, come to the driver.
+    Each language has an equal part of that number (all its documents, if it has fewer), so that a
+    rare one is learnt at any size of the table.  The sample is taken by a hash of the id; presence
+    vectors (1 MB a document at most), not texts, come to the driver.
     """
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where("lang is not null and doc_id is not null and text is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    total = known.agg(F.count(F.lit(1))).first()[0]
-    share = min(1.0, rows / max(1, total))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return learn([])
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, max(1, rows // len(counts)) / n) * DRAWS))])
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(DRAWS)) < F.element_at(shares, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):

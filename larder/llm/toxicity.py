@@ -11,11 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import DRAWS, documents, small_batches, stage
 
 #: Documented bound of the training sample, for each of the two labels: rows are taken where a hash
 #: of the id falls under the share that gives about this many rows of the label.
 TRAIN_ROWS = 6000
+#: Documented bound of the features of all these rows together (4 bytes each on the driver): a sample
+#: with more, as of very long texts, is thinned evenly, again by a hash of the id.
+TRAIN_FEATURES = 20_000_000
+#: Parts in which the sample comes to the driver, one after another.
+SAMPLE_PARTS = 16
 #: Size of the hashed feature space, so that the weights never exceed 4 MB, and passes over the sample.
 BITS, EPOCHS = 20, 5
 #: Per-coordinate rates and L1/L2 strengths of the learner.
@@ -86,19 +91,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self._dense[f].astype(np.float64).sum(), -35, 35))))
 
 
-def learn(rows: list[tuple[int, bytes]]) -> Model:
-    """Fit on (label, distinct features as bytes); the order is mixed by a fixed seed at each pass."""
+def learn(labels: list[int], flat: np.ndarray, sizes: list[int]) -> Model:
+    """Fit on rows of distinct features, one after another in ``flat``; a fixed seed mixes their order anew at each pass."""
     model, order = Ftrl(), np.random.default_rng(7)
     seen = np.zeros(1 << BITS, np.int32)
-    for _, raw in rows:
-        seen[np.frombuffer(raw, np.uint32)] += 1
-    data = []
-    for label, raw in rows:  # what one row has alone moves z by less than L1 in all passes together
-        f = np.frombuffer(raw, np.uint32)
-        data.append((label, np.append(f[seen[f] > 1], 1 << BITS).astype(np.int64)))
+    for at in range(0, len(flat), 1 << 20):
+        seen += np.bincount(flat[at : at + (1 << 20)], minlength=1 << BITS).astype(np.int32)
+    several = seen > 1  # what one row has alone moves z by less than L1 in all passes together
+    ends = np.cumsum([0, *sizes]).tolist()
     for _ in range(EPOCHS):
-        for i in order.permutation(len(data)):
-            model.learn(data[i][1], data[i][0])
+        for i in order.permutation(len(labels)).tolist():
+            f = flat[ends[i] : ends[i + 1]]
+            model.learn(np.append(f[several[f]], 1 << BITS).astype(np.int64), labels[i])
     w = model.weights(np.arange(len(model.z)))
     at = np.flatnonzero(w[:-1])
     return Model(at, w[at], float(w[-1]))
@@ -111,8 +115,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0)
     for label in (0, 1):
-        share = F.when(F.col("label") == label, int(min(1.0, rows / max(1, counts.get(label, 0))) * 1_000_000)).otherwise(share)
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+        share = F.when(F.col("label") == label, F.lit(int(min(1.0, rows / max(1, counts.get(label, 0))) * DRAWS))).otherwise(share)
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(DRAWS)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -124,10 +128,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, raw binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learn from a bounded sample; its hashed features, not its texts, come to the driver."""
-    found = sorted(training_rows(docs, labels, rows).collect(), key=lambda r: (r.doc_id, r.raw))
-    return learn([(r.label, r.raw) for r in found])
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_FEATURES) -> Model:
+    """Learn from a sample bounded in rows and in features; its hashed features, not its texts, come
+    to the driver, a part at a time and into one buffer."""
+    sample = stage(docs.sparkSession, training_rows(docs, labels, rows), "toxicity-sample")
+    total = sample.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    if total > 4 * most:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("thinned")), F.lit(DRAWS)) < F.lit(int(4 * most / total * DRAWS)))
+    known, sizes, flat = [], [], bytearray()
+    for row in sample.repartition(SAMPLE_PARTS, "doc_id").sortWithinPartitions("doc_id", "raw").toLocalIterator():
+        known.append(row.label)
+        sizes.append(len(row.raw) // 4)
+        flat += row.raw
+    return learn(known, np.frombuffer(flat, np.uint32), sizes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
