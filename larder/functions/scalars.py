@@ -78,24 +78,39 @@ def fresh(shown_week: Column, made_week: Column) -> Column:
     return (a == "") | (b == "") | (a == b)
 
 
-@F.pandas_udf(T.StringType())
-def first_json(texts: pd.Series) -> pd.Series:
-    """The first JSON object that a reply holds, fenced or between prose; null if none."""
-    decoder = json.JSONDecoder()
-
-    def find(text: str | None) -> str | None:
-        at = (text or "").find("{")
-        while at >= 0:
-            try:
-                return json.dumps(decoder.raw_decode(text, at)[0], ensure_ascii=False)
-            except ValueError:
+def json_in(prefer: str | None = None):
+    """A pandas UDF for the first JSON object that a reply holds, fenced or between prose; null if none.
+
+    With ``prefer`` the first one that has a list of that name, if any has.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def find(texts: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+
+        def objects(text: str):
+            at = text.find("{")
+            while at >= 0:
+                try:
+                    yield decoder.raw_decode(text, at)[0]
+                except ValueError:
+                    pass
                 at = text.find("{", at + 1)
-        return None
 
-    return texts.map(find)
+        def one(text: str | None) -> str | None:
+            first = None
+            for found in objects(text or ""):
+                if prefer is None or isinstance(found.get(prefer), list):
+                    return json.dumps(found, ensure_ascii=False)
+                first = found if first is None else first
+            return None if first is None else json.dumps(first, ensure_ascii=False)
 
+        return texts.map(one)
 
-def reply_json(text: Column) -> Column:
+    return find
+
+
+def reply_json(text: Column, prefer: str | None = None) -> Column:
     """The JSON of a reply as VARIANT: in the JVM where the whole of it parses, else by search."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^`+[a-zA-Z]*\s*", ""), r"\s*`+$", "")
-    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(first_json(text)))
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(json_in(prefer)(text)))

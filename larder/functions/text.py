@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,13 +47,31 @@ def fold_umlauts(s: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, F.lower(s))
 
 
-#: Base letters of the accented Latin letters that occur in titles.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _accents() -> tuple[str, str]:
+    """Small accented Latin letters with their base letters, then the combining marks, which have none."""
+    letters = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower()]
+    bases = {c: unicodedata.normalize("NFKD", c) for c in letters}
+    based = {c: d[0] for c, d in bases.items() if len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))}
+    return "".join(based) + "".join(map(chr, range(0x300, 0x370))), "".join(based.values())
+
+
+def _compatible() -> tuple[str, str]:
+    """Characters whose compatible form (NFKC) is one other character, up to the enclosed and full-width ones."""
+    pairs = {c: unicodedata.normalize("NFKC", c) for c in map(chr, [*range(0xA0, 0x2500), *range(0xFF00, 0xFFF0)])}
+    pairs = {c: d for c, d in pairs.items() if d != c and len(d) == 1}
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _accents()
+COMPATIBLE, COMMON = _compatible()
 
 
 def search_fold(s: Column) -> Column:
-    """Lower case without accents, ß as ss; stays in the JVM (a table instead of NFKD)."""
+    """Lower case without accents, ß as ss.
+
+    It stays in the JVM: a table of all Latin letters and combining marks instead of NFKD.  Only
+    compatible forms of several letters, such as ligatures, stay as they are.
+    """
     return F.replace(F.translate(F.lower(F.coalesce(s, F.lit(""))), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
@@ -59,12 +79,22 @@ def slugify(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold_umlauts(norm(s)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters and projections read but never compute again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_number(s: Column) -> Column:
     """Number with German grouping: both marks mean dot groups and comma decimals; garbage is null."""
-    t = F.regexp_replace(s, r"^\s+|\s+$", "")
-    grouped = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = F.when((F.instr(t, ".") > 0) & (F.instr(t, ",") > 0), grouped).otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+    dot, comma = F.lit("."), F.lit(",")
+    plain = lambda t: F.replace(F.when(t.contains(".") & t.contains(","), F.replace(t, dot, F.lit(""))).otherwise(t), comma, dot)
+    number = lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))
+    return let(F.regexp_replace(s, r"^\s+|\s+$", ""), lambda t: let(plain(t), number))
 
 
 #: Words of offer descriptions that carry no identity.
@@ -72,8 +102,12 @@ FILLER = ("je", "ca", "versch", "sorten")
 
 
 def norm_desc(s: Column) -> Column:
-    """The sorted set of a description's words, without punctuation and filler."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"(?U)[^\w\s]", " "), r"(?U)\s+")
+    """The sorted set of a description's words, without punctuation and filler.
+
+    Compatible forms of one character (no-break space, ², full-width letters) become common ones.
+    """
+    common = F.translate(F.coalesce(s, F.lit("")), COMPATIBLE, COMMON)
+    words = F.split(F.regexp_replace(F.lower(common), r"(?U)[^\w\s]", " "), r"(?U)\s+")
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*FILLER))
     return F.array_join(F.array_sort(F.array_distinct(kept)), " ")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm, norm_title, parse_number
+from .text import let, norm, norm_title, parse_number
 
 #: Text formats of quoted unit prices and pack sizes, factors and display units.
 QUOTED = r"1\s*([A-Za-z]{1,3})\s*=\s*(ab\s*)?€\s*([\d.,]+)(?:\s*/\s*€\s*([\d.,]+))?"
@@ -15,8 +15,8 @@ SIZE = r"(?iu)(\d+(?:[.,]\d+)?)\s*(ml|l|g|kg)(?![\p{L}\p{N}_])"
 COUNT = r"(?iu)(\d+(?:[.,]\d+)?)\s*(WA|Tabs?|Caps?|St(?:ü|ue)ck|Stk|WL)(?![\p{L}\p{N}_])"
 MULTIPACK = r"(?iu)\d\s*[x×]\s*\d|(?<![\p{L}\p{N}_])à(?![\p{L}\p{N}_])"
 LOOSE = r"(?iu)offen"
-SHOWN = {"wa": "WA", "tab": "Tab", "st": "St", "stk": "St", "cap": "cap"}
-COUNTED = {"stück": "st", "stueck": "st", "stk": "st", "st": "st", "wl": "wa", "wa": "wa", "tab": "tab", "cap": "cap"}
+SHOWN = {"wa": "WA", "tab": "Tab", "st": "St", "stk": "St"}
+COUNTED = {"stück": "st", "stueck": "st", "stk": "st", "st": "st", "wl": "wa", "wa": "wa", "tab": "tab", "cap": "tab"}
 SANE_FACE = 500.0
 
 
@@ -43,15 +43,6 @@ def face_price(raw: Column, text: Column, most: float = SANE_FACE) -> Column:
     return round2(sane(F.coalesce(raw, parsed), most))
 
 
-def _group(s: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def quoted(text: Column) -> Column:
     """struct(value, unit, flag, low) of a quoted unit price; null where there is none.
 
@@ -59,20 +50,31 @@ def quoted(text: Column) -> Column:
     """
 
     def read(t: Column) -> Column:
-        parts = F.struct(*[_group(t, QUOTED, k).alias(n) for k, n in enumerate(("unit", "ab", "first", "second"), 1)])
-        return let(parts, lambda p: let(F.struct(parse_number(p["first"]).alias("value"), parse_number(p["second"]).alias("other")), lambda v: made(p, v)))
+        parts = F.struct(*[F.regexp_extract(t, QUOTED, k).alias(n) for k, n in enumerate(("unit", "ab", "first", "second"), 1)])
+        values = lambda p: F.struct(parse_number(p["first"]).alias("value"), parse_number(p["second"]).alias("other"))
+        return F.when(t.contains("="), let(parts, lambda p: let(values(p), lambda v: made(p, v))))
 
     def made(p: Column, v: Column) -> Column:
-        flag = F.when(p["ab"].isNotNull(), "lower").when(p["second"].isNotNull(), "range").otherwise("exact")
+        flag = F.when(p["ab"] != "", "lower").when(p["second"] != "", "range").otherwise("exact")
         unit = let(F.lower(p["unit"]), lambda u: _lookup(SHOWN, u))
         return F.when(v["value"].isNotNull(), F.struct(v["value"].alias("value"), unit.alias("unit"), flag.alias("flag"), F.least(v["value"], v["other"]).alias("low")))
 
     return let(norm(text), read)
 
 
-def _measure(t: Column, pattern: str) -> Column:
-    """struct(n, number, unit): how many measures a text has, and the first one."""
-    return F.struct(F.regexp_count(t, F.lit(pattern)).alias("n"), parse_number(_group(t, pattern, 1)).alias("number"), F.lower(_group(t, pattern, 2)).alias("unit"))
+def _measured(t: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of struct(n, number, unit): how many measures a text has, and the first one."""
+
+    def read(found: Column) -> Column:
+        first = F.coalesce(F.get(found, 0), F.lit(""))
+        parts = F.struct(F.regexp_extract(first, r"^[\d.,]+", 0).alias("number"), F.lower(F.regexp_extract(first, r"[^\d.,\s]+$", 0)).alias("unit"))
+        return let(parts, lambda p: let(F.struct(F.size(found).alias("n"), parse_number(p["number"]).alias("number"), p["unit"].alias("unit")), body))
+
+    return let(F.regexp_extract_all(t, F.lit(pattern), 0), read)
+
+
+def _litres_or_kilos(m: Column) -> Column:
+    return m["number"] * F.when(m["unit"].isin("ml", "g"), 0.001).otherwise(1.0)
 
 
 def derived(text: Column, face: Column) -> Column:
@@ -85,15 +87,16 @@ def derived(text: Column, face: Column) -> Column:
     def per(base: Column, unit: Column) -> Column:
         return let(base, lambda b: F.when(b > 0, F.struct(round2(face / b).alias("value"), unit.alias("unit"))))
 
-    def read(m: Column) -> Column:
-        size, count = m["size"], m["count"]
-        by_size = per(size["number"] * F.when(size["unit"].isin("ml", "g"), 0.001).otherwise(1.0), F.when(size["unit"].isin("ml", "l"), "l").otherwise("kg"))
-        kind = let(F.regexp_replace(count["unit"], "s+$", ""), lambda u: let(_lookup(COUNTED, u), lambda k: _lookup(SHOWN, k)))
-        open_ = (face > 0) & ~m["guarded"]
-        return F.when(open_ & (size["n"] == 1), by_size).when(open_ & (size["n"] == 0) & (count["n"] == 1), per(count["number"], kind))
+    def by_count(m: Column) -> Column:
+        kind = let(F.regexp_replace(m["unit"], "s+$", ""), lambda u: let(_lookup(COUNTED, u), lambda k: _lookup(SHOWN, k)))
+        return F.when(m["n"] == 1, per(m["number"], kind))
+
+    def read(t: Column) -> Column:
+        by_size = lambda m: per(_litres_or_kilos(m), F.when(m["unit"].isin("ml", "l"), "l").otherwise("kg"))
+        sized = lambda m: F.when(m["n"] == 1, by_size(m)).when(m["n"] == 0, _measured(t, COUNT, by_count))
+        return F.when((face > 0) & ~t.rlike(MULTIPACK) & ~t.rlike(LOOSE), _measured(t, SIZE, sized))
 
-    measures = lambda t: F.struct(_measure(t, SIZE).alias("size"), _measure(t, COUNT).alias("count"), (t.rlike(MULTIPACK) | t.rlike(LOOSE)).alias("guarded"))
-    return let(norm(text), lambda t: let(measures(t), read))
+    return let(norm(text), read)
 
 
 def resolved(basic: Column, base_unit: Column, description: Column, face: Column) -> Column:
@@ -109,12 +112,11 @@ def size_bucket(base_unit: Column) -> Column:
     def named(kind: Column, x: Column) -> Column:
         return let(x, lambda v: F.when(v > 0, F.concat(kind, F.floor(F.log10(v)).cast("int").cast("string"))))
 
-    def read(m: Column) -> Column:
-        size = m["size"]
-        by_size = named(F.when(size["unit"].isin("ml", "l"), "v").otherwise("w"), size["number"] * F.when(size["unit"].isin("ml", "g"), 0.001).otherwise(1.0))
-        return F.coalesce(by_size, named(F.lit("c"), m["count"]["number"]), F.lit("?"))
+    def read(t: Column) -> Column:
+        by_size = _measured(t, SIZE, lambda m: named(F.when(m["unit"].isin("ml", "l"), "v").otherwise("w"), _litres_or_kilos(m)))
+        return F.coalesce(by_size, _measured(t, COUNT, lambda m: named(F.lit("c"), m["number"])), F.lit("?"))
 
-    return let(norm(base_unit), lambda s: let(F.struct(_measure(s, SIZE).alias("size"), _measure(s, COUNT).alias("count")), read))
+    return let(norm(base_unit), read)
 
 
 def product_key(title: Column, unit: Column, base_unit: Column) -> Column:

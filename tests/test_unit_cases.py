@@ -25,7 +25,7 @@ def test_round2_is_half_up(spark):
     ("raw", "expected"),
     [
         ("1 kg = € 12.50", (12.5, "kg", "exact")), ("1 l = ab € 0.12", (0.12, "l", "lower")), ("1 l = € 15.27 / € 45.80", (15.27, "l", "range")),
-        ("1 WA = € 0,20", (0.2, "WA", "exact")), ("frisch", None), (None, None),
+        ("1 WA = € 0,20", (0.2, "WA", "exact")), ("1 Tab = € 0,20", (0.2, "Tab", "exact")), ("frisch", None), (None, None),
     ],
 )
 def test_quoted(spark, raw, expected):
@@ -38,6 +38,7 @@ def test_quoted(spark, raw, expected):
     [
         ("1 kg Schale", 1.29, (1.29, "kg")), ("2 Stück Packung", 0.99, (0.5, "St")), ("6 x 0,33 l", 3.0, None), ("2 Stück à 50 g", 3.0, None),
         ("offene 400 g Schale", 3.0, None), ("je 200 g / 250 g Packung", 3.0, None), ("20 Stück = 1000 g Beutel", 4.0, (4.0, "kg")), ("", 1.0, None),
+        ("30 Caps", 6.0, (0.2, "Tab")), ("1 Cap", 0.5, (0.5, "Tab")), ("30 Tabs", 6.0, (0.2, "Tab")), ("20 WL", 5.0, (0.25, "WA")), ("3 Stk", 3.0, (1.0, "St")),
     ],
 )
 def test_derived(spark, raw, face, expected):
@@ -62,6 +63,7 @@ def test_face_price(spark):
     [
         ("Rumänien", False, False, False), ("Bacardi Rum", False, False, True), ("Limetten", False, False, False), ("WC-Ente", False, False, False),
         ("Wiener Boden", False, False, False), ("Wiener", True, False, False), ("HÄHNCHENBRUST", True, False, False), ("Lachsfilet", False, True, False),
+        ("Jackdaniel's", False, False, True), ("Jack Daniel's", False, False, True),
     ],
 )
 def test_detectors(spark, title, meat, fish, spirits):
