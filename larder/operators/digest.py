@@ -42,7 +42,7 @@ def sectioned(offers: DataFrame, muted: tuple[str, ...] = (), most: int = PER_SE
     """
     kept = offers.where(~diet_excluded(F.col("title"), F.col("description"), F.col("category"), muted))
     each = kept.withColumn("section", F.explode(sections(F.col("title"), F.col("category"), F.col("flagged"))))
-    order = Window.partitionBy("section").orderBy(F.col("pctile").isNull(), F.coalesce(~F.col("best"), F.lit(True)), F.coalesce("pctile", F.lit(100)), "id")
+    order = Window.partitionBy("section").orderBy(*by_evidence())
     return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
@@ -92,3 +92,23 @@ def effective_levels(defaults: dict[str, int], stored: DataFrame) -> DataFrame:
     base = spark.createDataFrame(list(defaults.items()), "topic string, usual int")
     valid = stored.where(F.col("level").isin(*detectors.LEVEL_WEIGHTS)).select("topic", "level")
     return base.join(valid, "topic", "full").select("topic", F.coalesce("level", "usual", F.lit(0)).alias("level"))
+
+
+#: Sections that a digest must introduce.
+REQUIRED_SECTIONS = ("vegan", "obstgemuese", "bierspezi", "knueller")
+
+
+def missing_sections(replies: DataFrame, required: tuple[str, ...] = REQUIRED_SECTIONS) -> DataFrame:
+    """Per reply (reply, sections) the required sections it lacks, in order."""
+    return replies.select("reply", F.array_sort(F.array_except(F.array(*map(F.lit, required)), "sections")).alias("missing")).where("size(missing) > 0")
+
+
+def by_evidence() -> list[Column]:
+    """Rows with evidence first, best prices before others, then the lowest percentile, then the id."""
+    return [F.col("pctile").isNull(), F.coalesce(~F.col("best"), F.lit(True)), F.coalesce("pctile", F.lit(100)), F.col("id")]
+
+
+def vegan_candidates(offers: DataFrame, most: int = 40) -> DataFrame:
+    """Produce and whatever says vegan in its title, genuine deals first (offers as for ``sectioned``)."""
+    picked = (F.col("category") == detectors.CATEGORIES["produce"]) | F.col("title").rlike(SECTION_VEGAN)
+    return offers.where(picked).orderBy(*by_evidence()).limit(most)

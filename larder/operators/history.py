@@ -70,3 +70,45 @@ def cadence(seen: DataFrame) -> DataFrame:
     found = med.groupBy("key").agg(F.max("d").alias("last"), F.count("gap").alias("gaps"), F.max("med").alias("med"), F.median(F.abs(F.col("gap") - F.col("med"))).alias("mad"))
     found = found.where("gaps >= 1")
     return found.select("key", "gaps", "med", "mad", (F.col("mad") > F.col("med") / 2).alias("irregular"), F.date_add("last", F.round("med").cast("int")).alias("next"))
+
+
+def envelope(obs: DataFrame) -> DataFrame:
+    """The head of the product index: the latest date and all weeks, ascending (one short row)."""
+    return obs.select("d").distinct().agg(F.max("d").alias("latest"), F.array_sort(F.collect_list("d")).alias("weeks"))
+
+
+def at_low(deals: DataFrame, eps: float = 0.001) -> DataFrame:
+    """How many of the deals (key, over) are at their low, and the best one (ties: the smaller key)."""
+    return deals.agg(F.count_if(F.col("over") <= eps).alias("at_low"), F.min_by("key", F.struct("over", "key")).alias("best"))
+
+
+def newest(obs: DataFrame, by: str, *order: str, most: int = 30) -> DataFrame:
+    """The newest observations of each product, newest first."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(c) for c in order]))
+    return obs.withColumn("place", place).where(F.col("place") <= most)
+
+
+def variants(obs: DataFrame, week: DataFrame) -> DataFrame:
+    """The variants of each title: those offered in the week (one row, d) first, then the longest histories."""
+    chosen = F.broadcast(week.select("d", F.lit(True).alias("chosen")))
+    found = obs.join(chosen, "d", "left").groupBy("title", "key").agg(F.max(F.coalesce("chosen", F.lit(False))).alias("offered"), F.count(F.lit(1)).alias("n_obs"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("title").orderBy(F.desc("offered"), F.desc("n_obs"), "key")))
+
+
+def weeks_offered(obs: DataFrame) -> DataFrame:
+    """Per product its weeks, first and last date, and how many weeks of the archive came after the last."""
+    seen = obs.groupBy("key").agg(F.count_distinct("d").alias("weeks"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
+    # One row a week of the archive, numbered from the newest: short whatever the number of products.
+    after = obs.select("d").distinct().withColumn("since", (F.row_number().over(Window.orderBy(F.desc("d"))) - 1).cast("long"))
+    return seen.join(F.broadcast(after.withColumnRenamed("d", "last_d")), "last_d")
+
+
+def totals(offers: DataFrame) -> DataFrame:
+    """Corpus totals by where the unit price comes from (offers: r, the resolved price, and native)."""
+    found = F.col("r").isNotNull()
+    derived = found & (F.col("r.flag") == "derived")
+    return offers.agg(
+        F.count(F.lit(1)).alias("offers"), F.count_if(found).alias("priced"), F.count_if(found & ~derived & F.col("native")).alias("native"),
+        F.count_if(found & ~derived & ~F.col("native")).alias("described"), F.count_if(derived).alias("derived"),
+        round6(F.count_if(derived) / F.count_if(found)).alias("derived_share"),
+    )

@@ -58,3 +58,43 @@ def marked_links(texts: DataFrame, titles: DataFrame, key: str, text: str) -> Da
     diet = "(?i)veggie|vegan|vegetarisch|fleischfrei"
     drops = F.col("title").rlike(diet) & ~F.col("label").rlike(diet)
     return joined.select(key, "at", "raw", "title", F.when(drops, F.col("title")).otherwise(F.col("label")).alias("label"))
+
+
+def first_of_title(rows: DataFrame, offers: DataFrame, order: Column) -> DataFrame:
+    """Each row with the first offer of its title, if there is one (rows: title; offers: title, id)."""
+    first = offers.groupBy("title").agg(F.min_by("id", order).alias("offer"))
+    return rows.join(first, "title", "left")
+
+
+def basket(kept: DataFrame, offers: DataFrame) -> DataFrame:
+    """Basket entries (id, kept_title) with this week's title and price, else the title they were kept under."""
+    now = offers.select("id", F.col("title").alias("now"), F.col("price").alias("now_price"))
+    joined = kept.join(now, "id", "left")
+    return joined.select("id", F.coalesce("now", "kept_title").alias("name"), F.col("now").isNotNull().alias("offered"), F.col("now_price").alias("price"))
+
+
+def ingredients(lines: DataFrame, offers: DataFrame) -> DataFrame:
+    """Ingredient lines (meal, name, offer_title) with the group they belong to and the first offer of that title."""
+    linked = first_of_title(lines.withColumnRenamed("offer_title", "title"), offers, F.col("id"))
+    return linked.select("meal", "name", F.when(F.col("title").isNotNull(), "offer").otherwise("pantry").alias("grp"), "offer")
+
+
+def current_brochures(brochures: DataFrame, retailers: DataFrame, monday: Column, most: int) -> DataFrame:
+    """The first brochures of each retailer whose week is the current one or later.
+
+    brochures: brochure, publisher, valid_from; retailers: retailer, publisher (exact names).
+    """
+    week = F.date_trunc("week", F.col("valid_from") + F.expr("interval 6 hours")).cast("date")
+    mine = brochures.withColumn("week", week).where(F.col("week") >= monday).join(retailers, "publisher")
+    place = F.row_number().over(Window.partitionBy("retailer").orderBy("valid_from", "brochure"))
+    return mine.withColumn("place", place).where(F.col("place") <= most).select("retailer", "place", "brochure", "week")
+
+
+def disagreements(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Verdicts of two engines side by side, column by column: key, column, left, right where they differ."""
+    names = [c for c in left.columns if c != key]
+    a = left.select(key, F.struct(*names).alias("a"))
+    b = right.select(key, F.struct(*names).alias("b"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"a.{n}").cast("string").alias("x"), F.col(f"b.{n}").cast("string").alias("y")) for n in names])
+    each = a.join(b, key, "full").select(key, F.explode(pairs).alias("p"))
+    return each.where(~F.col("p.x").eqNullSafe(F.col("p.y"))).select(key, "p.name", F.col("p.x").alias("left"), F.col("p.y").alias("right"))

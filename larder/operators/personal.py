@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.unitprice import round2
-
 #: Receipt lines that are no products.
 NO_PRODUCT = (
     r"(?iu)(pfand|\bleergut\b|\brabatt\b|\bcoupon\b|\bgutschein\b|\bsumme\b|\bgesamt\b|\bzwischensumme\b|\bpayback\b|\bkartenzahlung\b|"
@@ -18,9 +16,17 @@ GROUPS = ("offer", "custom", "pantry")
 
 
 def loyalty(lines: DataFrame) -> DataFrame:
-    """Per normalised name: purchases, quantity, money, last spelling (lines: name, norm, qty, spent, at)."""
-    kept = lines.where(~F.col("name").rlike(NO_PRODUCT))
-    return kept.groupBy("norm").agg(F.count(F.lit(1)).alias("c"), F.sum("qty").alias("qty"), round2(F.sum("spent")).alias("spent"), F.max_by("name", "at").alias("name"))
+    """Per normalised name: purchases, quantity, money, last spelling (lines: name, norm, qty, spent, at).
+
+    A quantity that is none, not positive or not finite counts as one, such a price as nothing; money
+    is summed in whole cents, so that the order of the lines does not matter.
+    """
+    usable = lambda c, low: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) & low
+    qty = F.when(usable("qty", F.col("qty") > 0), F.col("qty")).otherwise(1.0)
+    cents = F.when(usable("spent", F.col("spent") >= 0), F.floor(F.col("spent") * 100 + 0.5)).otherwise(0).cast("decimal(20,0)")
+    kept = lines.where((F.trim("name") != "") & ~F.col("name").rlike(NO_PRODUCT) & (F.col("norm") != ""))
+    sums = kept.groupBy("norm").agg(F.count(F.lit(1)).alias("c"), F.sum(qty).alias("qty"), F.sum(cents).alias("cents"), F.max_by("name", F.struct("at", "name")).alias("name"))
+    return sums.select("norm", "c", "qty", (F.col("cents").cast("double") / 100).alias("spent"), "name")
 
 
 def affinity(votes: DataFrame) -> DataFrame:
@@ -47,3 +53,15 @@ def shopping_list(rows: DataFrame) -> DataFrame:
 def grouped_text(items: DataFrame) -> DataFrame:
     """The list as text, a block a group."""
     return items.groupBy("grp").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- [ ] "), F.col("name")))), "\n").alias("text"))
+
+
+def most_bought(items: DataFrame, most: int = 20) -> DataFrame:
+    """Names by how often they were bought (items: name, c; no count is one)."""
+    return items.where("name <> ''").select("name", F.coalesce("c", F.lit(1)).alias("c")).orderBy(F.desc("c"), "name").limit(most)
+
+
+def pruned_votes(votes: DataFrame, offers: DataFrame, category: str) -> DataFrame:
+    """Votes (id, v) without the down-votes that a muted category makes redundant; up-votes and votes
+    on what is not offered now stay."""
+    redundant = offers.where(F.col("category") == category).select("id").distinct()
+    return votes.where("v = -1").join(redundant, "id", "left_anti").unionByName(votes.where("v <> -1"))

@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.history import envelope, gathered
 from ..operators.matching import resolve_collisions
 
 
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside ``path`` and rename when all is there: a write that fails leaves the old files."""
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    write(beside)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    new, old = jvm.Path(beside), jvm.Path(path)
+    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(old):
+        files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{beside} could not be renamed to {path}")
+
+
 def write_index(df: DataFrame, path: str, *order: str) -> None:
-    """An index as Parquet; Spark's committer makes the replacement atomic for readers of _SUCCESS."""
-    (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(path)
+    """An index as Parquet, put in place of the old one when it is complete."""
+    replaced(df.sparkSession, path, lambda beside: (df.sortWithinPartitions(*order) if order else df).write.parquet(beside))
 
 
 def history_export(products: DataFrame, path: str) -> None:
     """The product index with nested observations as JSON lines, the longest histories first."""
-    products.orderBy(F.desc("n_obs"), "title", "key").write.mode("overwrite").json(path)
+    replaced(products.sparkSession, path, lambda beside: products.orderBy(F.desc("n_obs"), "title", "key").write.json(beside))
+
+
+def write_history(obs: DataFrame, path: str) -> None:
+    """The price history: products under ``path/products`` and its head (latest date, weeks) under ``path/head``."""
+    write_index(gathered(obs), f"{path}/products", "title", "key")
+    write_index(envelope(obs), f"{path}/head")
 
 
 def as_json(df: DataFrame, columns: list[str], **meta: Column) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.scalars import receipt_fingerprint
+from ..functions.text import norm_title
 
 OFFER = T.StructType().add("id", "string").add("title", "string").add("category", T.StructType().add("name", "string")).add("price", T.StructType().add("rawValue", "double").add("value", "string"))
 OFFER = OFFER.add("basicPrice", "string").add("baseUnit", "string").add("description", "string").add("criteria", T.ArrayType(T.StructType().add("name", "string")))
@@ -15,6 +21,8 @@ PREFERENCES = (
     "version int, interests map<string,int>, votes map<string,struct<v:int,t:string>>, bought map<string,struct<c:int,t:string>>, "
     "meals map<string,struct<v:int,t:string,tags:array<string>>>, glutenFree boolean, updatedAt string"
 )
+#: Snapshots of other sources: their own week and count, and offers with the key they are told apart by.
+SIBLING = "weekStart string, totalCount long, offers array<struct<sku:string,id:string,title:string,price:double,category:string>>"
 RECEIPT = "store string, date string, items array<struct<name:string,qty:double,price:double>>"
 #: How snapshot paths name year, week and date.
 WEEK_PATH, DATE_PATH = r"(\d{4})/(KW\d+)/", r"(\d{4}-\d{2}-\d{2})"
@@ -54,13 +62,80 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def optional(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON source that may be missing or malformed: then an empty table, never an error."""
     try:
-        read = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-        read.head(1)
-        return read
-    except Exception as e:  # a missing path surfaces when it is planned, a broken one when it is read
-        if isinstance(e, AnalysisException) or "FILE" in str(e).upper() or "PATH" in str(e).upper():
-            return spark.createDataFrame([], schema)
-        raise
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def siblings(spark: SparkSession, glob: str, source: str) -> DataFrame:
+    """Snapshots of a sibling archive: a row a file, as ``audit.sibling_report`` reads them, with their offers."""
+    read = located(spark.read.schema(SIBLING).option("multiLine", True).json(glob).select("*", F.col("_metadata.file_path").alias("path")))
+    year, kw = F.regexp_extract("path", WEEK_PATH, 1), F.regexp_extract("path", WEEK_PATH, 2)
+    return read.select(
+        F.lit(source).alias("source"), year.alias("year"), kw.alias("kw"), F.to_date("date").alias("d"), F.to_date("weekStart").alias("week_start"),
+        F.col("totalCount").alias("total"), F.size(F.coalesce("offers", F.array())).cast("long").alias("n"), "offers",
+    )
+
+
+def receipt_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Receipts that were read into JSON, a row a line, with the receipt's fingerprint; none where there are none."""
+    r = optional(spark, path, RECEIPT).where("items is not null")
+    r = r.withColumn("fp", receipt_fingerprint(F.col("store"), F.col("date"), F.col("items")))
+    line = r.select("fp", "store", F.col("date").alias("at"), F.explode("items").alias("i"))
+    return line.select("fp", "store", "at", F.trim("i.name").alias("name"), norm_title(F.col("i.name")).alias("norm"), F.col("i.qty").alias("qty"), F.col("i.price").alias("spent"))
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """An index as ``sinks.write_index`` leaves it; what reads it several times may cache it."""
+    return spark.read.parquet(path)
+
+
+def paged_source(name: str, schema: str, limit: int, fetch: Callable[[int, int], dict]) -> type[DataSource]:
+    """A data source that reads ``fetch(offset, limit)`` page by page, a task a page.
+
+    A page is {"data": [row, ...], "total": n}.  The first one is read to plan the others; an empty
+    page gives nothing, a malformed one is an error.  schema: columns of plain types as DDL.
+    """
+    names = [column.split()[0] for column in schema.split(",")]
+
+    def page(offset: int) -> dict:
+        got = fetch(offset, limit)
+        if not isinstance(got.get("data"), list) or not isinstance(got.get("total"), int):
+            raise ValueError(f"malformed page at offset {offset}")
+        return got
+
+    class Reader(DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(offset) for offset in range(0, max(1, page(0)["total"]), limit)]
+
+        def read(self, partition: InputPartition):
+            for row in page(partition.value)["data"]:
+                yield tuple(row.get(column) for column in names)
+
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema: T.StructType) -> DataSourceReader:
+            return Reader()
+
+    return Paged
+
+
+def date_labels(d: Column, week: Column) -> list[Column]:
+    """31.12.2024, 31.12. and KW01 from a date and a week label as text; other text stays as it is."""
+    dated = d.rlike(r"^\d+-\d+-\d+$")
+    part = lambda k: F.get(F.split(d, "-"), k)
+    long_ = F.when(dated, F.concat_ws(".", part(2), part(1), part(0))).otherwise(d)
+    short = F.when(dated, F.concat(part(2), F.lit("."), part(1), F.lit("."))).otherwise(d)
+    kw = F.regexp_extract(week, r"KW\d+", 0)
+    return [long_.alias("long_date"), short.alias("short_date"), F.when(kw != "", kw).otherwise(week).alias("week_label")]
 
 
 def preferences(df: DataFrame, column: str = "value") -> DataFrame:

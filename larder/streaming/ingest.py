@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def canonical_hash(rows: DataFrame, by: str, stable: list[str]) -> DataFrame:
 
 
 def stale(hashes: DataFrame, by: str) -> DataFrame:
-    """Groups whose rows equal those of the group before."""
+    """Groups whose rows equal those of the group before (one short row a group, in one order)."""
     return hashes.withColumn("same", F.col("hash") == F.lag("hash").over(Window.partitionBy(F.lit(0)).orderBy(by))).where("same").select(by)
 
 
@@ -34,15 +35,19 @@ class WeekSink:
     def _stored(self, schema) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self.path)
-        except Exception:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def __call__(self, batch: DataFrame, epoch: int = 0) -> None:
+        batch = batch.persist()  # read for its hashes and again for its rows
         new = canonical_hash(batch, self.by, self.stable)
         old = canonical_hash(self._stored(batch.schema), self.by, self.stable).select(self.by, F.col("n").alias("old_n"), F.col("hash").alias("old_hash"))
         wanted = new.join(old, self.by, "left").where((F.col("n") >= self.least) & (F.col("old_n").isNull() | ((F.col("n") >= F.col("old_n")) & (F.col("hash") != F.col("old_hash")))))
         kept = batch.join(wanted.select(self.by), self.by, "left_semi")
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.by).parquet(self.path)
+        batch.unpersist()
 
 
 def ingest(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -63,3 +68,26 @@ def weekly_unique(events: DataFrame, id_column: str, ts: str, late: str = "7 day
 def fresh_only(receipts: DataFrame, ledger: DataFrame, fingerprint: str) -> DataFrame:
     """Receipts whose fingerprint the ledger does not have."""
     return receipts.join(ledger.select(fingerprint).distinct(), fingerprint, "left_anti")
+
+
+def admitted(weeks: DataFrame, least: int, share: float = 0.9) -> DataFrame:
+    """Fetched weeks (n, declared) with the reason why one is turned away: too few offers, or a page lost."""
+    reason = F.when(F.col("n") < least, "too few").when((F.col("declared") > 0) & (F.col("n") < share * F.col("declared")), "page lost")
+    return weeks.withColumn("refused", reason)
+
+
+def overdue(weeks: DataFrame, manifest: DataFrame, told: DataFrame) -> DataFrame:
+    """Weeks (week, today) that the manifest lacks from Tuesday on, of which nobody has been told yet."""
+    due = weeks.where(F.dayofweek("today").between(3, 7) | (F.dayofweek("today") == 1))
+    return due.join(manifest.select("week"), "week", "left_anti").join(told.select("week"), "week", "left_anti")
+
+
+def isolated(sources: dict[str, Callable[[], None]]) -> dict[str, str]:
+    """Run every source; one that fails keeps none of the others from running.  Gives the errors by name."""
+    errors = {}
+    for name, run in sources.items():
+        try:
+            run()
+        except Exception as e:  # whatever one source does wrong is its own
+            errors[name] = f"{type(e).__name__}: {e}"
+    return errors
