@@ -1,9 +1,10 @@
 """A distributed inverted index over hashed word windows, in compact sorted blocks.
 
-Tasks cut their documents into chunks and give every chunk's window hashes, sorted, to ranges of
-the hash space as one block a range.  A range merges its blocks and tells each chunk which of its
-windows also occur elsewhere.  Rows are blocks, not windows, so the shuffle holds about 7 bytes a
-window and nothing is ever gathered by a single hot window.
+Tasks cut their documents into chunks.  A chunk gives its distinct window hashes, sorted, to ranges
+of the hash space as one block a range, with how many of its documents have each; which documents
+these are stays in the chunk's own row.  A range merges its blocks and tells each chunk which of its
+windows also occur elsewhere.  Rows are blocks, not windows, so the shuffle holds about 9 bytes a
+window, and a window that a third of all documents have is one entry a chunk.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, small_batches
+from .common import shuffle_width, small_batches, text_bytes
 from .tokens import words_of
 
 #: Windows and documents of a chunk at most (but a chunk holds one document at least).
 CHUNK_WINDOWS, CHUNK_DOCS = 1_500_000, 60_000
-#: Bytes of a hash that a block stores besides its range, where windows are to be told apart
-#: exactly; fewer serve where a chance match does no harm.
-EXACT_BYTES = 6
-BLOCKS = "range long, chunk long, n int, docs binary, tokens binary, owners binary"
+#: Bytes of text whose windows one range of the hash space gets, about, whatever the shuffle's width.
+RANGE_BYTES = 8 << 20
+#: Bytes of a hash that a block stores besides its range, where windows are to be told apart (from
+#: 256 ranges on, all 64 bits); fewer serve where a chance match does no harm.
+EXACT_BYTES = 7
+BLOCKS = "range long, chunk long, n int, docs binary, tokens binary, counts binary, owners binary"
 _U = np.uint64
 
 
@@ -68,12 +71,24 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
 
 
 def range_bits(df: DataFrame) -> int:
-    return min(15, max(0, (shuffle_width(df.sparkSession) - 1).bit_length()))
+    """Bits of a hash that name its range: by the bytes of all texts, and as many as the shuffle's width at least."""
+    ranges = max(shuffle_width(df.sparkSession), -(-text_bytes(df) // RANGE_BYTES))
+    return min(40, max(0, (ranges - 1).bit_length()))
+
+
+def rest_bits(bits: int, low: int) -> int:
+    """Bits of a hash that blocks store besides the range's."""
+    return min(8 * low, 64 - bits)
 
 
 def short(hashes: np.ndarray, bits: int, low: int = EXACT_BYTES) -> np.ndarray:
     """What is left of hashes in blocks: the bits of the range and those stored."""
-    return hashes >> _U(64 - 8 * low - bits)
+    return hashes >> _U(64 - bits - rest_bits(bits, low))
+
+
+def firsts_of(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in an ordered array."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
 
 
 class _Chunk:
@@ -96,20 +111,22 @@ class _Chunk:
         owners = np.concatenate(self.owners) if self.owners else np.zeros(0, np.uint16)
         order = np.argsort(tokens)
         tokens, owners = tokens[order], owners[order]
-        cuts = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=_U) << _U(8 * low))
-        docs = np.array(self.rows, dtype="<i8").tobytes()
-        # The chunk's own row goes to a range of its own, below 0, and through it back to the chunk.
-        rows = [(-1 - self.number % (1 << bits), self.number, len(self.rows), docs, None, None)]
-        for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
-            if a < b:
-                rows.append((r, self.number, b - a, None, _packed(tokens[a:b], low), owners[a:b].astype("<u2").tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["range", "chunk", "n", "docs", "tokens", "owners"])
-
-
-def blocks_of(docs: DataFrame, fill: Callable[[pa.RecordBatch, _Chunk], None], low: int = EXACT_BYTES) -> DataFrame:
+        first = firsts_of(tokens)
+        counts = np.diff(np.append(first, len(tokens)))
+        tokens, ranges = tokens[first], (tokens[first] >> _U(rest_bits(bits, low))).astype(np.int64)
+        starts = firsts_of(ranges)
+        # The chunk's own row has a group of its own, below 0, and goes through it back to the chunk.
+        places = np.column_stack((ranges[starts], starts)).astype("<i8")
+        rows = [(-1 - self.number, self.number, len(self.rows), np.array(self.rows, dtype="<i8").tobytes(), places.tobytes(), counts.astype("<u4").tobytes(), owners.astype("<u2").tobytes())]
+        few = np.minimum(counts, 0xFFFF).astype("<u2")
+        for r, a, b in zip(ranges[starts].tolist(), starts.tolist(), np.append(starts[1:], len(tokens)).tolist()):
+            rows.append((r, self.number, b - a, None, _packed(tokens[a:b], low), few[a:b].tobytes(), None))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["range", "chunk", "n", "docs", "tokens", "counts", "owners"])
+
+
+def blocks_of(docs: DataFrame, fill: Callable[[pa.RecordBatch, _Chunk], None], bits: int, low: int = EXACT_BYTES) -> DataFrame:
     """Blocks by range of the windows that ``fill`` adds to chunks for each batch of documents."""
-    bits = range_bits(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
@@ -126,58 +143,64 @@ def blocks_of(docs: DataFrame, fill: Callable[[pa.RecordBatch, _Chunk], None], l
     return docs.mapInArrow(run, BLOCKS)
 
 
-ANSWERS = "chunk long, range long, n int, docs binary, tokens binary, owners binary, counts binary"
+ANSWERS = "chunk long, range long, n int, docs binary, tokens binary, counts binary, owners binary, hits binary"
 
 
-def answers(blocks: DataFrame, least: int = 2, low: int = EXACT_BYTES, with_counts: bool = True) -> DataFrame:
-    """For each chunk, its windows that occur at least ``least`` times in all chunks together.
+def answers(blocks: DataFrame, least: int = 2, low: int = EXACT_BYTES) -> DataFrame:
+    """For each chunk, its windows that at least ``least`` documents of all chunks together have.
 
-    Rows as in ``blocks_of``, and the windows' counts up to 65535.
+    The chunk's own row as in ``blocks_of``; for each block with such windows these, in order, where
+    they stand in the block (a bit each), and in how many documents they are (up to 65535).
     """
-    names = ["chunk", "range", "n", "docs", "tokens", "owners", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["chunk", "range", "n", "docs", "tokens", "counts", "owners", "hits"]
+    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 5
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
         if r < 0:
-            return table.append_column("counts", pa.nulls(table.num_rows, pa.binary())).select(names)
+            return table.append_column("hits", pa.nulls(table.num_rows, pa.binary())).select(names)
         sizes = table["n"].to_numpy()
         tokens = np.concatenate([_unpacked(raw, n) for raw, n in zip(table["tokens"].to_pylist(), sizes.tolist())])
-        owners = np.concatenate([np.frombuffer(raw, "<u2") for raw in table["owners"].to_pylist()])
-        chunks = table["chunk"].to_numpy()
-        of = np.repeat(np.arange(len(chunks)), sizes)
+        each = np.concatenate([np.frombuffer(raw, "<u2") for raw in table["counts"].to_pylist()])
+        chunks, ends = table["chunk"].to_numpy(), np.cumsum(sizes)
         order = np.argsort(tokens, kind="stable")
-        ordered = tokens[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        counts = np.diff(np.append(np.flatnonzero(new), len(ordered)))
-        count = counts[np.cumsum(new) - 1]
-        keep = count >= least
-        at, count = order[keep], count[keep]
-        by_chunk = np.argsort(of[at], kind="stable")
-        at, count = at[by_chunk], np.minimum(count[by_chunk], 0xFFFF).astype("<u2")
-        cuts = np.searchsorted(of[at], np.arange(len(chunks) + 1)).tolist()
+        first = firsts_of(tokens[order])
+        sums = np.add.reduceat(each[order].astype(np.int64), first)
+        total = np.empty(len(order), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(order))))
         rows = []
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                rows.append((int(chunks[k]), r, b - a, None, _packed(tokens[at[a:b]], low), owners[at[a:b]].tobytes(), count[a:b].tobytes() if with_counts else None))
-        columns = list(zip(*rows)) or [()] * 7
+        for chunk, n, end in zip(chunks.tolist(), sizes.tolist(), ends.tolist()):
+            own = total[end - n : end]
+            hit = own >= least
+            if hit.any():
+                found = np.minimum(own[hit], 0xFFFF).astype("<u2")
+                rows.append((chunk, r, len(found), None, _packed(tokens[end - n : end][hit], low), found.tobytes(), None, np.packbits(hit).tobytes()))
+        columns = list(zip(*rows)) or [()] * 8
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return blocks.groupBy("range").applyInArrow(merge, ANSWERS)
 
 
-def chunk_answer(table: pa.Table, columns: int, low: int = EXACT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunk_answer(table: pa.Table, columns: int, bits: int, low: int = EXACT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one chunk: its documents' rows, and tokens, owners and counts of its answered windows."""
-    docs, tokens, owners, counts = np.zeros((0, columns), np.int64), [], [], []
-    for row in table.select(["range", "n", "docs", "tokens", "owners", "counts"]).to_pylist():
-        if row["docs"] is not None:
-            docs = np.frombuffer(row["docs"], "<i8").reshape(-1, columns)
-        else:
-            tokens.append(_unpacked(row["tokens"], row["n"]) | _U(row["range"] << 8 * low))
-            owners.append(np.frombuffer(row["owners"], "<u2"))
-            counts.append(np.frombuffer(row["counts"] or b"", "<u2"))
-    joined = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((tokens, "<u8"), (owners, "<u2"), (counts, "<u2"))]
-    return docs, *joined
+    found = table.select(["range", "n", "docs", "tokens", "counts", "owners", "hits"]).to_pylist()
+    own = next(row for row in found if row["range"] < 0)
+    docs = np.frombuffer(own["docs"], "<i8").reshape(-1, columns)
+    places = np.frombuffer(own["tokens"], "<i8").reshape(-1, 2)
+    held, owners = np.frombuffer(own["counts"], "<u4").astype(np.int64), np.frombuffer(own["owners"], "<u2")
+    starts = np.cumsum(held) - held
+    rest = rest_bits(bits, low)
+    at, tokens, counts = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, "<u2")]
+    for row in found:
+        if row["range"] >= 0:
+            start = places[np.searchsorted(places[:, 0], row["range"]), 1]
+            at.append(start + np.flatnonzero(np.unpackbits(np.frombuffer(row["hits"], np.uint8))))
+            tokens.append(_unpacked(row["tokens"], row["n"]) & _U((1 << rest) - 1) | _U(row["range"] << rest))
+            counts.append(np.frombuffer(row["counts"], "<u2"))
+    at, tokens, counts = np.concatenate(at), np.concatenate(tokens), np.concatenate(counts)
+    many = held[at]
+    entries = np.repeat(starts[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return docs, np.repeat(tokens, many), owners[entries], np.repeat(counts, many)
 
 
 def null_safe(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from .common import documents, shuffle_width, stage
 from .components import connected_components
-from .inverted import answers, blocks_of, chunk_answer, long_id, null_safe, window_hashes, word_hashes
+from .inverted import answers, blocks_of, chunk_answer, long_id, null_safe, range_bits, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Shingles of a candidate component that one task verifies at once; larger ones are cut into
-#: blocks, and every pair of blocks is verified.
+#: Shingles of a candidate component that one task verifies at once; larger ones are verified by pairs.
 BLOCK = 1_000_000
+#: Rounds in which the sets of a large component are held against pivots, before pairs are listed;
+#: they end when the pairs left are at most so many times the prefix entries.
+ROUNDS, FEW_PAIRS = 6, 4
 _U = np.uint64
 
 
@@ -36,92 +38,123 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, _U)
 
 
-def linked(n: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+def enough(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m with so many members in common are linked."""
+    return 100 * both >= PERCENT * (n + m - both)
+
+
+def _sums(mark: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many codes of each slice (none empty) are marked."""
+    before = np.cumsum(sizes) - sizes
+    places = np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+    return np.add.reduceat(mark[codes[places]], before, dtype=np.int64)
+
+
+def linked(n: np.ndarray, sets: list[np.ndarray], prefix: np.ndarray) -> np.ndarray:
     """Labels of the components that links form among sets; n: whole sizes, of which sets hold the
-    shingles that other documents have too.
+    shingles that other documents have too, the first ``prefix`` of them as the prefix.
 
-    By ascending size, each set is compared with the smaller ones that the length filter leaves and
-    that are not in its component already, a few at first and more if those show no link.
+    Sets of one size and prefix are a group.  By ascending size, each set is held against the groups
+    that the length filter leaves, without members that are in its component already: a few at first
+    and more if those show no link.  Groups that share no prefix shingle go, the others expand to
+    their members, and these are verified.
     """
-    order = np.argsort(n, kind="stable")
+    heads = [s[:k].tobytes() for s, k in zip(sets, prefix.tolist())]
+    order = np.array(sorted(range(len(sets)), key=lambda i: (n[i], heads[i])))
     sizes = n[order].astype(np.int64)
+    new = [k == 0 or sizes[k] != sizes[k - 1] or heads[i] != heads[order[k - 1]] for k, i in enumerate(order.tolist())]
+    group = np.cumsum(new) - 1
     _, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     lengths = np.array([len(sets[i]) for i in order])
-    starts = np.cumsum(lengths) - lengths
-    mark = np.zeros(codes.max(initial=0) + 1, bool)
+    starts, heads_at = np.cumsum(lengths) - lengths, np.flatnonzero(new)
+    short = prefix[order][heads_at].astype(np.int64)
+    mark, near = np.zeros((2, codes.max(initial=0) + 1), bool)
     label = np.arange(len(order))
     for i in range(1, len(order)):
-        own = codes[starts[i] : starts[i] + lengths[i]]
-        mark[own] = True
         left = np.arange(np.searchsorted(sizes, -(-PERCENT * sizes[i] // 100)), i)
+        left = left[label[left] != label[i]]
+        if not len(left):
+            continue
+        own = codes[starts[i] : starts[i] + lengths[i]]
+        head = own[: short[group[i]]]
+        mark[own], near[head] = True, True
         step = 32
-        while len(left := left[label[left] != label[i]]):
+        while len(left):
             some, left = left[-step:], left[:-step]
             step *= 4
-            places = np.repeat(starts[some] - (np.cumsum(lengths[some]) - lengths[some]), lengths[some]) + np.arange(lengths[some].sum())
-            both = np.add.reduceat(mark[codes[places]], np.cumsum(lengths[some]) - lengths[some], dtype=np.int64)
-            for j in np.unique(label[some[100 * both >= PERCENT * (sizes[i] + sizes[some] - both)]]).tolist():
-                label[label == j] = label[i]
-        mark[own] = False
+            groups, back = np.unique(group[some], return_inverse=True)
+            at = heads_at[groups]
+            some = some[(_sums(near, codes, starts[at], short[groups]) > 0)[back]]
+            if len(some):
+                both = _sums(mark, codes, starts[some], lengths[some])
+                for j in np.unique(label[some[enough(both, sizes[i], sizes[some])]]).tolist():
+                    label[label == j] = label[i]
+                left = left[label[left] != label[i]]
+        mark[own], near[head] = False, False
     out = np.empty(len(order), np.int64)
     out[order] = label
     return out
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
-    """A row per document: rid (unique), doc_id, n, alike (hash of the whole set, if all of it is
-    shared), prefix and tokens (the shared shingles of documents that can have a link, else null).
+    """A row per document: rid (unique), doc_id, n, h (hash of the text), alike (hash of the whole
+    set, if all of it is shared), tokens (the shared shingles of documents that can have a link, in
+    prefix order, else null) and p (how many of them are the prefix).
 
     Shingles that no other document has cannot be in an intersection, and as the rarest they come
     first in prefix order (by document frequency, then hash); so the prefix that a link must share
     is what is left of the n - ceil(0.8 n) + 1 rarest shingles after them.
     """
+    bits = range_bits(docs)
 
     def fill(batch: pa.RecordBatch, chunk) -> None:
         ids, gone = null_safe(batch.column(0))
-        for doc_id, null, found in zip(ids.tolist(), gone.tolist(), shingle_sets(batch.column(1))):
-            chunk.add((doc_id, null, len(found)), found)
+        for doc_id, null, h, found in zip(ids.tolist(), gone.tolist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1))):
+            chunk.add((doc_id, null, len(found), h), found)
 
     def prefixes(key: tuple, table: pa.Table) -> pa.Table:
-        docs_, tokens, owners, counts = chunk_answer(table, 3)
+        docs_, tokens, owners, counts = chunk_answer(table, 4, bits)
         order = np.lexsort((tokens, counts, owners))
         tokens, cuts = tokens[order], np.searchsorted(owners[order], np.arange(len(docs_) + 1)).tolist()
         rows = []
-        for i, ((doc_id, null, n), a, b) in enumerate(zip(docs_.tolist(), cuts, cuts[1:])):
+        for i, ((doc_id, null, n, h), a, b) in enumerate(zip(docs_.tolist(), cuts, cuts[1:])):
             own, alone = tokens[a:b], n - (b - a)
-            prefix = own[: max(0, n - -(-PERCENT * n // 100) + 1 - alone)]
-            can = n > 0 and len(prefix) > 0
-            whole = np.sort(own).tobytes() if can else None
-            alike = xxhash.xxh3_128_digest(whole) if can and not alone else None
-            rows.append((key[0].as_py() << 17 | i, None if null else doc_id, n, alike, prefix.tobytes() if can else None, whole))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows)) or [()] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["rid", "doc_id", "n", "alike", "prefix", "tokens"])
+            p = min(b - a, max(0, n - -(-PERCENT * n // 100) + 1 - alone))
+            alike = xxhash.xxh3_128_digest(np.sort(own).tobytes()) if p and not alone else None
+            rows.append((key[0].as_py() << 17 | i, None if null else doc_id, n, h, alike, p, own.tobytes() if p else None))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        columns = list(zip(*rows)) or [()] * 7
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["rid", "doc_id", "n", "h", "alike", "p", "tokens"])
 
-    found = answers(blocks_of(docs.select(long_id(), "text"), fill))
-    return found.groupBy("chunk").applyInArrow(prefixes, "rid long, doc_id long, n long, alike binary, prefix binary, tokens binary")
+    found = answers(blocks_of(docs.select(long_id(), "text", F.xxhash64("text").alias("h")), fill, bits))
+    return found.groupBy("chunk").applyInArrow(prefixes, "rid long, doc_id long, n long, h long, alike binary, p long, tokens binary")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (gid, n, size, prefix) to its entries: token, gid, n, and the shared shingles from the token on."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            tokens = [np.frombuffer(raw, "<i8") for raw in part.column(1).to_pylist()]
-            sizes = [len(t) for t in tokens]
-            gids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(gids)], ["token", "gid"])
+            tokens = [np.frombuffer(raw, "<i8") for raw in part.column(3).to_pylist()]
+            sizes = np.array([len(t) for t in tokens])
+            gids, n, size = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), sizes) for k in range(3))
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(gids), pa.array(n), pa.array(size - place)], ["token", "gid", "n", "rest"])
+
+
+ENTRY = "token long, gid long, n long, rest long"
 
 
 def _verify(key: tuple, table: pa.Table) -> pa.Table:
     """The links' components within each candidate component of the table: (vid, root)."""
-    comps, vids, n = (table[c].to_numpy() for c in ("comp", "vid", "n"))
+    comps, vids, n, p = (table[c].to_numpy() for c in ("comp", "vid", "n", "p"))
     raw = table["tokens"].to_pylist()
     order = np.argsort(comps, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], comps[order][1:] != comps[order][:-1], [True]))).tolist()
     out_v, out_r = [], []
     for a, b in zip(cuts, cuts[1:]):
         own = order[a:b]
-        label = linked(n[own], [np.frombuffer(raw[i], "<u8") for i in own.tolist()])
+        label = linked(n[own], [np.frombuffer(raw[i], "<u8") for i in own.tolist()], p[own])
         least = np.full(len(own), np.iinfo(np.int64).max)
         np.minimum.at(least, label, vids[own])
         out_v.append(vids[own])
@@ -129,71 +162,149 @@ def _verify(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"vid": np.concatenate(out_v), "root": np.concatenate(out_r)})
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Components of documents linked by a shingle Jaccard similarity of 0.8 or more.
+def _proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, sizes and sets of both) that are links."""
+    for batch in batches:
+        left, right = ([np.frombuffer(raw, "<u8") for raw in batch.column(k).to_pylist()] for k in (3, 5))
+        both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
+        n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+        yield batch.select([0, 1]).filter(pa.array(enough(both, n, m)))
 
-    Gives doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and set_id (rows
-    with equal sets share it).  Exact for all documents:
 
-    1. an inverted index over all shingles leaves each document its shared shingles and prefix;
-    2. documents with equal sets become one, and those with equal prefixes and size one group;
-    3. groups that share a prefix shingle are candidates: each posting list gives a star of edges to
-       its smallest group (as many as it has groups), whose components hold every possible link;
-    4. each candidate component expands to its members, which are verified on their sets, skipping
-       pairs already connected; components above ``BLOCK`` shingles are verified by pairs of blocks.
+def _links_by_pairs(sets: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all links between sets of large candidate components.
 
-    Texts and nulls: no text or no words gives an empty set linked with nothing, its component_id is
-    its own doc_id.  A repeated row counts as a document of its own with the same doc_id.  A null
-    doc_id stays null and takes no part in the choice of component_id.  An empty table gives an
-    empty result; other columns are ignored.
+    sets: vid, n, p, tokens.  In each round every entry of a posting list is held against the list's
+    pivot, unless the two are connected already; a cluster of near copies falls together in a round
+    or two.  When few pairs of unconnected entries are left, or pivots give no more links, those
+    pairs are listed, filtered by size and position and verified each.
     """
+    spark = sets.sparkSession
+    prefix = F.expr("substring(tokens, 1, cast(8 * p as int))")
+    entries = sets.select("vid", "n", (F.octet_length("tokens") / 8).cast("long"), prefix).mapInArrow(_postings, ENTRY)
+    entries = stage(spark, entries, "jaccard-entries")
+    total, links, labels = entries.count(), None, None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = lambda side: sets.select(F.col("vid").alias(side), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"t_{side}"))
+        both = pairs.distinct().join(one("a"), "a").join(one("b"), "b").select("a", "b", "n_a", "t_a", "n_b", "t_b")
+        return stage(spark, both.mapInArrow(_proven, "a long, b long"), "jaccard-links")
+
+    def alike(x: str, y: str) -> str:
+        """The filters of a pair of entries: sizes, and what both have left from the shared token on."""
+        return f"100 * least({x}n, {y}n) >= {PERCENT} * greatest({x}n, {y}n) and {100 + PERCENT} * least({x}rest, {y}rest) >= {PERCENT} * ({x}n + {y}n)"
+
+    for turn in range(ROUNDS):
+        if labels is None:
+            named = entries.withColumn("label", F.col("gid"))
+        else:
+            named = entries.join(labels, F.col("gid") == F.col("node"), "left").select(*entries.columns, F.coalesce("root", "gid").alias("label"))
+        named = stage(spark, named, "jaccard-named")
+        by_label = named.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        left = by_label.groupBy("token").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+        if left <= FEW_PAIRS * total:
+            break
+        pivots = named.groupBy("token").agg(F.min_by(F.struct("gid", "n", "rest", "label"), F.xxhash64("gid", F.lit(turn))).alias("p"))
+        pivots = stage(spark, pivots.select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("gid", "n", "rest", "label")]), "jaccard-pivots")
+        found = verified(named.join(pivots, "token").where(f"label <> p_label and {alike('', 'p_')}").select(F.least("gid", "p_gid").alias("a"), F.greatest("gid", "p_gid").alias("b")))
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
+    other = named.select("token", *[F.col(c).alias(f"o_{c}") for c in ("gid", "n", "rest", "label")])
+    rest = named.join(other, "token").where(f"gid < o_gid and label <> o_label and {alike('', 'o_')}")
+    found = verified(rest.select(F.col("gid").alias("a"), F.col("o_gid").alias("b")))
+    return found if links is None else links.unionByName(found)
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, h, n_shingles, set_id, and root, which linked documents share."""
     spark = docs.sparkSession
     rows = stage(spark, shared_shingles(docs), "jaccard-sets")
     able = rows.where("tokens is not null")
-    # Narrow tables decide what goes where; the sets themselves move twice, to their row's place in
-    # that decision and to the task that verifies them.
-    narrow = able.select("rid", "n", "alike", F.md5("prefix").alias("key"), (F.octet_length("tokens") / 8).alias("size"))
-    same = narrow.where("alike is not null").groupBy("n", "alike").agg(F.min("rid").alias("vid"))
+    # Narrow tables decide what goes where; the sets themselves move once to the task that verifies
+    # them.  What is aggregated by a key is written before it is joined to the rows of that key, so
+    # that both sides are plain exchanges and Spark splits a hot key.
+    narrow = able.select("rid", "n", "alike", F.expr("md5(substring(tokens, 1, cast(8 * p as int)))").alias("key"), (F.octet_length("tokens") / 8).alias("size"))
+    same = stage(spark, narrow.where("alike is not null").groupBy("n", "alike").agg(F.min("rid").alias("vid")), "jaccard-same")
     member = narrow.where("alike is not null").select("rid", "n", "alike").join(same, ["n", "alike"]).select("rid", "vid")
     member = stage(spark, member.unionByName(narrow.where("alike is null").select("rid", F.col("rid").alias("vid"))), "jaccard-members")
     keyed = narrow.withColumnRenamed("rid", "vid").join(member.where("rid = vid").select("vid"), "vid", "left_semi").select("vid", "n", "key", "size")
-    groups = keyed.groupBy("n", "key").agg(F.min("vid").alias("gid"))
+    keyed = stage(spark, keyed, "jaccard-keyed")
+    groups = stage(spark, keyed.groupBy("n", "key").agg(F.min("vid").alias("gid")), "jaccard-keys")
     grouped = stage(spark, keyed.join(groups, ["n", "key"]).select("vid", "gid", "size"), "jaccard-groups")
-    firsts = able.select(F.col("rid").alias("vid"), "prefix").join(grouped.where("vid = gid").select("vid"), "vid", "left_semi")
-    postings = firsts.select("vid", "prefix").mapInArrow(_postings, "token long, gid long")
-    roots = postings.groupBy("token").agg(F.min("gid").alias("root"), F.max("gid").alias("last")).where("root < last").select("token", "root")
+    firsts = able.select(F.col("rid").alias("vid"), "n", F.lit(0).cast("long").alias("size"), F.expr("substring(tokens, 1, cast(8 * p as int))").alias("prefix"))
+    firsts = firsts.join(grouped.where("vid = gid").select("vid"), "vid", "left_semi")
+    postings = firsts.mapInArrow(_postings, ENTRY).select("token", "gid")
+    roots = stage(spark, postings.groupBy("token").agg(F.min("gid").alias("root"), F.max("gid").alias("last")).where("root < last").select("token", "root"), "jaccard-tokens")
     stars = postings.join(roots, "token").where("gid <> root").select(F.col("gid").alias("a"), F.col("root").alias("b")).distinct()
     comps = connected_components(stars)
     placed = grouped.join(comps.withColumnRenamed("node", "gid"), "gid", "left").select("vid", F.coalesce("root", "gid").alias("comp"), "size")
     placed = stage(spark, placed, "jaccard-candidates")
-    of = placed.groupBy("comp").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    wanted = placed.join(of.select("comp", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "comp").select("vid", "comp", "blocks")
-    wanted = stage(spark, wanted, "jaccard-wanted")
-    sized = able.select(F.col("rid").alias("vid"), "n", "tokens").join(wanted, "vid")
-    width = shuffle_width(spark) * 2
-    small = sized.where("blocks = 1").select(F.pmod(F.xxhash64("comp"), F.lit(width)).alias("key"), "comp", "vid", "n", "tokens")
-    found = small.groupBy("key").applyInArrow(_verify, "vid long, root long")
-    if not wanted.where("blocks > 1").isEmpty():
-        large = sized.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
-        paired = large.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-        paired = paired.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "vid", "n", "tokens")
-        edges = paired.groupBy("comp", "i", "j").applyInArrow(_verify, "vid long, root long").where("vid <> root")
-        joined = connected_components(edges.select(F.col("vid").alias("a"), F.col("root").alias("b")))
-        found = found.unionByName(joined.select(F.col("node").alias("vid"), "root"))
+    of = stage(spark, placed.groupBy("comp").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("comp", "held"), "jaccard-held")
+    wanted = stage(spark, placed.join(of, "comp").select("vid", "comp", (F.col("held") > BLOCK).alias("large")), "jaccard-wanted")
+    sized = able.select(F.col("rid").alias("vid"), "n", "p", "tokens").join(wanted, "vid")
+    bins = max(shuffle_width(spark) * 2, -(-int(of.where(F.col("held") <= BLOCK).agg(F.sum("held")).first()[0] or 0) // BLOCK))
+    small = sized.where("not large").select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), "comp", "vid", "n", "p", "tokens")
+    found = small.groupBy("bin").applyInArrow(_verify, "vid long, root long")
+    if not wanted.where("large").isEmpty():
+        large = stage(spark, sized.where("large").select("vid", "n", "p", "tokens"), "jaccard-large")
+        found = found.unionByName(connected_components(_links_by_pairs(large)).select(F.col("node").alias("vid"), "root"))
+    found = stage(spark, found, "jaccard-found")
     member = member.join(found, "vid", "left").select("rid", "vid", F.coalesce("root", "vid").alias("root"))
-    named = rows.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(member, "rid", "left")
-    named = stage(spark, named.select("doc_id", "n_shingles", F.coalesce("vid", "rid").alias("set_id"), F.coalesce("root", "rid").alias("root")), "jaccard-roots")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rows.select("rid", "doc_id", "h", F.col("n").alias("n_shingles")).join(member, "rid", "left")
+    return stage(spark, named.select("doc_id", "h", "n_shingles", F.coalesce("vid", "rid").alias("set_id"), F.coalesce("root", "rid").alias("root")), "jaccard-roots")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """Components of documents linked by a shingle Jaccard similarity of 0.8 or more.
+
+    Gives doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and set_id (rows
+    with equal sets share it).  For all documents:
+
+    1. an inverted index over all shingles leaves each document its shared shingles and prefix;
+    2. documents with equal sets become one, and those with equal prefixes and size one group;
+    3. groups that share a prefix shingle are candidates: each posting list gives a star of edges to
+       its smallest group (as many as it has groups), whose components hold every possible link;
+    4. in each candidate component pairs of groups are filtered by size and shared prefix, expanded
+       to their members and verified on their sets, without pairs that are connected already;
+       components above ``BLOCK`` shingles are verified by distributed pairs instead.
+
+    Shingles are compared by 64 bits of their hash (by 56 and those of the range below 256 ranges).
+
+    Texts and nulls: no text or no words gives an empty set linked with nothing, its component_id is
+    its own doc_id.  A repeated row counts as a document of its own with the same doc_id.  A null
+    doc_id stays null and takes no part in the choice of component_id.  An empty table gives an
+    empty result; other columns are ignored.
+    """
+    named = _rooted(docs)
+    least = stage(docs.sparkSession, named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
     return named.join(least, "root").select("doc_id", "n_shingles", "component_id", "set_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that are linked, by whatever path, to one of a smaller doc_id.
+    """Of each group of documents linked by whatever path, the row with the smallest doc_id; all columns stay.
 
-    Of rows that repeat the kept doc_id all stay; rows without a doc_id stay.
+    It goes by rows: of several rows with that doc_id one stays (of different texts the one of the
+    smaller hash, of equal texts any), a doc_id that also has a text outside the group keeps that,
+    and a null doc_id counts as larger than all.  Documents without words are in no group and stay.
+    Columns may have any names.
     """
-    found = jaccard_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    spark = docs.sparkSession
+    named = _rooted(docs).where("n_shingles > 0")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    first = stage(spark, first.select("root", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "jaccard-firsts")
+    joined = named.join(first, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    gone = stage(spark, joined.where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct(), "jaccard-gone")
+    repeated = joined.where(stays).groupBy(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    repeated = stage(spark, repeated, "jaccard-repeated")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    is_one = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("h") == F.col("gone_h"))
+    kept = rows.join(gone, is_one, "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, is_one, "left_anti").unionByName(kept.join(repeated, is_one, "left_semi").dropDuplicates(["id", "h"]))
+    return kept.select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
