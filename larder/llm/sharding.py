@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, stage
 
@@ -19,38 +20,32 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.conv(digest, 16, 10).cast("long").alias("hash"))
 
 
-def _leaves(cells: DataFrame, depths: range, limit: int) -> DataFrame:
+def _leaves(spark: SparkSession, cells: DataFrame, depths: range, limit: int) -> DataFrame:
     """For each cell (a prefix of ``depths[-1]`` bits) the shallowest bucket above it that fits.
 
     A bucket fits if its bytes are within the limit or it holds one hash value only.  ``depth`` is
-    null where no bucket of these depths fits.
+    null where no bucket of these depths fits.  Sums by bucket combine before they move; the cells
+    look up only the depths that some fitting bucket has, so that no bucket near the root gathers
+    them all.
     """
     top = depths[-1]
-    every = cells.select("*", F.explode(F.array(*[F.lit(d) for d in depths])).alias("d")).withColumn("at", F.expr(f"shiftright(cell, {top} - d)"))
-    sums = every.groupBy("d", "at").agg(F.sum("bytes").alias("b"), F.min("low").alias("l"), F.max("high").alias("h"))
-    fits = sums.where((F.col("b") <= limit) | (F.col("l") == F.col("h"))).select("d", "at")
-    return cells.join(every.join(fits, ["d", "at"]).groupBy("cell").agg(F.min("d").alias("depth")), "cell", "left")
 
+    def above(found: DataFrame, least: int) -> DataFrame:
+        return found.select("*", F.explode(F.array(*[F.lit(d) for d in depths if d >= least])).alias("d")).withColumn("at", F.expr(f"shiftright(cell, {top} - d)"))
 
-def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Give every document a shard by extendible hashing of its doc_id.
+    sums = above(cells, depths[0]).groupBy("d", "at").agg(F.sum("bytes").alias("b"), F.min("low").alias("l"), F.max("high").alias("h"))
+    fits = stage(spark, sums.where((F.col("b") <= limit) | (F.col("l") == F.col("h"))).select("d", "at"), "shard-fits")
+    least = fits.agg(F.min("d")).first()[0]
+    if least is None:
+        return cells.withColumn("depth", F.lit(None).cast("int"))
+    return cells.join(above(cells.select("cell"), least).join(fits, ["d", "at"]).groupBy("cell").agg(F.min("d").alias("depth")), "cell", "left")
 
-    The directory is indexed by the leading bits of the hash; a bucket splits on its next bit while
-    its texts exceed ``limit`` bytes, so the shard of a document is the shallowest bucket above it
-    that fits.  Byte counts are first summed by prefix in the map tasks (at most about 2^6 prefixes
-    a shard), the buckets' depths follow from those sums alone, and the documents look up their
-    shard in the directory; a round of six more bits follows only for buckets that are still too
-    large.  Rows move no texts.  A bucket that holds a single hash value (one huge document, or
-    copies of one id) cannot split by bits; its rows go to overflow pages: rows of over half the
-    limit to one page each, the others by running bytes, half a limit a page, so that only a page of
-    one row can exceed the limit.
-
-    shard: the bucket's bits, then '+' and the overflow page, if any; local_depth: number of bits.
-    Null texts have 0 bytes; null ids share the hash of the empty string; an empty table has no
-    shards; other columns are ignored.
-    """
+
+def _directory(docs: DataFrame, limit: int) -> DataFrame:
+    """A row per document: doc_id, n_bytes, part (of the input), bucket, depth, and large: whether the
+    bucket, which then has a single hash value, holds several rows and more than the limit."""
     spark = docs.sparkSession
-    rows = stage(spark, _hashed(docs), "shard-rows")
+    rows = stage(spark, _hashed(docs).withColumn("part", F.spark_partition_id()), "shard-rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     even = max(0, (max(1, total) // max(1, limit)).bit_length())
     done, open_, start = None, rows, 0
@@ -58,7 +53,8 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         top = min(BITS, (even if not start else start) + FINER)
         named = open_.withColumn("cell", F.shiftright("hash", BITS - top))
         cells = named.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-        directory = stage(spark, _leaves(cells, range(start, top + 1), limit).select("cell", "depth"), "shard-directory")
+        cells = stage(spark, cells, "shard-cells")
+        directory = stage(spark, _leaves(spark, cells, range(start, top + 1), limit).select("cell", "depth"), "shard-directory")
         placed = named.join(directory, "cell").drop("cell")
         fitting = placed.where("depth is not null")
         done = fitting if done is None else done.unionByName(fitting)
@@ -66,43 +62,78 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             break
         open_, start = placed.where("depth is null").drop("depth"), top + 1
     bucket = F.lpad(F.bin(F.expr(f"shiftright(hash, {BITS} - depth)")), F.col("depth"), "0")
-    done = done.withColumn("bucket", F.when(F.col("depth") == 0, "").otherwise(bucket))
-    large = done.groupBy("bucket").agg(F.sum("n_bytes").alias("held")).where(F.col("held") > limit).select("bucket", F.lit(True).alias("large"))
-    marked = done.join(large, "bucket", "left")
+    done = stage(spark, done.withColumn("bucket", F.when(F.col("depth") == 0, "").otherwise(bucket)), "shard-buckets")
+    held = done.groupBy("bucket").agg(F.sum("n_bytes").alias("held"), F.count(F.lit(1)).alias("rows"))
+    large = stage(spark, held.where((F.col("held") > limit) & (F.col("rows") > 1)).select("bucket", "held"), "shard-large")
+    return done.join(large, "bucket", "left")
+
+
+def _pages(rows: DataFrame, limit: int, *by: str) -> DataFrame:
+    """Overflow pages of rows (bucket, n_bytes), counted by ``by`` apart: half a limit a page, larger rows one each."""
     half = F.col("n_bytes") > limit // 2
-    pages = Window.partitionBy("bucket", half).orderBy("n_bytes")
-    running = F.sum("n_bytes").over(pages.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    small = F.concat(F.lit("+"), F.floor(F.greatest(running - 1, F.lit(0)) / F.lit(max(1, limit // 2))).cast("string"))
-    paged = marked.where("large").withColumn("page", F.when(half, F.concat(F.lit("+r"), F.row_number().over(pages).cast("string"))).otherwise(small))
-    out = marked.where("large is null").withColumn("page", F.lit("")).unionByName(paged)
-    shard = F.concat("bucket", "page")
-    return out.select("doc_id", shard.alias("shard"), F.col("depth").cast("int").alias("local_depth"), "n_bytes")
+    order = Window.partitionBy("bucket", *by, half).orderBy("n_bytes")
+    running = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    small = F.floor(F.greatest(running - 1, F.lit(0)) / F.lit(max(1, limit // 2)))
+    page = F.when(half, F.concat(F.lit("r"), F.row_number().over(order).cast("string"))).otherwise(small.cast("string"))
+    return rows.withColumn("page", F.concat_ws(".", F.lit("+"), *[F.col(c).cast("string") for c in by], page))
+
+
+def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Give every document a shard by extendible hashing of its doc_id.
+
+    The directory is indexed by the leading bits of the hash; a bucket splits on its next bit while
+    its texts exceed ``limit`` bytes, so the shard of a document is the shallowest bucket above it
+    that fits.  Byte counts are first summed by prefix in the map tasks (at most about 2^6 prefixes
+    a shard), the buckets' depths follow from those sums alone, and the documents look up their
+    shard in the directory; a round of six more bits follows only for buckets that are still too
+    large.  Rows move no texts.  A bucket that holds a single hash value (copies of one id) cannot
+    split by bits; its rows go to overflow pages, counted for each part of the input on its own, so
+    that no task gathers them: rows of over half the limit to one page each, the others by running
+    bytes, half a limit a page.  Only a shard of one row can exceed the limit.
+
+    shard: the bucket's bits, then, if it has several, '+.' and the part and number of the page;
+    local_depth: number of bits.  Null texts have 0 bytes; null ids share the hash of the empty
+    string; an empty table has no shards; other columns are ignored.
+    """
+    rows = _directory(docs, limit)
+    paged = _pages(rows.where("held is not null"), limit, "part")
+    out = rows.where("held is null").withColumn("page", F.lit("")).unionByName(paged)
+    return out.select("doc_id", F.concat("bucket", "page").alias("shard"), F.col("depth").cast("int").alias("local_depth"), "n_bytes")
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Write the documents as one folder a shard (``shard=<bits>``) and return the assignment."""
-    found = assign(docs, limit)
-    by_id = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("shard").alias("shard"))
-    docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
-    return found
+    """Write the documents, with all their columns, as one folder a shard, and read them back.
+
+    The folders are ``shard=b<bits>`` (with ``+.`` and the page where a bucket has several), and
+    keep the limit as in ``assign``: the copies of an id are dealt at random over as many groups as
+    their bytes need, and paged in each.  Nulls and repeated rows as in ``assign``; columns may have
+    any names but ``shard``; an empty table gives no folder and an empty result.
+    """
+    found = _directory(docs, limit).groupBy(F.col("doc_id").alias("id")).agg(F.min("bucket").alias("bucket"), F.min("held").alias("held"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    placed = rows.join(found, F.col("key").eqNullSafe(F.col("id")))
+    group = F.floor(F.rand(7) * F.ceil(F.col("held") / F.lit(limit))).cast("long")
+    paged = _pages(placed.where("held is not null").withColumn("share", group), limit, "share").drop("share")
+    out = placed.where("held is null").withColumn("page", F.lit("")).unionByName(paged)
+    out.select("row.*", F.concat(F.lit("b"), "bucket", "page").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(T.StructType([*docs.schema.fields, T.StructField("shard", T.StringType())])).parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(documents(spark, sf_dir))
 
 
+#: Ids are unique in the documents, so that no bucket has overflow pages.
 ORACLE = f"""
 WITH hashed AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {BITS // 4}))::BIGINT AS hash
   FROM documents),
-buckets AS (
-  SELECT d, hash >> ({BITS} - d) AS at, sum(n_bytes) AS held, min(hash) = max(hash) AS single
-  FROM hashed, (SELECT unnest(generate_series(0, 24))::INT AS d) GROUP BY ALL),
+every AS (SELECT *, hash >> ({BITS} - d) AS at FROM hashed, (SELECT unnest(generate_series(0, {BITS}))::INT AS d)),
+buckets AS (SELECT d, at, sum(n_bytes) AS held, min(hash) = max(hash) AS single FROM every GROUP BY d, at),
 leaf AS (
-  SELECT h.doc_id, h.n_bytes, h.hash, min(b.d) AS depth
-  FROM hashed h JOIN buckets b ON h.hash >> ({BITS} - b.d) = b.at
-  WHERE b.held <= {LIMIT} OR b.single GROUP BY ALL)
+  SELECT doc_id, n_bytes, hash, min(d) AS depth
+  FROM every JOIN buckets USING (d, at) WHERE held <= {LIMIT} OR single GROUP BY ALL)
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(hash >> ({BITS} - depth)), depth, '0') END AS shard,
        depth AS local_depth, n_bytes FROM leaf
 """
