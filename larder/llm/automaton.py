@@ -21,7 +21,6 @@ from .tokens import WordEncoder, merges_of, pieces_of, vocabulary_path
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
-_END = 0xE000  # a word's last byte b is written as chr(_END + b)
 
 
 def byte_letters() -> list[str]:
@@ -32,7 +31,7 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """A deterministic automaton over tokens whose paths are exactly the BPE results.
+    """A deterministic automaton over tokens whose paths are exactly the BPE results, and its byte table.
 
     It starts as one state with a loop for every base symbol.  Each merge (u, v), in order, applies
     one gadget: the state t that all u-arcs enter is copied to a new state without the v-arc, the
@@ -40,22 +39,25 @@ class Automaton:
     All arcs with one label enter one state, so ``target`` is a table by label.  The arc sets are
     kept as differences: a state knows its original, the arc it lost and when it was made; a label
     knows its left part and when it was made.  ``allows`` resolves an arc by undoing the later of
-    the two, and keeps the answer.  Every word has exactly one path; ``encode`` walks it, longest
-    arc first, and steps back where no arc leads on.
+    the two.
+
+    Every string has exactly one path, so every prefix of a word ends in exactly one token.  The
+    byte table is the automaton read byte by byte: a row stands for the arcs that have been begun
+    (a state and a place in the labels' trie) and names the token that ends there.  ``encode``
+    follows the table over a word and reads the tokens' names back from its end; nothing is tried.
+    Rows are filled when first met; beyond ``rows_kept`` the table starts anew.
     """
 
-    def __init__(self, path: str, arcs_kept: int = 1_000_000):
+    def __init__(self, path: str, rows_kept: int = 400_000):
         merges, vocab = merges_of(path)
         letters = byte_letters()
-        symbols = {c: chr(b) for b, c in enumerate(letters)}
+        symbols = {c: b for b, c in enumerate(letters)}
         base = list(letters) + [c + WORD_END for c in letters]
         self.ids = [vocab[t] for t in base]
         number = {t: i for i, t in enumerate(base)}
         self.parent, self.lost, self.born = [0], [-1], [-1]
         self.target = [0] * len(base)
         self.left, self.made = [-1] * len(base), [-1] * len(base)
-        self.known: dict[int, bool] = {}
-        self.arcs_kept = arcs_kept
         for time, (a, b) in enumerate(merges):
             if a + b in number:
                 raise ValueError(f"two merges make {a + b!r}")
@@ -73,71 +75,85 @@ class Automaton:
             self.left.append(u)
             self.made.append(2 * time + 1)
             self.ids.append(vocab[a + b])
-        self.known.clear()
-        self.trie: dict = {}
+        # The labels' trie over bytes; a word's last byte b is the symbol 256 + b.
+        self.next: list[dict[int, int]] = [{}]
+        self.label, self.sizes = [-1], [0] * len(self.target)
         for token, label in number.items():
-            node, ends = self.trie, token.endswith(WORD_END)
-            raw = token.removesuffix(WORD_END) if ends else token
-            for k, c in enumerate(raw):
-                byte = ord(symbols[c])
-                node = node.setdefault(chr(_END + byte if ends and k == len(raw) - 1 else byte), {})
-            node[""] = label
+            node, ends = 0, token.endswith(WORD_END)
+            raw = [symbols[c] for c in (token.removesuffix(WORD_END) if ends else token)]
+            if ends:
+                raw[-1] += 256
+            for c in raw:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.label.append(-1)
+                node = self.next[node][c]
+            self.label[node], self.sizes[label] = label, len(raw)
         self.tokens = {i: t for t, i in vocab.items()}
+        self.rows_kept = rows_kept
+        self._clear()
 
     def allows(self, state: int, label: int) -> bool:
         """Whether ``state`` has an arc ``label``."""
-        key = state << 20 | label
-        if (found := self.known.get(key)) is not None:
-            return found
         parent, lost, born, left, made = self.parent, self.lost, self.born, self.left, self.made
         while True:
             if made[label] > born[state]:
                 label = left[label]
             elif state == 0:
-                found = True
-                break
+                return True
             elif lost[state] == label:
-                found = False
-                break
+                return False
             else:
                 state = parent[state]
-        if len(self.known) >= self.arcs_kept:
-            self.known.clear()
-        self.known[key] = found
-        return found
+
+    def _clear(self) -> None:
+        self.row_of: dict[tuple, int] = {(-1, (0, 0)): 0}
+        self.begun: list[tuple] = [(0, 0)]  # of each row: state, trie node, state, trie node, ...
+        self.ended: list[int] = [-1]  # of each row: the token that ends there
+        self.table: list[dict[int, int]] = [{}]
+
+    def _fill(self, row: int, symbol: int) -> int:
+        """The row after ``row`` and a symbol."""
+        begun, ended, arcs = [], -1, self.begun[row]
+        for state, node in zip(arcs[::2], arcs[1::2]):
+            node = self.next[node].get(symbol)
+            if node is not None:
+                label = self.label[node]
+                if ended < 0 <= label and self.allows(state, label):
+                    ended = label
+                if self.next[node]:
+                    begun += (state, node)
+        begun += (self.target[ended], 0)
+        key = (ended, tuple(begun))
+        to = self.row_of.get(key)
+        if to is None:
+            to = self.row_of[key] = len(self.table)
+            self.begun.append(key[1])
+            self.ended.append(ended)
+            self.table.append({})
+        self.table[row][symbol] = to
+        return to
 
     def encode(self, piece: str) -> list[int]:
         """The token ids of one pre-split word, already in its normal form."""
-        raw = piece.encode()
-        word = raw[:-1].decode("latin-1") + chr(_END + raw[-1])
-        n, trie, target = len(word), self.trie, self.target
-        dead: set[tuple[int, int]] = set()
-
-        def arcs(at: int, state: int) -> list[int]:
-            node, out = trie, []
-            for k in range(at, n):
-                node = node.get(word[k])
-                if node is None:
-                    break
-                if "" in node:
-                    out.append((k + 1, node[""]))
-            return out
-
-        path: list[tuple[int, int, int, list]] = []  # place, state, label taken, arcs left to try
-        at, state = 0, 0
-        todo = arcs(0, 0)
-        while at < n:
-            while todo:
-                to, label = todo.pop()
-                if self.allows(state, label) and (to, target[label]) not in dead:
-                    path.append((at, state, label, todo))
-                    at, state = to, target[label]
-                    todo = arcs(at, state)
-                    break
-            else:
-                dead.add((at, state))
-                at, state, _, todo = path.pop()
-        return [self.ids[step[2]] for step in path]
+        if len(self.table) > self.rows_kept:
+            self._clear()
+        symbols = bytearray(piece.encode())
+        table, ended, row, names = self.table, self.ended, 0, []
+        for symbol in symbols[:-1]:
+            to = table[row].get(symbol)
+            row = self._fill(row, symbol) if to is None else to
+            names.append(ended[row])
+        symbol = 256 + symbols[-1]
+        to = table[row].get(symbol)
+        names.append(ended[self._fill(row, symbol) if to is None else to])
+        out, at = [], len(names)
+        while at:
+            label = names[at - 1]
+            out.append(self.ids[label])
+            at -= self.sizes[label]
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels, as the tokenizer file has no decoder: joined by one space."""
