@@ -15,10 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_path, shuffle_width, small_batches, stage
+from .common import documents, shared_path, shuffle_width, small_batches, stage, text_bytes
+from .inverted import null_safe
 from .tokens import encoder, vocabulary_path
 
 _U = np.uint64
+#: Bytes of text of a shard, about, and of ids that one read of a file takes.
+SHARD_BYTES, READ_BYTES = 256 << 20, 8 << 20
 MANIFEST = "shard long, file string, n_docs long, n_ids long, first long, last long, nulls boolean"
 
 
@@ -31,10 +34,10 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def keys_of(doc_ids: list[int | None], ordinals: list[int]) -> np.ndarray:
+def keys_of(doc_ids: pa.Array, ordinals: np.ndarray) -> np.ndarray:
     """64-bit keys of (doc_id, how many equal ids came before)."""
-    ids = np.array([0 if d is None else d for d in doc_ids], dtype=np.int64).view(_U)
-    salt = np.array([2 * o + (d is None) for d, o in zip(doc_ids, ordinals)], dtype=_U)
+    ids, gone = null_safe(doc_ids)
+    ids, salt = ids.view(_U), (2 * ordinals + gone).astype(_U)
     return np.where(salt == 0, _mix(ids, 1), _mix(_mix(ids, 1) ^ _mix(salt, 2), 3))
 
 
@@ -101,9 +104,20 @@ class Shard:
         there[there] = self.prints[at[there]] == (_mix(keys[there], 7) >> _U(32)).astype(np.uint32)
         return there, np.where(there, self.offsets[at], -1), np.where(there, self.lengths[at], -1)
 
-    def read(self, offset: int, length: int) -> np.ndarray:
+    def read(self, offsets: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of documents in ascending order of their offsets; neighbours come by one read."""
         size = self.width.itemsize
-        return np.frombuffer(self.payload.read_at(length * size, offset * size), self.width)
+        ends = offsets + lengths
+        new = np.concatenate(([True], offsets[1:] != ends[:-1])) if len(offsets) else np.zeros(0, bool)
+        k = 0
+        while k < len(offsets):
+            last = k + 1
+            while last < len(offsets) and not new[last] and (ends[last] - offsets[k]) * size <= READ_BYTES:
+                last += 1
+            raw = np.frombuffer(self.payload.read_at(int(ends[last - 1] - offsets[k]) * size, int(offsets[k]) * size), self.width)
+            for a, b in zip((offsets[k:last] - offsets[k]).tolist(), (ends[k:last] - offsets[k]).tolist()):
+                yield raw[a:b]
+            k = last
 
 
 def _write(files: fs.FileSystem, path: str, keys: np.ndarray, lengths: np.ndarray, width: str) -> None:
@@ -123,7 +137,8 @@ def _write(files: fs.FileSystem, path: str, keys: np.ndarray, lengths: np.ndarra
 def write_shards(docs: DataFrame, root: str, path: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Encode documents and write their ids in ascending doc_id order; the shards' manifest comes back.
 
-    Documents are range-partitioned by doc_id; each task sorts its range, streams the ids to
+    Documents are range-partitioned by doc_id into shards of about ``SHARD_BYTES`` of text (as many as
+    the shuffle's width at least); each task sorts its range, streams the ids to
     ``<file>.ids`` (unsigned 16-bit where the vocabulary allows it, else 32-bit) and the index to
     ``<file>.index``.  File names are unique to the attempt, and only those in the manifest count,
     so tasks that run twice or fail half-way leave no trace in the result.
@@ -131,7 +146,7 @@ def write_shards(docs: DataFrame, root: str, path: str, end_id: int = 2, shards:
     Null texts are empty; null ids come first; equal ids are told apart by their order of text.
     """
     spark = docs.sparkSession
-    n = shards or shuffle_width(spark)
+    n = shards or max(shuffle_width(spark), -(-text_bytes(docs) // SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder("word", path)
@@ -140,19 +155,20 @@ def write_shards(docs: DataFrame, root: str, path: str, end_id: int = 2, shards:
         part = TaskContext.get().partitionId()
         width = "<u2" if max(len(tool.ends_word), end_id + 1) <= 1 << 16 else "<u4"
         name, out = f"{base}/shard-{part:05d}-{uuid.uuid4().hex}", None
-        ids: list[int | None] = []
-        lengths: list[int] = []
+        ids, lengths = [], []
         for batch in small_batches(batches, 2048):
             out = out or files.open_output_stream(name + ".ids")
-            for doc_id, got in zip(batch.column(0).to_pylist(), tool.encode_all(batch.column(1))):
-                out.write(np.append(got, end_id).astype(width).tobytes())
-                ids.append(doc_id)
-                lengths.append(len(got) + 1)
+            encoded = tool.encode_all(batch.column(1))
+            out.write(np.concatenate([part for got in encoded for part in (got, [end_id])]).astype(width).tobytes())
+            ids.append(batch.column(0))
+            lengths.append(np.array([len(got) + 1 for got in encoded], np.int64))
         if out:
             out.close()
-            _write(files, name, keys_of(ids, ordinals(ids)), np.array(lengths, np.int64), width)
-            known = [d for d in ids if d is not None]
-            row = {"shard": [part], "file": [name], "n_docs": [len(ids)], "n_ids": [sum(lengths)], "first": [known[0] if known else None], "last": [known[-1] if known else None], "nulls": [len(known) < len(ids)]}
+            all_ids, all_lengths = pa.concat_arrays(ids), np.concatenate(lengths)
+            known = all_ids.drop_null()
+            _write(files, name, keys_of(all_ids, ordinals(all_ids)), all_lengths, width)
+            ends = [known[0].as_py(), known[-1].as_py()] if len(known) else [None, None]
+            row = {"shard": [part], "file": [name], "n_docs": [len(all_ids)], "n_ids": [int(all_lengths.sum())], "first": ends[:1], "last": ends[1:], "nulls": [all_ids.null_count > 0]}
             kinds = {"shard": pa.int64(), "file": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64(), "first": pa.int64(), "last": pa.int64(), "nulls": pa.bool_()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in row.items()})
 
@@ -160,12 +176,12 @@ def write_shards(docs: DataFrame, root: str, path: str, end_id: int = 2, shards:
     return stage(spark, ordered.mapInArrow(run, MANIFEST), "token-manifest")
 
 
-def ordinals(sorted_ids: list[int | None]) -> list[int]:
-    """How many equal ids stand before each id of a sorted list."""
-    out: list[int] = []
-    for i, d in enumerate(sorted_ids):
-        out.append(out[-1] + 1 if i and sorted_ids[i - 1] == d else 0)
-    return out
+def ordinals(sorted_ids: pa.Array) -> np.ndarray:
+    """How many equal ids stand before each id of a sorted array."""
+    ids, gone = null_safe(sorted_ids)
+    new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (gone[1:] != gone[:-1]))) if len(ids) else np.zeros(0, bool)
+    at = np.arange(len(ids))
+    return at - np.maximum.accumulate(np.where(new, at, 0)) if len(ids) else at
 
 
 def read_documents(keys: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
@@ -179,29 +195,31 @@ def read_documents(keys: DataFrame, manifest: DataFrame, root: str) -> DataFrame
     firsts = [s.first for s in shards if s.first is not None]
     numbers = [k for k, s in enumerate(shards) if s.first is not None]
     names = [s.file for s in shards]
+    with_nulls = next((k for k, s in enumerate(shards) if s.nulls), 0)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            at = [0 if d is None or not firsts else numbers[max(0, bisect.bisect_right(firsts, d) - 1)] for d in ids]
+            at = [with_nulls if d is None or not firsts else numbers[max(0, bisect.bisect_right(firsts, d) - 1)] for d in ids]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column(0), batch.column(1)], ["shard", "doc_id", "how_many"])
 
     def read(key: tuple, table: pa.Table) -> pa.Table:
         files, _ = fs.FileSystem.from_uri(root)
         number = key[0].as_py()
         shard = Shard(files, names[number])
-        ids = [(d, o) for d, m in zip(table["doc_id"].to_pylist(), table["how_many"].to_pylist()) for o in range(m)]
-        there, offsets, lengths = shard.find(keys_of([d for d, _ in ids], [o for _, o in ids]))
-        rows: list[tuple] = []
-        for (d, _), ok, offset, length in sorted(zip(ids, there.tolist(), offsets.tolist(), lengths.tolist()), key=lambda r: r[2]):
-            if ok:
-                got = shard.read(offset, length)
-                rows.append((d, starts[number] + offset, length, zlib.crc32(got.astype("<u4").tobytes()), number))
-        columns = list(zip(*rows)) or [()] * 5
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "start", "n_tokens", "ids_crc32", "shard"), columns)})
+        many = table["how_many"].to_numpy()
+        ids = table["doc_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(many)), many)))
+        before = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        there, offsets, lengths = shard.find(keys_of(ids, before))
+        order = np.flatnonzero(there)
+        order = order[np.argsort(offsets[order])]
+        offsets, lengths = offsets[order], lengths[order]
+        crcs = [zlib.crc32(got.astype("<u4").tobytes()) for got in shard.read(offsets, lengths)]
+        columns = {"doc_id": ids.take(pa.array(order)), "start": pa.array(starts[number] + offsets), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crcs, pa.int64()), "shard": pa.array(np.full(len(order), number))}
+        return pa.table(columns)
 
     placed = keys.select(F.col("doc_id").cast("long"), F.col("how_many").cast("long")).mapInArrow(place, "shard long, doc_id long, how_many long")
-    return placed.groupBy("shard").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    return placed.repartition(max(1, len(shards)), "shard").groupBy("shard").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
