@@ -440,3 +440,35 @@ def _(spark, sf):
     kind = F.col("o_orderkey") % 4
     reply = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit('Here {"echo": 1} it is: '), body, F.lit(" bye"))).otherwise("{ nothing")
     return table(spark, sf, "orders").select("o_orderkey", F.try_variant_get(scalars.reply_json(reply, prefer="items"), "$.id", "string").alias("id"))
+
+
+#: Offers whose topics are known: title, description, category, flagged, topics in order.
+TOPICAL = (
+    ("Landbier", "", "Getränke", False, "beer,drinks"),
+    ("Kellerbier-Senf", "", "Grundnahrung", False, "staples"),
+    ("Spezi Cola-Mix", "", "Getränke", False, "drinks,spezi"),
+    ("Fischspezialitäten", "", "Fisch & Meeresfrüchte", False, "fish"),
+    ("Lavazza Espresso", "ganze Bohne", "Getränke", True, "coffee,drinks,flagged"),
+    ("prodomo", "gemahlener Bohnenkaffee", "Grundnahrung", False, "coffee,staples"),
+    ("Bio Gouda", "", "Molkerei & Käse", False, "cheese,organic"),
+    ("Biografie", "", "Drogerie", False, "drugstore"),
+    ("veggie Würstchen", "", "Fleisch & Wurst", False, ""),
+    ("Vegane Bratwurst", "", "Fleisch & Wurst", True, "flagged,vegan"),
+    ("Aufschnitt", "", "Fleisch & Wurst", False, "meat"),
+    ("Limetten", "", "Obst & Gemüse", False, "produce"),
+    ("Rumänischer Rotwein", "", "Getränke", False, "drinks,spirits"),
+    ("Schokolade", "", "Knabbern & Naschen", False, "sweets"),
+    ("Räucherlachs", "", "Tiefkühl", False, "fish,frozen"),
+    ("Hühnerfutter", "", "Tiernahrung", False, "meat,pets"),
+    (None, None, None, None, ""),
+)
+TOPICAL_SQL = "k AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{row[4]}')" for i, row in enumerate(TOPICAL)) + ") v(pos, topics))"
+
+
+@query("q120_topics", f"WITH {TOPICAL_SQL} SELECT p_partkey AS id, topics FROM part JOIN k ON pos = p_partkey % {len(TOPICAL)}")
+def _(spark, sf):
+    """All topics of offers whose topics are stated."""
+    known = spark.createDataFrame([(i, *row[:4]) for i, row in enumerate(TOPICAL)], "at long, title string, description string, category string, flagged boolean")
+    o = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(TOPICAL)).alias("at")).join(F.broadcast(known), "at")
+    hits = [F.when(detectors.topic(name, F.col("title"), F.col("description"), F.col("category"), F.col("flagged")), name) for name in sorted(detectors.TOPICS)]
+    return o.select("id", F.array_join(F.array_compact(F.array(*hits)), ",").alias("topics"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,17 @@ from ..operators.history import envelope, gathered
 from ..operators.matching import resolve_collisions
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local session may name none."""
+    key = "spark.checkpoint.dir"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{key} must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="larder-shared-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Write beside ``path`` and rename when all is there: a write that fails leaves the old files."""
     beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"

@@ -50,9 +50,9 @@ class WeekSink:
         batch.unpersist()
 
 
-def ingest(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def ingest(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run a stream to its present end through a guarded sink."""
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def weekly_unique(events: DataFrame, id_column: str, ts: str, late: str = "7 days") -> DataFrame:
