@@ -14,7 +14,7 @@ QUOTED = r"1\s*([A-Za-z]{1,3})\s*=\s*(ab\s*)?€\s*([\d.,]+)(?:\s*/\s*€\s*([\d
 SIZE = r"(?iu)(\d+(?:[.,]\d+)?)\s*(ml|l|g|kg)(?![\p{L}\p{N}_])"
 COUNT = r"(?iu)(\d+(?:[.,]\d+)?)\s*(WA|Tabs?|Caps?|St(?:ü|ue)ck|Stk|WL)(?![\p{L}\p{N}_])"
 MULTIPACK = r"(?iu)\d\s*[x×]\s*\d|(?<![\p{L}\p{N}_])à(?![\p{L}\p{N}_])"
-LOOSE = r"(?iu)offen"
+LOOSE = r"offen"
 SHOWN = {"wa": "WA", "tab": "Tab", "st": "St", "stk": "St"}
 COUNTED = {"stück": "st", "stueck": "st", "stk": "st", "st": "st", "wl": "wa", "wa": "wa", "tab": "tab", "cap": "tab"}
 SANE_FACE = 500.0
@@ -67,8 +67,12 @@ def _measured(t: Column, pattern: str, body: Callable[[Column], Column]) -> Colu
 
     def read(found: Column) -> Column:
         first = F.coalesce(F.get(found, 0), F.lit(""))
-        parts = F.struct(F.regexp_extract(first, r"^[\d.,]+", 0).alias("number"), F.lower(F.regexp_extract(first, r"[^\d.,\s]+$", 0)).alias("unit"))
-        return let(parts, lambda p: let(F.struct(F.size(found).alias("n"), parse_number(p["number"]).alias("number"), p["unit"].alias("unit")), body))
+        return let(F.struct(first.alias("all"), F.regexp_extract(first, r"^[\d.,]+", 0).alias("digits")), lambda p: measure(found, p))
+
+    def measure(found: Column, p: Column) -> Column:
+        number = F.replace(p["digits"], F.lit(","), F.lit(".")).try_cast("double")  # the pattern allows one mark, a decimal one
+        unit = F.lower(F.ltrim(F.substring(p["all"], F.char_length(p["digits"]) + 1, F.char_length(p["all"]))))
+        return let(F.struct(F.size(found).alias("n"), number.alias("number"), unit.alias("unit")), body)
 
     return let(F.regexp_extract_all(t, F.lit(pattern), 0), read)
 
@@ -94,7 +98,7 @@ def derived(text: Column, face: Column) -> Column:
     def read(t: Column) -> Column:
         by_size = lambda m: per(_litres_or_kilos(m), F.when(m["unit"].isin("ml", "l"), "l").otherwise("kg"))
         sized = lambda m: F.when(m["n"] == 1, by_size(m)).when(m["n"] == 0, _measured(t, COUNT, by_count))
-        return F.when((face > 0) & ~t.rlike(MULTIPACK) & ~t.rlike(LOOSE), _measured(t, SIZE, sized))
+        return F.when((face > 0) & ~t.rlike(f"{MULTIPACK}|{LOOSE}"), _measured(t, SIZE, sized))
 
     return let(norm(text), read)
 
