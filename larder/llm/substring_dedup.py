@@ -9,12 +9,12 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches
 from .fm_index import FmIndex
-from .inverted import answers, blocks_of, chunk_answer, mixed, range_bits, short, window_hashes, word_hashes
+from .inverted import answers, blocks_of, chunk_answer, firsts_of, mixed, range_bits, short, window_hashes, word_hashes
 
 WINDOW = 13
 #: Words of the grams whose smallest hash gives a window its key.
@@ -25,6 +25,8 @@ SEGMENT, CHUNK_WINDOWS = 48, 400_000
 HOT_KEY = 1000
 #: Hash bytes of the keys' inverted index: a chance match only sends a window to the index in vain.
 KEY_BYTES = 4
+#: Bytes of a word's hash by which shards tell words apart.
+WORD_BYTES = 6
 _U = np.uint64
 _NO_ID = np.iinfo(np.int64).max
 
@@ -45,32 +47,47 @@ def window_keys(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.
     return mixed(least[inside]), inside
 
 
-def _shared_keys(docs: DataFrame, window: int) -> DataFrame:
-    """For each document with any: its keys (short form, ascending) that occur elsewhere, and how often."""
+def _shared_keys(docs: DataFrame, window: int, bits: int) -> DataFrame:
+    """For each document with any: its keys (short form, ascending) that others have too, and how many do."""
 
     def fill(batch: pa.RecordBatch, chunk) -> None:
         words, bounds = word_hashes(batch.column(2), lower=False)
         keys, at = window_keys(words, bounds, window)
         cuts = np.searchsorted(at, bounds).tolist()
         for doc_id, h, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts, cuts[1:]):
-            own = keys[a:b]
-            chunk.add((doc_id, h), own[np.concatenate(([True], own[1:] != own[:-1]))] if b > a else own)
+            chunk.add((doc_id, h), np.unique(keys[a:b]))
 
     def by_document(key: tuple, table: pa.Table) -> pa.Table:
-        rows, tokens, owners, counts = chunk_answer(table, 2, KEY_BYTES)
+        rows, tokens, owners, counts = chunk_answer(table, 2, bits, KEY_BYTES)
         order = np.lexsort((tokens, owners))
         tokens, counts, owners = tokens[order], counts[order], owners[order]
-        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1]))) if len(tokens) else np.zeros(0, bool)
-        tokens, counts, owners = tokens[new], counts[new], owners[new]
         cuts = np.searchsorted(owners, np.arange(len(rows) + 1)).tolist()
         out = [(doc_id, h, tokens[a:b].tobytes(), counts[a:b].tobytes()) for (doc_id, h), a, b in zip(rows.tolist(), cuts, cuts[1:]) if b > a]
         columns = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "h", "keys", "counts"])
 
-    found = answers(blocks_of(docs, fill, KEY_BYTES), low=KEY_BYTES).groupBy("chunk").applyInArrow(by_document, "doc_id long, h long, keys binary, counts binary")
+    found = answers(blocks_of(docs, fill, bits, KEY_BYTES), low=KEY_BYTES).groupBy("chunk").applyInArrow(by_document, "doc_id long, h long, keys binary, counts binary")
     return found.groupBy("doc_id", "h").agg(F.first(F.struct("keys", "counts")).alias("shared"))
 
 
+def _coded(words: np.ndarray) -> bytes:
+    """The low bytes of word hashes that shards compare."""
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+
+
+def _decoded(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
+def _keyed(docs: DataFrame) -> dict[str, Column]:
+    """What texts are told apart by: doc_id (the largest long for null), and h, a hash of the text
+    whose last bit says that doc_id is null."""
+    h = F.shiftleft(F.xxhash64("text"), 1).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    return {"doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "h": h}
+
+
 class _Segments:
     """Segments of one chunk of documents: distinct contents for the shards, places to keep."""
 
@@ -95,12 +112,11 @@ class _Segments:
         flat = words[np.repeat(offsets[one], taken) + np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)]
         ends = np.concatenate(([0], np.cumsum(taken)))
         kept = (np.array(self.docs, "<i8").tobytes(), place.astype("<u4").tobytes(), doc.astype("<u2").tobytes(), start.astype("<u4").tobytes(), windows.astype("u1").tobytes())
-        # The chunk's own row goes to a range below 0, and through it back to the chunk.
-        out = [(-1 - self.number % (1 << bits), self.number, *kept)]
-        cuts = np.searchsorted(own, np.arange((1 << bits) + 1)).tolist()
-        for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                out.append((r, self.number, segment[one[a:b]].tobytes(), ids[one[a:b]].tobytes(), windows[one[a:b]].astype("u1").tobytes(), flat[ends[a] : ends[b]].tobytes(), None))
+        # The chunk's own row has a group of its own, below 0, and goes through it back to the chunk.
+        out = [(-1 - self.number, self.number, *kept)]
+        starts = firsts_of(own)
+        for r, a, b in zip(own[starts].tolist(), starts.tolist(), np.append(starts[1:], len(own)).tolist()):
+            out.append((r, self.number, segment[one[a:b]].tobytes(), ids[one[a:b]].tobytes(), windows[one[a:b]].astype("u1").tobytes(), _coded(flat[ends[a] : ends[b]]), None))
         kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["range", "chunk", "a", "b", "c", "d", "e"])
 
@@ -138,7 +154,7 @@ def _segments(texts: DataFrame, bits: int, window: int, hot_key: int) -> DataFra
         taken = words[np.repeat(start, sizes) + inner]
         with np.errstate(over="ignore"):
             hashes = mixed(np.add.reduceat(mixed(taken + inner.astype(_U) * _U(0xA0761D6478BD642F)), offsets) + sizes.astype(_U))
-        chunk.parts.append((hashes, keys[first], first_doc + doc[first], start - bounds[doc[first]], windows, (taken >> _U(32)).astype("<u4")))
+        chunk.parts.append((hashes, keys[first], first_doc + doc[first], start - bounds[doc[first]], windows, taken))
         chunk.windows += len(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +189,7 @@ def _search(window: int):
         segments = np.concatenate([np.frombuffer(r["a"], "<u8") for r in rows])
         owners = np.concatenate([np.frombuffer(r["b"], "<i8") for r in rows])
         windows = np.concatenate([np.frombuffer(r["c"], "u1") for r in rows]).astype(np.int64)
-        words = np.concatenate([np.frombuffer(r["d"], "<u4") for r in rows])
+        words = np.concatenate([_decoded(r["d"]) for r in rows])
         sizes = windows + window - 1
         offsets = np.cumsum(sizes) - sizes
         order = np.lexsort((owners, segments))
@@ -202,27 +218,22 @@ def _search(window: int):
 def window_owners(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, window: int) -> np.ndarray:
     """For each window of each segment the smallest owner of a segment that holds it.
 
-    The segments are indexed, and their windows streamed against the index: a matching statistic of
-    a whole window gives the interval of its places in suffix order, and the owners there a minimum.
+    The segments are indexed, and all are streamed against the index: where the matching statistic
+    reaches a whole window, the interval of its places has the smallest owner.
     """
-    taken = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    _, codes = np.unique(words[taken], return_inverse=True)
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    _, codes = np.unique(words[np.repeat(starts, sizes) + within], return_inverse=True)
     begins = np.cumsum(sizes + 1) - (sizes + 1)
     text = np.zeros(int((sizes + 1).sum()), np.int64)
-    text[np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = codes + 1
-    index = FmIndex(text, window)
-    held = np.append(owners[np.searchsorted(begins, index.suffixes, side="right") - 1], _NO_ID)
+    text[np.repeat(begins, sizes) + within] = codes + 1
+    index = FmIndex(text, window, np.repeat(owners, sizes + 1))
     n = sizes - window + 1
-    at = np.repeat(begins, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out = np.full(len(at), _NO_ID)
-    for a in range(0, len(at), 100_000):
-        some = at[a : a + 100_000]
-        matched, lo, hi = index.match(text[some[:, None] + np.arange(window)])
-        full = np.flatnonzero(matched == window)
-        runs, back = np.unique(lo[full], return_inverse=True)
-        ends = np.zeros(len(runs), np.int64)
-        ends[back] = hi[full]
-        out[a + full] = np.minimum.reduceat(held, np.column_stack((runs, ends)).ravel())[::2][back]
+    firsts = np.cumsum(n) - n
+    out = np.full(int(n.sum()), _NO_ID)
+    for stretch, at, matched, lo in index.stream(text, begins + sizes, sizes):
+        full = matched == window
+        some = stretch[full]
+        out[firsts[some] + at[full] - begins[some]] = index.least_of(lo[full])
     return out
 
 
@@ -266,10 +277,9 @@ def _runs(window: int):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_key: int = HOT_KEY) -> tuple[DataFrame, DataFrame]:
     """The texts (doc_id, h, text) and, by document, the stretches of words that repeated windows cover."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id")
-    texts = docs.select(ids, F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(*[c.alias(n) for n, c in _keyed(docs).items()], F.coalesce("text", F.lit("")).alias("text"))
     bits = range_bits(docs)
-    with_keys = texts.join(_shared_keys(texts, window), ["doc_id", "h"]).select("doc_id", "h", "text", "shared")
+    with_keys = texts.join(_shared_keys(texts, window, bits), ["doc_id", "h"]).select("doc_id", "h", "text", "shared")
     answered = _segments(with_keys, bits, window, hot_key).groupBy("range").applyInArrow(_search(window), "chunk long, range long, a binary, b binary, c binary, d binary, e binary")
     hits = answered.groupBy("chunk").applyInArrow(_runs(window), "doc_id long, h long, found binary")
     return texts, hits.groupBy("doc_id", "h").agg(F.first("found").alias("found"))
@@ -290,36 +300,37 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, hot_key
     """Remove each word covered by a window of words that also starts in a smaller doc_id.
 
     Gives doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by
-    one space).  Exact over all documents and whole texts:
+    one space).  Over all documents and whole texts; words are compared by 48 bits of their hash:
 
     1. each window has a key made from its own words; an inverted index over keys leaves the windows
-       whose key occurs elsewhere;
+       whose key other documents have;
     2. runs of such windows with one key are segments; equal segments of a chunk of documents become
        one with its smallest doc_id before anything moves, so that copies never meet in one task;
     3. the key's hash sends a segment to an index shard, where equal windows meet (windows with a
        very frequent key go by their own hash); the shard builds an FM-index (wavelet tree over the
-       suffix-ordered words) and streams its distinct segments against it: a matching statistic of
-       a whole window gives the interval of its places, and so the smallest doc_id;
+       suffix-ordered words) and streams its distinct segments against it: matching statistics, an
+       interval that each word before a match extends and shrinks, report the windows that occur
+       whole, and their interval has the smallest doc_id;
     4. the shards' answers return to the chunks, whose documents lose the windows with a smallest
        doc_id below their own.
 
     Null texts have no words.  Rows of one doc_id take nothing from each other.  A null doc_id
-    counts as larger than all: its repeated words go, it takes none from others.  Empty tables give
-    empty results; other columns are ignored.
+    counts as the largest long: its repeated words go, it takes none from smaller ids.  Empty tables
+    give empty results; other columns are ignored.
     """
     texts, found = repeated_windows(docs, window, hot_key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             rows = []
-            for doc_id, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, h, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 words, kept = _kept(text, runs)
                 joined = b" ".join(kept)
-                rows.append((None if doc_id == _NO_ID else doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None))
+                rows.append((None if h & 1 else doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = texts.join(found, ["doc_id", "h"], "left").select("doc_id", "text", "found")
+    joined = texts.join(found, ["doc_id", "h"], "left").select("doc_id", "h", "text", "found")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
@@ -327,21 +338,20 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with their columns, where repeated words are gone from ``text``.
 
     A text that loses words becomes its kept words joined by one space, and ``n_chars``, if there is
-    such a column, its length; other texts stay as they are.
+    such a column, its length; other texts stay as they are, null ones too.  Nulls and repeated rows
+    as in ``dedup``; columns may have any names.
     """
-    texts, found = repeated_windows(docs, window)
-    rows = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_h": F.xxhash64("text")})
-    found = found.select(F.col("doc_id").alias("_key"), F.col("h").alias("_h"), F.col("found").alias("_found"))
-    joined = rows.join(found, ["_key", "_h"], "left").drop("_h")
+    _, found = repeated_windows(docs, window)
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in _keyed(docs).items()])
+    joined = rows.join(found, ["doc_id", "h"], "left").select("row", "found")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            texts_, runs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "_found"))
-            new = []
-            for text, found_ in zip(texts_, runs):
+            columns = dict(zip(names, batch.column(0).flatten()))
+            runs, new = batch.column(1).to_pylist(), []
+            for text, found_ in zip(columns["text"].to_pylist(), runs):
                 new.append(b" ".join(_kept(text, found_)[1]).decode() if found_ and text else text)
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
                 sizes = [len(t or "") if f else n for t, f, n in zip(new, runs, columns["n_chars"].to_pylist())]
