@@ -1,10 +1,10 @@
 """A distributed inverted index over hashed word windows, in compact sorted blocks.
 
 Tasks cut their documents into chunks.  A chunk gives its distinct window hashes, sorted, to ranges
-of the hash space as one block a range, with how many of its documents have each; which documents
-these are stays in the chunk's own row.  A range merges its blocks and tells each chunk which of its
-windows also occur elsewhere.  Rows are blocks, not windows, so the shuffle holds about 9 bytes a
-window, and a window that a third of all documents have is one entry a chunk.
+of the hash space as one block a range, with the document that has each, or how many have it: which
+ones these are stays in the chunk's own row.  A range merges its blocks and tells each chunk which
+of its windows also occur elsewhere.  Rows are blocks, not windows, so the shuffle holds about 9
+bytes a window, and a window that a third of all documents have is one entry a chunk.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from .tokens import words_of
 #: Windows and documents of a chunk at most (but a chunk holds one document at least).
 CHUNK_WINDOWS, CHUNK_DOCS = 1_500_000, 60_000
 #: Bytes of text whose windows one range of the hash space gets, about, whatever the shuffle's width.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 #: Bytes of a hash that a block stores besides its range, where windows are to be told apart (from
 #: 256 ranges on, all 64 bits); fewer serve where a chance match does no harm.
 EXACT_BYTES = 7
 BLOCKS = "range long, chunk long, n int, docs binary, tokens binary, counts binary, owners binary"
+#: Owner of a window that several documents of a chunk have.
+SEVERAL = 0xFFFF
 _U = np.uint64
 
 
@@ -113,14 +115,17 @@ class _Chunk:
         tokens, owners = tokens[order], owners[order]
         first = firsts_of(tokens)
         counts = np.diff(np.append(first, len(tokens)))
-        tokens, ranges = tokens[first], (tokens[first] >> _U(rest_bits(bits, low))).astype(np.int64)
-        starts = firsts_of(ranges)
+        several = counts > 1
+        mine = np.repeat(several, counts)
         # The chunk's own row has a group of its own, below 0, and goes through it back to the chunk.
-        places = np.column_stack((ranges[starts], starts)).astype("<i8")
-        rows = [(-1 - self.number, self.number, len(self.rows), np.array(self.rows, dtype="<i8").tobytes(), places.tobytes(), counts.astype("<u4").tobytes(), owners.astype("<u2").tobytes())]
-        few = np.minimum(counts, 0xFFFF).astype("<u2")
+        docs = np.array(self.rows, dtype="<i8").tobytes()
+        rows = [(-1 - self.number, self.number, len(self.rows), docs, tokens[first][several].astype("<u8").tobytes(), counts[several].astype("<u2").tobytes(), owners[mine].astype("<u2").tobytes())]
+        own = np.where(several, SEVERAL, owners[first]).astype("<u2")
+        tokens, counts = tokens[first], counts.astype("<u2")
+        ranges = (tokens >> _U(rest_bits(bits, low))).astype(np.int64)
+        starts = firsts_of(ranges)
         for r, a, b in zip(ranges[starts].tolist(), starts.tolist(), np.append(starts[1:], len(tokens)).tolist()):
-            rows.append((r, self.number, b - a, None, _packed(tokens[a:b], low), few[a:b].tobytes(), None))
+            rows.append((r, self.number, b - a, None, _packed(tokens[a:b], low), counts[a:b].tobytes(), own[a:b].tobytes()))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["range", "chunk", "n", "docs", "tokens", "counts", "owners"])
 
@@ -143,39 +148,35 @@ def blocks_of(docs: DataFrame, fill: Callable[[pa.RecordBatch, _Chunk], None], b
     return docs.mapInArrow(run, BLOCKS)
 
 
-ANSWERS = "chunk long, range long, n int, docs binary, tokens binary, counts binary, owners binary, hits binary"
+ANSWERS = "chunk long, range long, n int, docs binary, tokens binary, counts binary, owners binary"
 
 
 def answers(blocks: DataFrame, least: int = 2, low: int = EXACT_BYTES) -> DataFrame:
     """For each chunk, its windows that at least ``least`` documents of all chunks together have.
 
-    The chunk's own row as in ``blocks_of``; for each block with such windows these, in order, where
-    they stand in the block (a bit each), and in how many documents they are (up to 65535).
+    Rows as in ``blocks_of``, but the counts are those of all chunks (up to 65535).
     """
-    names = ["chunk", "range", "n", "docs", "tokens", "counts", "owners", "hits"]
-    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 5
+    names = ["chunk", "range", "n", "docs", "tokens", "counts", "owners"]
+    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
         if r < 0:
-            return table.append_column("hits", pa.nulls(table.num_rows, pa.binary())).select(names)
+            return table.select(names)
         sizes = table["n"].to_numpy()
         tokens = np.concatenate([_unpacked(raw, n) for raw, n in zip(table["tokens"].to_pylist(), sizes.tolist())])
-        each = np.concatenate([np.frombuffer(raw, "<u2") for raw in table["counts"].to_pylist()])
-        chunks, ends = table["chunk"].to_numpy(), np.cumsum(sizes)
+        each, owners = (np.concatenate([np.frombuffer(raw, "<u2") for raw in table[c].to_pylist()]) for c in ("counts", "owners"))
         order = np.argsort(tokens, kind="stable")
         first = firsts_of(tokens[order])
         sums = np.add.reduceat(each[order].astype(np.int64), first)
         total = np.empty(len(order), np.int64)
         total[order] = np.repeat(sums, np.diff(np.append(first, len(order))))
         rows = []
-        for chunk, n, end in zip(chunks.tolist(), sizes.tolist(), ends.tolist()):
-            own = total[end - n : end]
-            hit = own >= least
-            if hit.any():
-                found = np.minimum(own[hit], 0xFFFF).astype("<u2")
-                rows.append((chunk, r, len(found), None, _packed(tokens[end - n : end][hit], low), found.tobytes(), None, np.packbits(hit).tobytes()))
-        columns = list(zip(*rows)) or [()] * 8
+        for chunk, n, end in zip(table["chunk"].to_pylist(), sizes.tolist(), np.cumsum(sizes).tolist()):
+            at = end - n + np.flatnonzero(total[end - n : end] >= least)
+            if len(at):
+                rows.append((chunk, r, len(at), None, _packed(tokens[at], low), np.minimum(total[at], 0xFFFF).astype("<u2").tobytes(), owners[at].tobytes()))
+        columns = list(zip(*rows)) or [()] * 7
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return blocks.groupBy("range").applyInArrow(merge, ANSWERS)
@@ -183,24 +184,26 @@ def answers(blocks: DataFrame, least: int = 2, low: int = EXACT_BYTES) -> DataFr
 
 def chunk_answer(table: pa.Table, columns: int, bits: int, low: int = EXACT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one chunk: its documents' rows, and tokens, owners and counts of its answered windows."""
-    found = table.select(["range", "n", "docs", "tokens", "counts", "owners", "hits"]).to_pylist()
+    found = table.select(["range", "n", "docs", "tokens", "counts", "owners"]).to_pylist()
     own = next(row for row in found if row["range"] < 0)
-    docs = np.frombuffer(own["docs"], "<i8").reshape(-1, columns)
-    places = np.frombuffer(own["tokens"], "<i8").reshape(-1, 2)
-    held, owners = np.frombuffer(own["counts"], "<u4").astype(np.int64), np.frombuffer(own["owners"], "<u2")
-    starts = np.cumsum(held) - held
     rest = rest_bits(bits, low)
-    at, tokens, counts = [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, "<u2")]
+    tokens, counts, owners = [np.zeros(0, _U)], [np.zeros(0, "<u2")], [np.zeros(0, "<u2")]
     for row in found:
         if row["range"] >= 0:
-            start = places[np.searchsorted(places[:, 0], row["range"]), 1]
-            at.append(start + np.flatnonzero(np.unpackbits(np.frombuffer(row["hits"], np.uint8))))
             tokens.append(_unpacked(row["tokens"], row["n"]) & _U((1 << rest) - 1) | _U(row["range"] << rest))
             counts.append(np.frombuffer(row["counts"], "<u2"))
-    at, tokens, counts = np.concatenate(at), np.concatenate(tokens), np.concatenate(counts)
+            owners.append(np.frombuffer(row["owners"], "<u2"))
+    tokens, counts, owners = map(np.concatenate, (tokens, counts, owners))
+    several = np.flatnonzero(owners == SEVERAL)  # which documents these are, the chunk's own row says
+    held = np.frombuffer(own["counts"], "<u2").astype(np.int64)
+    at = np.searchsorted(np.frombuffer(own["tokens"], "<u8"), tokens[several])
     many = held[at]
-    entries = np.repeat(starts[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    return docs, np.repeat(tokens, many), owners[entries], np.repeat(counts, many)
+    entries = np.repeat((np.cumsum(held) - held)[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    again = np.repeat(several, many)
+    one = owners != SEVERAL
+    all_owners = np.concatenate((owners[one], np.frombuffer(own["owners"], "<u2")[entries]))
+    docs = np.frombuffer(own["docs"], "<i8").reshape(-1, columns)
+    return docs, np.concatenate((tokens[one], tokens[again])), all_owners, np.concatenate((counts[one], counts[again]))
 
 
 def null_safe(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
