@@ -65,6 +65,41 @@ def _as_matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
 
+class Reached:
+    """Candidates of queries, as columns: asker, rep, block, low and high bound of the cosine."""
+
+    NAMES = ["asker", "rep", "block", "low", "high"]
+
+    def __init__(self, k: int, reach: int, width: int, symbols: int):
+        self.k, self.reach, self.width, self.symbols = k, reach, width, symbols
+        self.columns: list[list[np.ndarray]] = [[] for _ in self.NAMES]
+
+    def look(self, rows: dict[str, np.ndarray], q: int, near: np.ndarray) -> None:
+        """Of the entries ``near`` place q the first in ascending from q's string that may be among the k + 1 best."""
+        if len(near) > self.reach:
+            level = shared_levels(rows["string"][near], rows["string"][q], self.width, self.symbols)
+            near = near[np.lexsort((np.abs(near - q), -level))[: self.reach]]
+        off, x = rows["off"], rows["x"]
+        scores = x[near] @ x[q]
+        error = off[q] + off[near] + off[q] * off[near]
+        low, high = scores - error, scores + error
+        some = high >= (np.partition(low, -self.k - 1)[-self.k - 1] if len(low) > self.k else -np.inf)
+        found = (np.full(some.sum(), rows["rep"][q]), rows["rep"][near[some]], rows["block"][near[some]], low[some], high[some])
+        for column, value in zip(self.columns, found):
+            column.append(value)
+
+    def batch(self, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch | None:
+        """The candidates as rows of a wider table, null elsewhere."""
+        if not self.columns[0]:
+            return None
+        own = dict(zip(self.NAMES, (np.concatenate(c) for c in self.columns)))
+        m = len(own["asker"])
+        return pa.RecordBatch.from_arrays([pa.array(own[n]).cast(k) if n in own else pa.nulls(m, k) for n, k in zip(names, kinds)], names)
+
+
+FOUND = "tree int, level int, prefix long, asker long, block long, held long, rep long, low float, high float, edge int, side int, string long, asked boolean, scale float, off float, small binary"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part."""
     e = F.col("embedding")
@@ -81,8 +116,8 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
     * Each tree is one sorted array of hash strings, cut into ranges; its entries carry the vector in
       8 bits a component and that vector's distance from it.  A query descends to its place, the
       longest common prefix, and ascends symbol by symbol until ``breadth`` entries are reached in
-      every tree alike.  On patternless data the last level is cut there, which is the forest's
-      approximation.
+      every tree alike; near the edge of a range it looks into the next one too.  On patternless
+      data the last level is cut there, which is the forest's approximation.
     * A bucket of more than ``breadth`` entries, and of ``DENSE`` times those that patternless data
       would give its level, is dense.  Its entries stand in blocks by the string of the first tree; a
       query is scored exactly against every entry of all blocks its deepest dense buckets touch, each
@@ -91,8 +126,8 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
       k + 1 best get exact ones in double precision.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows
-    without vec_id nor vectors of another length than the most common one.  Repeated rows are one.
-    With fewer than k candidates all are given.  An empty table gives an empty result.
+    without vec_id nor vectors of another length than the most common one.  Repeated rows are one; an
+    id with several vectors counts by the nearest of them, as query and as neighbour.  With fewer than k candidates all are given.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -144,17 +179,24 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
                 for tree in range(TREES):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(strings), tree, np.int32)), pa.array(strings[:, tree]), *part.columns[1:]], ["tree", "string", *part.schema.names[1:]])
 
+    names = [column.split(" ")[0] for column in FOUND.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}[column.split(" ")[1]] for column in FOUND.split(", ")]
+
+    def arrays_of(table: pa.Table) -> dict[str, np.ndarray]:
+        rows = {c: table[c].to_numpy() for c in ("tree", "string", "rep", "block", "asked", "off")}
+        small = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dims).astype(np.float32)
+        return rows | {"x": small * table["scale"].to_numpy()[:, None]}
+
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates (asker, rep, block, low, high); runs of one prefix that may be part of a dense
-        bucket, with their rows by block (block, held) and their queries (asker)."""
+        bucket, with their rows by block (block, held) and their queries (asker); and the rows at
+        both ends of the range, for the edges (edge, side) it has with its neighbours."""
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        trees, strings, reps, blocks, asks, off = (table[c].to_numpy() for c in ("tree", "string", "rep", "block", "asked", "off"))
-        x = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dims).astype(np.float32) * table["scale"].to_numpy()[:, None]
-        near_out: list[list[np.ndarray]] = [[], [], [], [], []]
-        run_out: list[tuple] = []
+        rows, reached, run_out = arrays_of(table), Reached(k, reach, width, symbols), []
+        trees, strings, reps, blocks, asks = (rows[c] for c in ("tree", "string", "rep", "block", "asked"))
         cuts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1], [True]))).tolist()
         for a, b in zip(cuts, cuts[1:]):
             for level in range(1, symbols + 1):
@@ -167,26 +209,31 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
                     run_out += [(*name, None, block, count) for block, count in zip(*(v.tolist() for v in np.unique(blocks[lo:hi], return_counts=True)))]
                     run_out += [(*name, asker, None, None) for asker in reps[lo:hi][asks[lo:hi]].tolist()]
             for q in (a + np.flatnonzero(asks[a:b])).tolist():
-                lo, hi = max(a, q - reach), min(b, q + reach + 1)
-                near = np.arange(lo, hi)
-                if len(near) > reach:
-                    level = shared_levels(strings[lo:hi], strings[q], width, symbols)
-                    near = near[np.lexsort((np.abs(near - q), -level))[:reach]]
-                scores = x[near] @ x[q]
-                error = off[q] + off[near] + off[q] * off[near]
-                low, high = scores - error, scores + error
-                some = high >= (np.partition(low, -k - 1)[-k - 1] if len(low) > k else -np.inf)
-                for column, value in zip(near_out, (np.full(some.sum(), reps[q]), reps[near[some]], blocks[near[some]], low[some], high[some])):
-                    column.append(value)
-        none = lambda m, kind: pa.nulls(m, kind)
-        names = ["tree", "level", "prefix", "asker", "block", "held", "rep", "low", "high"]
-        if near_out[0]:
-            asker, rep, block, low, high = (pa.array(np.concatenate(c)) for c in near_out)
-            m = len(asker)
-            yield pa.RecordBatch.from_arrays([none(m, pa.int32()), none(m, pa.int32()), none(m, pa.int64()), asker, block, none(m, pa.int64()), rep, low.cast(pa.float32()), high.cast(pa.float32())], names)
+                reached.look(rows, q, np.arange(max(a, q - reach), min(b, q + reach + 1)))
+        if (batch := reached.batch(names, kinds)) is not None:
+            yield batch
         if run_out:
-            kinds, m = [pa.int32(), pa.int32()] + [pa.int64()] * 4, len(run_out)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*run_out), kinds)), none(m, pa.int64()), none(m, pa.float32()), none(m, pa.float32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*run_out), kinds)] + [pa.nulls(len(run_out), t) for t in kinds[6:]], names)
+        part = TaskContext.get().partitionId()
+        for edge, side, at in ((part, 1, 0), (part + 1, 0, max(0, len(reps) - reach))):
+            strip = table.slice(at, reach)
+            own = {"edge": np.full(len(strip), edge), "side": np.full(len(strip), side)}
+            columns = [pa.array(own[n]).cast(t) if n in own else strip[n].combine_chunks().cast(t) if n in strip.schema.names else pa.nulls(len(strip), t) for n, t in zip(names, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    def across(key: tuple, table: pa.Table) -> pa.Table:
+        """Candidates that a query near an edge has beyond it, in the same tree's array."""
+        table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("string", "ascending"), ("rep", "ascending")])
+        rows, reached, cut = arrays_of(table), Reached(k, reach, width, symbols), int((table["side"].to_numpy() == 0).sum())
+        place, trees = np.arange(len(table)), rows["tree"]
+        for q in np.flatnonzero(rows["asked"]).tolist():
+            near = place[cut : q + reach + 1] if q < cut else place[max(0, q - reach) : cut]
+            near = near[trees[near] == trees[q]]
+            if len(near):
+                reached.look(rows, q, near)
+        schema = pa.schema([(n, kinds[names.index(n)]) for n in Reached.NAMES])
+        batch = reached.batch(names, kinds)
+        return schema.empty_table() if batch is None else pa.Table.from_batches([batch]).select(Reached.NAMES)
 
     base = "rep long, ids array<long>, embedding array<double>, asked boolean"
     more = ", first long, scale float, off float, strings binary, small binary"
@@ -197,7 +244,8 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
     tree_rows = entries.select("strings", "rep", "block", "asked", "scale", "off", "small").mapInArrow(grow, "tree int, string long, rep long, block long, asked boolean, scale float, off float, small binary")
     parts = max(1, min(shuffle_width(spark) * 4, -(-n * TREES // PART_ROWS)), -(-n * TREES // (4 * PART_ROWS)))
     arrays = tree_rows.repartitionByRange(parts, "tree", "string", "rep").sortWithinPartitions("tree", "string", "rep")
-    found = stage(spark, arrays.mapInArrow(climb, "tree int, level int, prefix long, asker long, block long, held long, rep long, low float, high float"), "forest-found")
+    found = stage(spark, arrays.mapInArrow(climb, FOUND), "forest-found")
+    beyond = found.where("edge is not null").groupBy("edge").applyInArrow(across, "asker long, rep long, block long, low float, high float")
 
     bucket = ["tree", "level", "prefix"]
     runs = found.where("held is not null").groupBy(*bucket, "block").agg(F.sum("held").alias("held"))
@@ -207,7 +255,7 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
     wanted = deepest.select("asker", "tree", "at.level", "at.prefix").join(runs.select(*bucket, "block"), bucket).select("asker", "block").distinct()
     wanted = stage(spark, wanted, "forest-dense")
 
-    reached = found.where("rep is not null").groupBy("asker", "rep", "block").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    reached = found.where("rep is not null and edge is null").select("asker", "rep", "block", "low", "high").unionByName(beyond).groupBy("asker", "rep", "block").agg(F.max("low").alias("low"), F.min("high").alias("high"))
     reached = reached.join(wanted, ["asker", "block"], "left_anti").withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("low"), "rep")))
     least = F.max(F.when(F.col("at") == k + 1, F.col("low"))).over(Window.partitionBy("asker"))
     best = reached.withColumn("least", least).where("least is null or high >= least")
@@ -248,7 +296,8 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", brea
         scored = scored.unionByName(both.applyInArrow(lambda left, right: whole(left, right) if left.num_rows and right.num_rows else EMPTY, "asker long, ids array<long>, score double"))
     top = scored.withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("at") <= k + 1)
     asks = asked.join(entries.where("asked").select("embedding", F.col("rep").alias("asker")), "embedding").select(F.col("vec_id").alias("query_id"), "asker")
-    each = asks.join(top.select("asker", "score", F.explode("ids").alias("vec_id")), "asker").where("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"])
+    each = asks.join(top.select("asker", "score", F.explode("ids").alias("vec_id")), "asker").where("vec_id <> query_id")
+    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
