@@ -35,13 +35,13 @@ def test_sibling_archive(spark, tmp_path):
     write("2026/KW02", "2026-01-05", "2026-01-05", 30)
     write("2026/KW03", "2026-01-12", "2026-01-13", 30, 40)
     write("2026/KW06", "2026-02-02", "2026-02-02", 3)
-    snaps = tables.siblings(spark, f"{tmp_path}/20*/KW*/*.json", "aldi")
+    snaps = tables.siblings(spark, f"{tmp_path}/20*/KW*/*.json", "other")
     keys = snaps.select("source", "d", F.explode("offers.sku").alias("key"))
     known = spark.sql("select date'2026-01-19' as missing")
     got = sorted((r.check, r.severity, r.entity, r.detail) for r in audit.sibling_report(snaps, keys, known).collect())
     assert got == [
-        ("known gap", "note", "aldi", "2026-01-19"), ("misfiled", "fail", "aldi/2026-01-12", "2026-01-13"), ("missed week", "fail", "aldi", "2026-01-26"),
-        ("repeated key", "fail", "aldi/2026-02-02/k0", "2"), ("short of declared", "fail", "aldi/2026-01-12", "30"), ("thin", "fail", "aldi/2026-02-02", "3"),
+        ("known gap", "note", "other", "2026-01-19"), ("misfiled", "fail", "other/2026-01-12", "2026-01-13"), ("missed week", "fail", "other", "2026-01-26"),
+        ("repeated key", "fail", "other/2026-02-02/k0", "2"), ("short of declared", "fail", "other/2026-01-12", "30"), ("thin", "fail", "other/2026-02-02", "3"),
     ]
 
 
