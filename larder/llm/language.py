@@ -131,16 +131,18 @@ def learn(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS) -> Model:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from about ``rows`` documents with a lang whose crc32(doc_id) mod 5 is not 0.
 
-    Each language has an equal part of that number (all its documents, if it has fewer), so that a
-    rare one is learnt at any size of the table.  The sample is taken by a hash of the id; presence
-    vectors (1 MB a document at most), not texts, come to the driver.
+    Languages have their shares of that number, but each a quarter of an equal one at least (all its
+    documents, if it has fewer), so that a rare one is learnt at any size of the table.  The sample
+    is taken by a hash of the id; presence vectors (1 MB a document at most), not texts, come to the
+    driver.
     """
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where("lang is not null and doc_id is not null and text is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return learn([])
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, max(1, rows // len(counts)) / n) * DRAWS))])
+    share = rows / sum(counts.values())
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, max(share, max(1.0, rows / len(counts) / 4) / n)) * DRAWS))])
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(DRAWS)) < F.element_at(shares, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
