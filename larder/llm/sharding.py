@@ -129,11 +129,11 @@ WITH hashed AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {BITS // 4}))::BIGINT AS hash
   FROM documents),
-every AS (SELECT *, hash >> ({BITS} - d) AS at FROM hashed, (SELECT unnest(generate_series(0, {BITS}))::INT AS d)),
-buckets AS (SELECT d, at, sum(n_bytes) AS held, min(hash) = max(hash) AS single FROM every GROUP BY d, at),
+every AS (SELECT *, hash >> ({BITS} - d) AS prefix FROM hashed, (SELECT unnest(generate_series(0, {BITS}))::INT AS d)),
+buckets AS (SELECT d, prefix, sum(n_bytes) AS held, min(hash) = max(hash) AS single FROM every GROUP BY d, prefix),
 leaf AS (
   SELECT doc_id, n_bytes, hash, min(d) AS depth
-  FROM every JOIN buckets USING (d, at) WHERE held <= {LIMIT} OR single GROUP BY ALL)
+  FROM every JOIN buckets USING (d, prefix) WHERE held <= {LIMIT} OR single GROUP BY ALL)
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(hash >> ({BITS} - depth)), depth, '0') END AS shard,
        depth AS local_depth, n_bytes FROM leaf
 """
