@@ -16,7 +16,7 @@ from .common import small_batches, stage
 from .louds import LABEL, Louds
 
 #: Conversations a prefix may have to stand in a shard; those with more make the upper levels.
-LIMIT = 1024
+LIMIT = 256
 #: Upper prefixes at most (4 MB of keys, one task's trie): LIMIT doubles until they are no more.
 UPPER = 1 << 18
 #: Levels that a shard's trie spans; longer conversations go on in further shards.
