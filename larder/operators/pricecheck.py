@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import EPS
+from .sweep import swept
 
 
 def with_prior(weekly: DataFrame) -> DataFrame:
@@ -21,35 +22,26 @@ def tiers(weekly: DataFrame) -> DataFrame:
     return w.where("prior >= 2").select("key", "d", "gp", "prior_low", "prior", F.col("over_pct").cast("long").alias("over_pct"), tier.alias("tier"))
 
 
-def _with_earlier(weekly: DataFrame, holds: Column) -> DataFrame:
-    """Each week (numbered n within its product) with the earlier ones (number m, price was) for which ``holds``.
-
-    A product's weeks are joined with each other in its own partition: weeks are few, and no row
-    carries a growing array of them.
-    """
-    w = weekly.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("d")))
-    earlier = w.select(F.col("key").alias("k"), F.col("n").alias("m"), F.col("gp").alias("was"))
-    return w.join(earlier, (F.col("key") == F.col("k")) & (F.col("m") < F.col("n")) & holds, "left").drop("k")
-
-
 def run_length(weekly: DataFrame) -> DataFrame:
     """Consecutive weeks just before, all dearer than now: weeks since the last one that was not."""
-    seen = _with_earlier(weekly, F.col("was") <= F.col("gp") + EPS)
-    last = F.coalesce(F.max("m"), F.lit(0))
-    return seen.groupBy("key", "d", "gp", "n").agg(last.alias("last")).select("key", "d", "gp", (F.col("n") - 1 - F.col("last")).cast("long").alias("run"))
+    return swept(weekly).select("key", "d", "gp", "run")
+
+
+def percentile_prior(weekly: DataFrame) -> DataFrame:
+    """How many earlier weeks were cheaper, of how many (weeks with an earlier one)."""
+    w = swept(weekly).where("n > 1").withColumn("prior", F.col("n") - 1)
+    return w.select("key", "d", "cheaper", "prior", F.floor(F.col("cheaper") * 100 / F.col("prior") + 0.5).cast("long").alias("pctile"))
 
 
-def percentiles(weekly: DataFrame) -> DataFrame:
-    """How many earlier weeks were cheaper, of how many, and percent rank in the whole history (4 weeks up)."""
-    cheaper = _with_earlier(weekly, F.col("was") < F.col("gp")).groupBy("key", "d", "gp", "n").agg(F.count("was").alias("cheaper"))
+def percentile_full(weekly: DataFrame, least_weeks: int = 4) -> DataFrame:
+    """Percent rank of each week in the product's whole history, of products with enough weeks."""
     whole = Window.partitionBy("key")
-    full = F.percent_rank().over(whole.orderBy("gp"))
-    return cheaper.select("key", "d", "gp", (F.col("n") - 1).cast("long").alias("prior"), "cheaper", F.count(F.lit(1)).over(whole).alias("n"), full.alias("full"))
+    ranked = weekly.select("key", "d", F.count(F.lit(1)).over(whole).alias("n"), F.percent_rank().over(whole.orderBy("gp")).alias("full"))
+    return ranked.where(F.col("n") >= least_weeks).select("key", "d", "n", "full")
 
 
 def evidence(weekly: DataFrame) -> DataFrame:
     """best flag, percent over the earlier low (0 at least), percentile of earlier weeks, their number."""
-    cheaper = _with_earlier(with_prior(weekly), F.col("was") < F.col("gp")).groupBy("key", "d", "gp", "prior_low", "prior").agg(F.count("was").alias("cheaper"))
-    w = cheaper.where("prior >= 2")
+    w = swept(weekly).withColumn("prior", F.col("n") - 1).where("prior >= 2")
     over = F.when(F.col("prior_low") > 0, F.greatest(F.lit(0), F.floor((F.col("gp") / F.col("prior_low") - 1) * 100 + 0.5))).otherwise(0)
     return w.select("key", "d", (F.col("gp") <= F.col("prior_low") + EPS).alias("best"), over.cast("long").alias("over_pct"), F.floor(F.col("cheaper") * 100 / F.col("prior") + 0.5).cast("long").alias("pctile"), F.col("prior").alias("weeks"))

@@ -205,13 +205,12 @@ PCT = INDEXED + ", q AS (SELECT a.key, a.d, a.gp, a.n, a.rn - 1 AS prior, count(
 
 @query("q26_percentile_prior", f"WITH {PCT} SELECT key, d, cheaper, prior, CAST(floor(cheaper*100/prior::DOUBLE + 0.5) AS BIGINT) AS pctile FROM q WHERE prior >= 1")
 def _(spark, sf):
-    p = pricecheck.percentiles(_weekly(spark, sf)).where("prior >= 1")
-    return p.select("key", "d", "cheaper", "prior", F.floor(F.col("cheaper") * 100 / F.col("prior") + 0.5).cast("long").alias("pctile"))
+    return pricecheck.percentile_prior(_weekly(spark, sf))
 
 
 @query("q27_percentile_full", f"WITH {INDEXED}, f AS (SELECT key, d, n, percent_rank() OVER (PARTITION BY key ORDER BY gp) AS r FROM i) SELECT key, d, {R6.format('r')} AS pctile FROM f WHERE n >= 4")
 def _(spark, sf):
-    return pricecheck.percentiles(_weekly(spark, sf)).where("n >= 4").select("key", "d", round6(F.col("full")).alias("pctile"))
+    return pricecheck.percentile_full(_weekly(spark, sf)).select("key", "d", round6(F.col("full")).alias("pctile"))
 
 
 @query("q28_price_evidence", f"""WITH {PRIOR}, c AS (SELECT a.key, a.d, count(b.gp) AS cheaper FROM weekly a LEFT JOIN weekly b ON a.key = b.key AND b.d < a.d AND b.gp < a.gp GROUP BY ALL)
