@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.history import envelope, gathered
 from ..operators.matching import resolve_collisions
+from . import versions
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -24,27 +25,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Write beside ``path`` and rename when all is there: a write that fails leaves the old files."""
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    write(beside)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    new, old = jvm.Path(beside), jvm.Path(path)
-    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(old):
-        files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"{beside} could not be renamed to {path}")
-
-
 def write_index(df: DataFrame, path: str, *order: str) -> None:
-    """An index as Parquet, put in place of the old one when it is complete."""
-    replaced(df.sparkSession, path, lambda beside: (df.sortWithinPartitions(*order) if order else df).write.parquet(beside))
+    """An index as Parquet, a version of its own; ``tables.index`` reads the current one."""
+    versions.publish(df.sparkSession, path, lambda folder: (df.sortWithinPartitions(*order) if order else df).write.parquet(folder))
 
 
 def history_export(products: DataFrame, path: str) -> None:
-    """The product index with nested observations as JSON lines, the longest histories first."""
-    replaced(products.sparkSession, path, lambda beside: products.orderBy(F.desc("n_obs"), "title", "key").write.json(beside))
+    """The product index with nested observations as JSON lines in a plain folder, the longest histories first."""
+    versions.swapped(products.sparkSession, path, lambda beside: products.orderBy(F.desc("n_obs"), "title", "key").write.json(beside))
 
 
 def write_history(obs: DataFrame, path: str) -> None:

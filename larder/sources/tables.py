@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalars import receipt_fingerprint
 from ..functions.text import norm_title
+from . import versions
 
 OFFER = T.StructType().add("id", "string").add("title", "string").add("category", T.StructType().add("name", "string")).add("price", T.StructType().add("rawValue", "double").add("value", "string"))
 OFFER = OFFER.add("basicPrice", "string").add("baseUnit", "string").add("description", "string").add("criteria", T.ArrayType(T.StructType().add("name", "string")))
@@ -89,7 +90,7 @@ def receipt_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """An index as ``sinks.write_index`` leaves it; what reads it several times may cache it."""
-    return spark.read.parquet(path)
+    return versions.read(spark, path)
 
 
 def paged_source(name: str, schema: str, limit: int, fetch: Callable[[int, int], dict]) -> type[DataSource]:

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import versions
+
 
 def canonical_hash(rows: DataFrame, by: str, stable: list[str]) -> DataFrame:
     """Per group a hash of its rows that neither order nor volatile columns change.
@@ -82,6 +84,22 @@ def overdue(weeks: DataFrame, manifest: DataFrame, told: DataFrame) -> DataFrame
     return due.join(manifest.select("week"), "week", "left_anti").join(told.select("week"), "week", "left_anti")
 
 
+def rebuilt_when_stale(spark: SparkSession, path: str, latest: str, build: Callable[[], DataFrame]) -> bool:
+    """Build what is derived from the latest week and publish it under that week's label, unless the
+    current version bears it already; says whether it was built.  A build that fails leaves the old one."""
+    now = versions.current(spark, path)
+    label = spark.read.text(f"{now}/label").first() if now else None
+    if label and label.value == latest:
+        return False
+
+    def write(folder: str) -> None:
+        build().write.parquet(f"{folder}/rows")
+        spark.createDataFrame([(latest,)], "value string").coalesce(1).write.text(f"{folder}/label")
+
+    versions.publish(spark, path, write)
+    return True
+
+
 def isolated(sources: dict[str, Callable[[], None]]) -> dict[str, str]:
     """Run every source; one that fails keeps none of the others from running.  Gives the errors by name."""
     errors = {}
