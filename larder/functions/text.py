@@ -75,6 +75,55 @@ def search_fold(s: Column) -> Column:
     return F.replace(F.translate(F.lower(F.coalesce(s, F.lit(""))), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
+def _uncommon() -> str:
+    """A pattern for the characters that the JVM's tables do not fold as NFKD does."""
+    table = dict(zip(ACCENTED, [*PLAIN, *[""] * (len(ACCENTED) - len(PLAIN))]))
+    common = [c for c in map(chr, [*range(0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00)]) if decomposed(c) == table.get(c.lower(), c.lower()).replace("ß", "ss")]
+    codes = sorted(map(ord, common))
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if after != c + 1]
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
+
+
+def decomposed(s: str) -> str:
+    """Lower case, NFKD, without marks, ß as ss: what a search compares."""
+    plain = unicodedata.normalize("NFKD", s.lower())
+    return "".join(c for c in plain if unicodedata.category(c)[0] != "M").replace("ß", "ss")
+
+
+@F.pandas_udf(T.StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else decomposed(t))
+
+
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+UNCOMMON = _uncommon()
+
+
+def exact_fold(s: Column) -> Column:
+    """``search_fold`` with compatible forms of several letters too (ligatures, fractions, half-width kana).
+
+    Only texts with a character that the JVM's tables do not know go to Python; others pass it as nulls.
+    """
+    rare = F.coalesce(s.rlike(UNCOMMON), F.lit(False))
+    return F.when(rare, _decomposed(F.when(rare, s))).otherwise(search_fold(s))
+
+
+def exact_norm_desc(s: Column) -> Column:
+    """``norm_desc`` of the whole NFKC form; texts of ASCII and Latin-1 letters never leave the JVM."""
+    rare = F.coalesce(s.rlike(r"[^\x00-\x7F\xC0-\xFF]"), F.lit(False))
+    return norm_desc(F.when(rare, _composed(F.when(rare, s))).otherwise(s))
+
+
+def german(s: Column) -> Column:
+    """A text that sorts as German readers expect: umlauts beside their vowels, case and accents last."""
+    return F.collate(s, "de")
+
+
 def slugify(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold_umlauts(norm(s)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -86,6 +86,17 @@ def preference_summary(interests: DataFrame) -> DataFrame:
     return interests.groupBy("user").agg(names(2).alias("loves"), names(1).alias("likes"), names(-1).alias("off"))
 
 
+def taste_summary(interests: DataFrame, votes: DataFrame, bought: DataFrame, most: int = 20) -> DataFrame:
+    """``preference_summary`` with the titles voted up and down (user, title, v) and the items most often bought (user, name, c)."""
+    titles = lambda v: F.array_join(F.array_sort(F.collect_set(F.when(F.col("v") == v, F.col("title")))), ", ")
+    voted = votes.groupBy("user").agg(titles(1).alias("up"), titles(-1).alias("down"))
+    place = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("c"), "name"))
+    items = bought.withColumn("place", place).where(F.col("place") <= most).groupBy("user")
+    loyal = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat("name", F.lit(" ×"), F.col("c").cast("string")).alias("shown")))), lambda x: x["shown"]), ", ").alias("loyal"))
+    both = preference_summary(interests).join(voted, "user", "full").join(loyal, "user", "full")
+    return both.select("user", *[F.coalesce(c, F.lit("")).alias(c) for c in ("loves", "likes", "off", "up", "down", "loyal")])
+
+
 def effective_levels(defaults: dict[str, int], stored: DataFrame) -> DataFrame:
     """Default and stored interest levels (topic, level); a stored valid one wins, else the default, else 0."""
     spark = stored.sparkSession

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import german, norm_title
+
 #: Receipt lines that are no products.
 NO_PRODUCT = (
     r"(?iu)(pfand|\bleergut\b|\brabatt\b|\bcoupon\b|\bgutschein\b|\bsumme\b|\bgesamt\b|\bzwischensumme\b|\bpayback\b|\bkartenzahlung\b|"
@@ -42,6 +46,31 @@ def recommended(placed: DataFrame, scored: DataFrame, size: int) -> DataFrame:
     return a.unionByName(b).orderBy("source", "by", "id").limit(size)
 
 
+def best_of(scored: DataFrame, most: int) -> DataFrame:
+    """The best scored rows (id, title, score), ties by title in German order."""
+    return scored.where("score > 0").orderBy(F.desc("score"), german(F.coalesce("title", F.lit(""))), "title", "id").limit(most)
+
+
+def merged_list(plan: DataFrame, basket: DataFrame, own: DataFrame, removed: DataFrame) -> DataFrame:
+    """The shopping list of a plan's ingredients (name, grp), the basket (name) and a reader's own rows (name).
+
+    A name that several bring is one line: of the strongest group, under that group's spelling, with
+    the sources that named it; removed names go.
+    """
+    sources = (("plan", plan.select("name", "grp")), ("basket", basket.select("name", F.lit(GROUPS[0]).alias("grp"))), ("own", own.select("name", F.lit(GROUPS[1]).alias("grp"))))
+    rows = reduce(DataFrame.unionByName, [df.select("*", F.lit(source).alias("source")) for source, df in sources])
+    rows = rows.withColumn("norm", norm_title(F.col("name"))).where("norm <> ''").join(removed.select(norm_title(F.col("name")).alias("norm")), "norm", "left_anti")
+    rank = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("grp"))
+    best = rows.groupBy("norm").agg(F.min_by(F.struct("name", "grp"), F.struct(rank, "name")).alias("b"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return best.select("norm", "b.name", "b.grp", "sources")
+
+
+def bought_offers(offers: DataFrame, items: DataFrame) -> DataFrame:
+    """Offers (id, title) with how often a receipt had their title (items: norm, c), by normal form; 0 if never."""
+    named = offers.withColumn("norm", norm_title(F.col("title")))
+    return named.join(items.select("norm", "c"), "norm", "left").select("id", "title", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+
+
 def shopping_list(rows: DataFrame) -> DataFrame:
     """One line a normalised name: the strongest group wins, removed names go (rows: norm, name, grp, removed)."""
     rank = F.when(F.col("grp") == GROUPS[0], 0).when(F.col("grp") == GROUPS[1], 1).otherwise(2)

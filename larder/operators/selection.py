@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_fold
+from ..functions.text import fold_umlauts, german, search_fold
 
 #: The categories that are hidden until a reader asks for them.
 HIDDEN = ("Fleisch & Wurst", "Drogerie", "Tiernahrung", "Fisch & Meeresfrüchte")
@@ -45,8 +45,25 @@ def all_tokens(hay: Column, query: str, topics: dict[str, Column]) -> Column:
 
 
 def browsed(offers: DataFrame) -> DataFrame:
-    """What is shown first, then what is hidden, each by title (offers: id, title, hidden)."""
-    return offers.orderBy("hidden", F.lower("title"), "id")
+    """What is shown first, then what is hidden, each by title in German order (offers: id, title, hidden)."""
+    return offers.orderBy("hidden", german(F.coalesce("title", F.lit(""))), "title", "id")
+
+
+def table_order(column: str, up: bool = True, collated: bool = True) -> list[Column]:
+    """Sort keys of one table column: what is missing ('' counts) comes last whatever the direction."""
+    text = F.lower(F.coalesce(column, F.lit("")))
+    key = german(text) if collated else text
+    return [text == "", key.asc() if up else key.desc(), F.col(column).asc() if up else F.col(column).desc()]
+
+
+def typeahead(products: DataFrame, term: str) -> DataFrame:
+    """Products (key, title, cat, weeks) whose title or category holds the term, umlauts written out or not.
+
+    They come grouped by category, '—' for none, with their place in its group: the longest histories first.
+    """
+    hay = fold_umlauts(F.concat_ws(" ", "title", F.coalesce("cat", F.lit(""))))
+    hits = products.where(F.contains(hay, fold_umlauts(F.lit(term)))).withColumn("grp", F.coalesce(F.nullif("cat", F.lit("")), F.lit("—")))
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("weeks"), "title", "key")))
 
 
 def shown_and_hidden(offers: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.scalars import receipt_fingerprint
 from ..functions.text import norm_title
@@ -139,13 +139,13 @@ def date_labels(d: Column, week: Column) -> list[Column]:
     return [long_.alias("long_date"), short.alias("short_date"), F.when(kw != "", kw).otherwise(week).alias("week_label")]
 
 
-def preferences(df: DataFrame, column: str = "value") -> DataFrame:
-    """Preferences from JSON text, each field repaired to its default where it is unusable."""
+def preferences(df: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """Preferences from JSON text, each field repaired to its default where it is unusable, beside columns to keep."""
     p = F.from_json(column, PREFERENCES)
     level = lambda k, v: v.isin(-1, 0, 1, 2)
     empty = lambda kind: F.create_map().cast(kind)
     return df.select(
-        F.coalesce(F.map_filter(p["interests"], level), empty("map<string,int>")).alias("interests"),
+        *keep, F.coalesce(F.map_filter(p["interests"], level), empty("map<string,int>")).alias("interests"),
         F.coalesce(F.map_filter(p["votes"], lambda k, v: v["v"].isin(-1, 1)), empty("map<string,struct<v:int,t:string>>")).alias("votes"),
         F.coalesce(F.map_filter(p["bought"], lambda k, v: v["c"] > 0), empty("map<string,struct<c:int,t:string>>")).alias("bought"),
         F.coalesce(p["glutenFree"], F.lit(False)).alias("gluten_free"),
@@ -234,3 +234,63 @@ def worded_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, text in forms.items():
         wording = F.when(form == k, text).otherwise(wording)
     return o.withColumn("wording", wording)
+
+
+def paged_stream(name: str, schema: str, limit: int, fetch: Callable[[int, int], dict]) -> type[DataSource]:
+    """A streaming source over ``fetch(offset, limit)``, whose offsets are places in the list.
+
+    Pages are as for ``paged_source``.  Each batch takes what the list has grown by, a task a page;
+    a stream that stops goes on where its checkpoint says, so that no row comes twice and none is
+    lost.  A list that has become shorter than what was read, and a page that is empty where the
+    total says it is not, are errors: rows would be missing or shifted.
+    """
+    names = [column.split()[0] for column in schema.split(",")]
+
+    def page(offset: int, size: int) -> dict:
+        got = fetch(offset, size)
+        if not isinstance(got.get("data"), list) or not isinstance(got.get("total"), int):
+            raise ValueError(f"malformed page at offset {offset}")
+        return got
+
+    class Reader(DataSourceStreamReader):
+        seen = 0
+
+        def initialOffset(self) -> dict:
+            return {"offset": 0}
+
+        def latestOffset(self) -> dict:
+            total = page(self.seen, limit)["total"]
+            if total < self.seen:
+                raise ValueError(f"the list has shrunk from {self.seen} to {total}")
+            self.seen = total
+            return {"offset": total}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            self.seen = max(self.seen, end["offset"])
+            return [InputPartition((at, min(limit, end["offset"] - at))) for at in range(start["offset"], end["offset"], limit)]
+
+        def read(self, partition: InputPartition):
+            at, size = partition.value
+            got = page(at, size)
+            if got["total"] < at + size:
+                raise ValueError(f"the list has shrunk from {at + size} to {got['total']}")
+            if not got["data"]:
+                raise ValueError(f"empty page at offset {at} of {got['total']}")
+            for row in got["data"][:size]:
+                yield tuple(row.get(column) for column in names)
+
+        def commit(self, end: dict) -> None:
+            pass
+
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+            return Reader()
+
+    return Paged

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,8 +70,8 @@ class ProductIndex:
         return self.spark.read.option("basePath", self.archive).parquet(*[f"{self.archive}/d={d}" for d in weeks]).withColumn("d", F.col("d").cast("date"))
 
     def _states(self, folders: list[tuple[date, str]]) -> DataFrame:
-        read = [self.spark.read.schema(PRODUCTS).parquet(f"{folder}/week={d}") for d, folder in folders]
-        return reduce(DataFrame.unionByName, read, self.spark.createDataFrame([], PRODUCTS))
+        paths = [f"{folder}/week={d}" for d, folder in folders]
+        return self.spark.read.schema(PRODUCTS).parquet(*paths) if paths else self.spark.createDataFrame([], PRODUCTS)
 
     def ledger(self) -> DataFrame:
         return versions.read(self.spark, self.path, "ledger") if versions.current(self.spark, self.path) else self.spark.createDataFrame([], LEDGER)

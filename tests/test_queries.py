@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from larder.plans import archive, selections  # noqa: F401  (adds its queries to the archive's)
+from larder.plans import archive, selections, upkeep  # noqa: F401  (both add their queries to the archive's)
 from larder.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import matching, personal, trend
 from larder.sources import tables
-from larder.streaming import ingest
+from larder.streaming import ingest, watch
 
 
 def test_snapshots_and_latest(spark, tmp_path):
@@ -64,8 +64,9 @@ def test_stream_into_sink(spark, tmp_path):
 
 
 def test_stale_week(spark):
-    rows = spark.createDataFrame([("1", 1), ("1", 2), ("2", 2), ("2", 1), ("3", 3)], "week string, id int")
-    assert [r.week for r in ingest.stale(ingest.canonical_hash(rows, "week", ["id"]), "week").collect()] == ["2"]
+    rows = spark.createDataFrame([("2026-01-05", 1), ("2026-01-05", 2), ("2026-01-12", 2), ("2026-01-12", 1), ("2026-01-19", 3)], "d string, id int")
+    hashes = ingest.canonical_hash(rows.withColumn("d", F.col("d").cast("date")), "d", ["id"]).withColumn("source", F.lit("s"))
+    assert [str(r.d) for r in watch.stale_weeks(hashes).collect()] == ["2026-01-12"]
 
 
 def test_marked_links(spark):
