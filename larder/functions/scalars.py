@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .unitprice import resolved
 
 #: Names of offer criteria, tags of recommendations, longest reason.
 FLAG, BONUS, APP = "Superknüller", "PAYBACK", "App-Preis"
@@ -28,9 +27,8 @@ def badges(criteria: Column, points: Column, multiplier: Column) -> Column:
     return F.array_compact(F.array(F.when(has_criterion(criteria, BONUS), bonus), F.when(has_criterion(criteria, APP), APP)))
 
 
-def shown_unit_price(basic: Column, base_unit: Column, description: Column, face: Column) -> Column:
-    """The quoted text, else the derived price marked as such, else ''."""
-    r = resolved(basic, base_unit, description, face)
+def shown_unit_price(basic: Column, r: Column) -> Column:
+    """The quoted text, else the derived price (r, the resolved one) marked as such, else ''."""
     made = F.when(r["flag"] == "derived", F.concat(F.lit("≈ 1 "), r["unit"], F.lit(" = € "), F.format_string("%.2f", r["value"]))).otherwise("")
     return F.when(F.trim(F.coalesce(basic, F.lit(""))) != "", F.trim(basic)).otherwise(made)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -128,11 +127,6 @@ def slugify(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold_umlauts(norm(s)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that later filters and projections read but never compute again."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -140,10 +134,9 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def parse_number(s: Column) -> Column:
     """Number with German grouping: both marks mean dot groups and comma decimals; garbage is null."""
-    dot, comma = F.lit("."), F.lit(",")
-    plain = lambda t: F.replace(F.when(t.contains(".") & t.contains(","), F.replace(t, dot, F.lit(""))).otherwise(t), comma, dot)
-    number = lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))
-    return let(F.regexp_replace(s, r"^\s+|\s+$", ""), lambda t: let(plain(t), number))
+    dot, comma, t = F.lit("."), F.lit(","), F.regexp_replace(s, r"^\s+|\s+$", "")
+    plain = F.replace(F.when(t.contains(".") & t.contains(","), F.replace(t, dot, F.lit(""))).otherwise(t), comma, dot)
+    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
 
 
 #: Words of offer descriptions that carry no identity.

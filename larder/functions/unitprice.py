@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let, norm, norm_title, parse_number
+from .text import norm, norm_title, once
 
 #: Text formats of quoted unit prices and pack sizes, factors and display units.
 QUOTED = r"1\s*([A-Za-z]{1,3})\s*=\s*(ab\s*)?€\s*([\d.,]+)(?:\s*/\s*€\s*([\d.,]+))?"
@@ -43,85 +41,94 @@ def face_price(raw: Column, text: Column, most: float = SANE_FACE) -> Column:
     return round2(sane(F.coalesce(raw, parsed), most))
 
 
-def quoted(text: Column) -> Column:
-    """struct(value, unit, flag, low) of a quoted unit price; null where there is none.
-
-    flag: exact, range (two values; the first is the value, the smaller one is low), lower ("ab").
-    """
-
-    def read(t: Column) -> Column:
-        parts = F.struct(*[F.regexp_extract(t, QUOTED, k).alias(n) for k, n in enumerate(("unit", "ab", "first", "second"), 1)])
-        values = lambda p: F.struct(parse_number(p["first"]).alias("value"), parse_number(p["second"]).alias("other"))
-        return F.when(t.contains("="), let(parts, lambda p: let(values(p), lambda v: made(p, v))))
-
-    def made(p: Column, v: Column) -> Column:
-        flag = F.when(p["ab"] != "", "lower").when(p["second"] != "", "range").otherwise("exact")
-        unit = let(F.lower(p["unit"]), lambda u: _lookup(SHOWN, u))
-        return F.when(v["value"].isNotNull(), F.struct(v["value"].alias("value"), unit.alias("unit"), flag.alias("flag"), F.least(v["value"], v["other"]).alias("low")))
-
-    return let(norm(text), read)
+def _dropped(df: DataFrame, prefix: str) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
 
 
-def _measured(t: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
-    """``body`` of struct(n, number, unit): how many measures a text has, and the first one."""
+def _number(t: Column) -> Column:
+    """Value of digits and marks, as ``parse_number`` reads them."""
+    return F.when(t.rlike(r"^(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))
 
-    def read(found: Column) -> Column:
-        first = F.coalesce(F.get(found, 0), F.lit(""))
-        return let(F.struct(first.alias("all"), F.regexp_extract(first, r"^[\d.,]+", 0).alias("digits")), lambda p: measure(found, p))
 
-    def measure(found: Column, p: Column) -> Column:
-        number = F.replace(p["digits"], F.lit(","), F.lit(".")).try_cast("double")  # the pattern allows one mark, a decimal one
-        unit = F.lower(F.ltrim(F.substring(p["all"], F.char_length(p["digits"]) + 1, F.char_length(p["all"]))))
-        return let(F.struct(F.size(found).alias("n"), number.alias("number"), unit.alias("unit")), body)
+def with_quoted(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add struct(value, unit, flag, low) of a quoted unit price; null where there is none.
 
-    return let(F.regexp_extract_all(t, F.lit(pattern), 0), read)
-
-
-def _litres_or_kilos(m: Column) -> Column:
-    return m["number"] * F.when(m["unit"].isin("ml", "g"), 0.001).otherwise(1.0)
-
-
-def derived(text: Column, face: Column) -> Column:
-    """struct(value, unit) from face price over the single pack size in a text.
+    flag: exact, range (two values; the first is the value, the smaller one is low), lower ("ab").
+    Steps are columns of their own, which the optimizer does not compute again where several later
+    ones read them, and the result is one that filters are not pushed below: the pattern runs over a
+    text once, its groups are read from the match alone.
+    """
+    at = f"_{name}_"
+    c = lambda k: F.col(at + k)
+    german = lambda t: F.replace(F.when(t.contains(".") & t.contains(","), F.replace(t, F.lit("."), F.lit(""))).otherwise(t), F.lit(","), F.lit("."))
+    df = df.withColumn(at + "text", norm(text))
+    df = df.withColumn(at + "match", F.when(c("text").contains("="), F.regexp_extract(c("text"), QUOTED, 0)))
+    df = df.withColumn(at + "parts", F.when(c("match") != "", F.split(F.regexp_replace(c("match"), QUOTED, r"$1\|$2\|$3\|$4"), r"\|")))
+    df = df.withColumns({at + "first": german(c("parts")[2]), at + "second": german(c("parts")[3]), at + "unit": F.lower(c("parts")[0])})
+    df = df.withColumns({at + "value": _number(c("first")), at + "other": _number(c("second"))})
+    flag = F.when(c("parts")[1] != "", "lower").when(c("parts")[3] != "", "range").otherwise("exact")
+    made = F.struct(c("value").alias("value"), _lookup(SHOWN, c("unit")).alias("unit"), flag.alias("flag"), F.least(c("value"), c("other")).alias("low"))
+    return _dropped(once(df, name, F.when(c("value").isNotNull(), made)), at)
+
+
+def _with_measure(df: DataFrame, text: Column, at: str, needed: Column) -> DataFrame:
+    """Add the first weight or volume of a needed text, else its first count: number, unit, and how many of each it has."""
+    c = lambda k: F.col(at + k)
+    df = df.withColumn(at + "text", norm(text))
+    df = df.withColumn(at + "sizes", F.when(needed & c("text").rlike(r"\d"), F.regexp_extract_all(c("text"), F.lit(SIZE), 0)))
+    df = df.withColumn(at + "counts", F.when(F.size(c("sizes")) == 0, F.regexp_extract_all(c("text"), F.lit(COUNT), 0)))
+    df = df.withColumn(at + "first", F.coalesce(F.get(c("sizes"), 0), F.get(c("counts"), 0)))
+    df = df.withColumn(at + "digits", F.regexp_extract(c("first"), r"^[\d.,]+", 0))
+    unit = F.lower(F.ltrim(F.substring(c("first"), F.char_length(c("digits")) + 1, F.char_length(c("first")))))
+    df = df.withColumns({at + "number": F.replace(c("digits"), F.lit(","), F.lit(".")).try_cast("double"), at + "unit": unit})  # the pattern allows one mark, a decimal one
+    base = c("number") * F.when(c("counts").isNull() & c("unit").isin("ml", "g"), 0.001).otherwise(1.0)
+    return df.withColumn(at + "base", F.when(base > 0, base))
+
+
+#: Units of counts as they stand in a text, without a plural's s, and as they are shown.
+_PIECES = {k: SHOWN.get(v, v) for k, v in COUNTED.items()}
+
+
+def with_derived(df: DataFrame, text: Column, face: Column, name: str, needed: Column | None = None) -> DataFrame:
+    """Add struct(value, unit) from face price over the single pack size in a text, where it is needed.
 
     Multipacks and loose goods have none.  Exactly one weight or volume gives a price per kg or l;
     without any, exactly one count gives one per piece; everything else is ambiguous.
     """
-
-    def per(base: Column, unit: Column) -> Column:
-        return let(base, lambda b: F.when(b > 0, F.struct(round2(face / b).alias("value"), unit.alias("unit"))))
-
-    def by_count(m: Column) -> Column:
-        kind = let(F.regexp_replace(m["unit"], "s+$", ""), lambda u: let(_lookup(COUNTED, u), lambda k: _lookup(SHOWN, k)))
-        return F.when(m["n"] == 1, per(m["number"], kind))
-
-    def read(t: Column) -> Column:
-        by_size = lambda m: per(_litres_or_kilos(m), F.when(m["unit"].isin("ml", "l"), "l").otherwise("kg"))
-        sized = lambda m: F.when(m["n"] == 1, by_size(m)).when(m["n"] == 0, _measured(t, COUNT, by_count))
-        return F.when((face > 0) & ~t.rlike(f"{MULTIPACK}|{LOOSE}"), _measured(t, SIZE, sized))
-
-    return let(norm(text), read)
-
-
-def resolved(basic: Column, base_unit: Column, description: Column, face: Column) -> Column:
-    """struct(value, unit, flag): quoted (basic price, then description), else derived."""
-    as_quoted = let(F.coalesce(quoted(basic), quoted(description)), lambda q: F.when(q.isNotNull(), F.struct(q["value"].alias("value"), q["unit"].alias("unit"), q["flag"].alias("flag"))))
-    as_derived = let(F.coalesce(derived(base_unit, face), derived(description, face)), lambda d: F.when(d.isNotNull(), F.struct(d["value"].alias("value"), d["unit"].alias("unit"), F.lit("derived").alias("flag"))))
-    return F.coalesce(as_quoted, as_derived)
-
-
-def size_bucket(base_unit: Column) -> Column:
-    """Order of magnitude of the pack: v or w by litres or kilograms, c by count, else '?'."""
-
-    def named(kind: Column, x: Column) -> Column:
-        return let(x, lambda v: F.when(v > 0, F.concat(kind, F.floor(F.log10(v)).cast("int").cast("string"))))
-
-    def read(t: Column) -> Column:
-        by_size = _measured(t, SIZE, lambda m: named(F.when(m["unit"].isin("ml", "l"), "v").otherwise("w"), _litres_or_kilos(m)))
-        return F.coalesce(by_size, _measured(t, COUNT, lambda m: named(F.lit("c"), m["number"])), F.lit("?"))
-
-    return let(norm(base_unit), read)
-
-
-def product_key(title: Column, unit: Column, base_unit: Column) -> Column:
-    return F.concat_ws("|", norm_title(title), unit, size_bucket(base_unit))
+    at = f"_{name}_"
+    c = lambda k: F.col(at + k)
+    single = (face > 0) & ~norm(text).rlike(f"{MULTIPACK}|{LOOSE}")
+    df = _with_measure(df, text, at, single if needed is None else needed & single)
+    df = df.withColumn(at + "piece", F.when(F.size(c("counts")) == 1, F.regexp_replace(c("unit"), "s+$", "")))
+    unit = F.when(F.size(c("sizes")) == 1, F.when(c("unit").isin("ml", "l"), "l").otherwise("kg")).otherwise(_lookup(_PIECES, c("piece")))
+    df = df.withColumn(at + "shown", unit)
+    return _dropped(once(df, name, F.when(c("base").isNotNull() & c("shown").isNotNull(), F.struct(round2(face / c("base")).alias("value"), c("shown").alias("unit")))), at)
+
+
+def with_resolved(df: DataFrame, basic: Column, base_unit: Column, description: Column, face: Column, name: str) -> DataFrame:
+    """Add struct(value, unit, flag): quoted (basic price, then description), else derived (base unit, then description)."""
+    at = f"__{name}_"
+    q, d = F.col(at + "quoted"), F.col(at + "derived")
+    df = with_quoted(with_quoted(df, basic, at + "basic"), description, at + "told")
+    df = df.withColumn(at + "quoted", F.coalesce(at + "basic", at + "told"))
+    df = with_derived(df, base_unit, face, at + "unit", q.isNull())
+    df = with_derived(df, description, face, at + "pack", q.isNull() & F.col(at + "unit").isNull())
+    df = df.withColumn(at + "derived", F.coalesce(at + "unit", at + "pack"))
+    as_quoted = F.when(q.isNotNull(), F.struct(q["value"].alias("value"), q["unit"].alias("unit"), q["flag"].alias("flag")))
+    as_derived = F.when(d.isNotNull(), F.struct(d["value"].alias("value"), d["unit"].alias("unit"), F.lit("derived").alias("flag")))
+    return _dropped(once(df, name, F.coalesce(as_quoted, as_derived)), at)
+
+
+def with_size_bucket(df: DataFrame, base_unit: Column, name: str) -> DataFrame:
+    """Add the order of magnitude of the pack: v or w by litres or kilograms, c by count, else '?'."""
+    at = f"_{name}_"
+    c = lambda k: F.col(at + k)
+    df = _with_measure(df, base_unit, at, F.lit(True))
+    kind = F.when(F.size(c("sizes")) == 0, "c").when(c("unit").isin("ml", "l"), "v").otherwise("w")
+    return _dropped(once(df, name, F.coalesce(F.concat(kind, F.floor(F.log10(c("base"))).cast("int").cast("string")), F.lit("?"))), at)
+
+
+def with_product_key(df: DataFrame, title: Column, unit: Column, base_unit: Column, name: str) -> DataFrame:
+    """Add the product's identity: normal title, unit, size bucket."""
+    df = with_size_bucket(df, base_unit, f"__{name}")
+    return df.withColumn(name, F.concat_ws("|", norm_title(title), unit, f"__{name}")).drop(f"__{name}")

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import once
-from ..functions.unitprice import QUOTED, derived, quoted
+from ..functions.unitprice import QUOTED, with_derived, with_quoted
 from .trend import missing_weeks
 
 
@@ -35,8 +34,8 @@ def swings(obs: DataFrame, most: float = 8.0) -> DataFrame:
 def contradictions(offers: DataFrame, text: str, face: str, most: float = 3.0) -> DataFrame:
     """Quoted exact unit prices that the pack size, read without the quote, contradicts."""
     bare = F.regexp_replace(text, rf"\(?{QUOTED}\)?", "")
-    one = once(offers, "q", quoted(F.col(text))).where("q.flag = 'exact' and q.value > 0")
-    both = once(one, "dv", derived(bare, F.col(face))).where("dv is not null and q.unit = dv.unit and dv.value > 0")
+    one = with_quoted(offers, F.col(text), "q").where("q.flag = 'exact' and q.value > 0")
+    both = with_derived(one, bare, F.col(face), "dv").where("dv is not null and q.unit = dv.unit and dv.value > 0")
     ratio = F.col("dv.value") / F.col("q.value")
     return both.withColumn("ratio", ratio).where((F.col("ratio") > most) | (F.col("ratio") < 1 / most))
 

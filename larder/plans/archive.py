@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detectors, scalars, text
-from ..functions.unitprice import quoted, resolved, round6, size_bucket
+from ..functions.unitprice import round6, with_product_key, with_quoted, with_resolved
 from ..operators import audit, digest, history, matching, personal, pricecheck, trend
 from ..sources import sinks
 from ..sources.tables import observations, table, worded_offers
@@ -254,7 +254,7 @@ DEC = "CAST({} AS DECIMAL(12,2))::DOUBLE"
 @query("q31_parse_quoted_unit_price", f"""WITH {WORDED} SELECT {ROW}, {DEC.format("gp")} AS value, CASE l_linenumber % 6 WHEN 2 THEN 'l' ELSE 'kg' END AS unit,
  CASE l_linenumber % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'lower' ELSE 'range' END AS flag, {DEC.format("gp")} AS low FROM worded WHERE regexp_matches(wording, '1\\s*[A-Za-z]{{1,3}}\\s*=\\s*(ab\\s*)?€')""")
 def _(spark, sf):
-    q = text.once(worded_offers(spark, sf), "q", quoted(F.col("wording"))).where("q is not null")
+    q = with_quoted(worded_offers(spark, sf), F.col("wording"), "q").where("q is not null")
     return q.select(*ROWS, "q.value", "q.unit", "q.flag", "q.low")
 
 
@@ -263,7 +263,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Every derived price: form 0 names two sizes and form 4 is a multipack, which have none."""
     none = F.lit(None).cast("string")
-    r = text.once(worded_offers(spark, sf), "r", resolved(none, F.col("wording"), none, F.col("face"))).where("r.flag = 'derived'")
+    r = with_resolved(worded_offers(spark, sf), none, F.col("wording"), none, F.col("face"), "r").where("r.flag = 'derived'")
     return r.select(*ROWS, "r.value", "r.unit", "r.flag")
 
 
@@ -272,8 +272,8 @@ def _(spark, sf):
  SELECT {ROW}, kind || CAST(CAST(floor(log10(base)) AS INT) AS VARCHAR) AS size_bucket, lower(trim(title)) || '|' || unit || '|' || kind || CAST(CAST(floor(log10(base)) AS INT) AS VARCHAR) AS product_key FROM s""")
 def _(spark, sf):
     """Bucket and key of every offer, whatever the form of its wording."""
-    w = text.once(worded_offers(spark, sf), "size_bucket", size_bucket(F.col("wording")))
-    return w.select(*ROWS, "size_bucket", F.concat_ws("|", text.norm_title(F.col("title")), "unit", "size_bucket").alias("product_key"))
+    w = with_product_key(worded_offers(spark, sf), F.col("title"), F.col("unit"), F.col("wording"), "product_key")
+    return w.select(*ROWS, F.substring_index("product_key", "|", -1).alias("size_bucket"), "product_key")
 
 
 @query("q34_price_contradictions", f"""WITH {WORDED}, c AS (SELECT *, {DEC.format("gp")} AS quoted_value, floor(face/(qty*0.001)*100 + 0.5)/100 AS derived_value FROM worded WHERE l_linenumber % 6 = 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detectors, scalars, text
-from ..functions.unitprice import resolved, round6, size_bucket
+from ..functions.unitprice import round6, with_resolved, with_size_bucket
 from ..operators import audit, digest, history, matching, personal, pricecheck, selection
 from ..sources import sinks
 from ..sources.tables import date_labels, observations, table, worded_offers
@@ -115,7 +115,7 @@ def _(spark, sf):
     w = worded_offers(spark, sf)
     native = F.col("l_linenumber") % 6 == 0
     w = w.withColumns({"native": native, "basic": F.when(native, F.col("wording")), "rest": F.when(~native, F.col("wording"))})
-    return history.totals(text.once(w, "r", resolved(F.col("basic"), F.lit(None).cast("string"), F.col("rest"), F.col("face"))))
+    return history.totals(with_resolved(w, F.col("basic"), F.lit(None).cast("string"), F.col("rest"), F.col("face"), "r"))
 
 
 @query("q90_variant_order", f"""WITH {OBS}, f AS (SELECT title, key, bool_or(d = (SELECT max(d) FROM obs)) AS offered, count(*) AS n_obs FROM obs GROUP BY title, key)
@@ -262,10 +262,10 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
     known = spark.createDataFrame([(i, *row[:5]) for i, row in enumerate(KNOWN)], "at long, title string, description string, category string, base_unit string, face double")
     offers = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(KNOWN)).alias("at")).join(F.broadcast(known), "at").select("id", *names)
     t, d, c = (F.col(n) for n in names[:3])
-    offers = text.once(offers, "r", resolved(F.lit(None).cast("string"), F.col("base_unit"), d, F.col("face")))
+    offers = with_size_bucket(with_resolved(offers, F.lit(None).cast("string"), F.col("base_unit"), d, F.col("face"), "r"), F.col("base_unit"), "bucket")
     vegan = detectors.looks_vegan(t, d)
     return offers.select(
-        "id", F.col("r.unit").alias("unit"), F.col("r.value").alias("gp"), size_bucket(F.col("base_unit")).alias("bucket"), (detectors.looks_meat(t) & ~vegan).alias("meat"),
+        "id", F.col("r.unit").alias("unit"), F.col("r.value").alias("gp"), "bucket", (detectors.looks_meat(t) & ~vegan).alias("meat"),
         (detectors.looks_fish(t) & ~vegan).alias("fish"), detectors.looks_spirits(t).alias("spirits"), vegan.alias("vegan"),
         digest.diet_excluded(t, d, c, ("meat",)).alias("veto_meat"), digest.diet_excluded(t, d, c, ("fish",)).alias("veto_fish"),
     )
@@ -400,8 +400,9 @@ def _(spark, sf):
     deals = F.array(deal("OTHER", F.lit(1.0), F.lit(2.0)), deal("SALES_PRICE", least, price))
     week = F.when(size % 3 == 0, "KW1").when(size % 3 == 1, "KW2").otherwise("")
     shown = scalars.deal_prices(deals)
+    p = with_resolved(p, quoted, base, F.lit(None).cast("string"), price, "r")
     return p.select(
-        F.col("p_partkey").alias("id"), scalars.shown_unit_price(quoted, base, F.lit(None).cast("string"), price).alias("unit_price"), scalars.safe_url(url).alias("url"),
+        F.col("p_partkey").alias("id"), scalars.shown_unit_price(quoted, F.col("r")).alias("unit_price"), scalars.safe_url(url).alias("url"),
         scalars.finite(number, comma=True).alias("number"), scalars.shortened(F.expr("repeat('x', 3 * p_size)")).alias("reason"), shown["price"].alias("price"), shown["price_max"].alias("price_max"),
         scalars.fresh(week, F.lit("KW1")).alias("fresh"),
     )

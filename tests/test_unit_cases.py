@@ -12,6 +12,11 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], schema).select(column.alias("x")).first()["x"]
 
 
+def added(spark, add, *columns, **values):
+    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'string'}" for k, v in values.items())
+    return add(spark.createDataFrame([tuple(values.values())], schema), *map(F.col, columns), "x").first()["x"]
+
+
 @pytest.mark.parametrize(("raw", "value"), [("12.50", 12.5), ("1,99", 1.99), ("1.234,56", 1234.56), ("1.2.3", None), ("1d", None), ("NaN", None), ("", None), (None, None)])
 def test_parse_number(spark, raw, value):
     assert one(spark, text.parse_number(F.col("s")), s=raw) == value
@@ -29,7 +34,7 @@ def test_round2_is_half_up(spark):
     ],
 )
 def test_quoted(spark, raw, expected):
-    got = one(spark, up.quoted(F.col("s")), s=raw)
+    got = added(spark, up.with_quoted, "s", s=raw)
     assert (got and (got.value, got.unit, got.flag)) == expected
 
 
@@ -42,13 +47,13 @@ def test_quoted(spark, raw, expected):
     ],
 )
 def test_derived(spark, raw, face, expected):
-    got = one(spark, up.derived(F.col("s"), F.col("f")), s=raw, f=face)
+    got = added(spark, up.with_derived, "s", "f", s=raw, f=face)
     assert (got and (got.value, got.unit)) == expected
 
 
 @pytest.mark.parametrize(("raw", "bucket"), [("0,33 l", "v-1"), ("1,5 l", "v0"), ("250 ml", "v-1"), ("300 ml", "v-1"), ("je 36 - 64 Tabs", "c1"), ("Pfand", "?"), (None, "?")])
 def test_size_bucket(spark, raw, bucket):
-    assert one(spark, up.size_bucket(F.col("s")), s=raw) == bucket
+    assert added(spark, up.with_size_bucket, "s", s=raw) == bucket
 
 
 def test_face_price(spark):
