@@ -9,10 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DRAWS, documents, small_batches
+from .common import DRAWS, documents, small_batches, stage
 
 #: Documented bounds of the training sample and of the landmarks taken from it.
 TRAIN_ROWS, LANDMARKS = 1500, 192
+#: Documented bound of the sample's n-grams on the driver, 4 bytes each: a sample with more, as of very
+#: long texts, is thinned evenly, again by a hash of the id.
+TRAIN_GRAMS = 40_000_000
+#: Documented bound of the languages: those with the most documents are learnt, ties by name.  The
+#: model has 1 MB a language, so that it never exceeds 64 MB.
+LANGUAGES = 64
+#: Parts in which the sample comes to the driver, one after another.
+SAMPLE_PARTS = 16
 #: Hashed n-gram space, longest n-gram, ridge.
 BITS, LONGEST, RIDGE = 18, 3, 1e-3
 #: Landmarks whose presence rows stand in memory at once (1 MB each).
@@ -128,30 +136,35 @@ def learn(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS) -> Model:
     return Model(languages, out)
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_GRAMS, languages: int = LANGUAGES) -> Model:
     """Learn from about ``rows`` documents with a lang whose crc32(doc_id) mod 5 is not 0.
 
     Languages have their shares of that number, but each a quarter of an equal one at least (all its
-    documents, if it has fewer), so that a rare one is learnt at any size of the table.  The sample
-    is taken by a hash of the id; presence vectors (1 MB a document at most), not texts, come to the
-    driver.
+    documents, if it has fewer), so that a rare one is learnt at any size of the table.  Of more than
+    ``languages`` values those with the most documents are learnt.  The sample is taken by a hash of
+    the id; presence vectors (1 MB a document at most, ``most`` n-grams in all), not texts, come to
+    the driver, a part at a time.
     """
-    known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where("lang is not null and doc_id is not null and text is not null")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and doc_id is not null and text is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return learn([])
     share = rows / sum(counts.values())
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, max(share, max(1.0, rows / len(counts) / 4) / n)) * DRAWS))])
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(DRAWS)) < F.element_at(shares, F.col("lang")))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(DRAWS)) < F.try_element_at(shares, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             raw = [present(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary())], ["doc_id", "lang", "raw"])
 
-    found = known.mapInArrow(run, "doc_id long, lang string, raw binary").collect()
-    return learn([(r.lang, r.raw) for r in sorted(found, key=lambda r: (r.doc_id, r.lang, r.raw))])
+    sample = stage(docs.sparkSession, known.mapInArrow(run, "doc_id long, lang string, raw binary"), "language-sample")
+    total = sample.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    if total > 4 * most:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("thinned")), F.lit(DRAWS)) < F.lit(int(4 * most / total * DRAWS)))
+    found = [(r.doc_id, r.lang, r.raw) for r in sample.repartition(SAMPLE_PARTS, "doc_id").toLocalIterator()]
+    return learn([(lang, raw) for _, lang, raw in sorted(found)])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -68,10 +68,10 @@ def _directory(docs: DataFrame, limit: int) -> DataFrame:
     return done.join(large, "bucket", "left")
 
 
-def _pages(rows: DataFrame, limit: int, *by: str) -> DataFrame:
+def _pages(rows: DataFrame, limit: int, *by: str, order_by: tuple[str, ...] = ()) -> DataFrame:
     """Overflow pages of rows (bucket, n_bytes), counted by ``by`` apart: half a limit a page, larger rows one each."""
     half = F.col("n_bytes") > limit // 2
-    order = Window.partitionBy("bucket", *by, half).orderBy("n_bytes")
+    order = Window.partitionBy("bucket", *by, half).orderBy("n_bytes", *order_by)
     running = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     small = F.floor(F.greatest(running - 1, F.lit(0)) / F.lit(max(1, limit // 2)))
     page = F.when(half, F.concat(F.lit("r"), F.row_number().over(order).cast("string"))).otherwise(small.cast("string"))
@@ -105,18 +105,23 @@ def write(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Write the documents, with all their columns, as one folder a shard, and read them back.
 
     The folders are ``shard=b<bits>`` (with ``+.`` and the page where a bucket has several), and
-    keep the limit as in ``assign``: the copies of an id are dealt at random over as many groups as
-    their bytes need, and paged in each.  Nulls and repeated rows as in ``assign``; columns may have
-    any names but ``shard``; an empty table gives no folder and an empty result.
+    keep the limit as in ``assign``: the copies of an id are dealt by their places in the staged
+    input over as many groups as their bytes need, and paged in each; a task that runs again sees
+    the same places.  Nulls and repeated rows as in ``assign``; columns may have any names but
+    ``shard``, which is an error; an empty table gives no folder and an empty result.
     """
+    if "shard" in [c.lower() for c in docs.columns]:
+        raise ValueError("the documents have a column named shard, which would be that of the folders")
+    spark = docs.sparkSession
     found = _directory(docs, limit).groupBy(F.col("doc_id").alias("id")).agg(F.min("bucket").alias("bucket"), F.min("held").alias("held"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = stage(spark, rows.withColumn("place", F.monotonically_increasing_id()), "shard-documents")
     placed = rows.join(found, F.col("key").eqNullSafe(F.col("id")))
-    group = F.floor(F.rand(7) * F.ceil(F.col("held") / F.lit(limit))).cast("long")
-    paged = _pages(placed.where("held is not null").withColumn("share", group), limit, "share").drop("share")
+    groups = F.greatest(F.lit(1), F.ceil(F.col("held") / F.lit(max(1, limit))))
+    paged = _pages(placed.where("held is not null").withColumn("share", F.pmod(F.xxhash64("place"), groups)), limit, "share", order_by=("place",)).drop("share")
     out = placed.where("held is null").withColumn("page", F.lit("")).unionByName(paged)
     out.select("row.*", F.concat(F.lit("b"), "bucket", "page").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema(T.StructType([*docs.schema.fields, T.StructField("shard", T.StringType())])).parquet(path)
+    return spark.read.schema(T.StructType([*docs.schema.fields, T.StructField("shard", T.StringType())])).parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
