@@ -50,49 +50,109 @@ def _sums(mark: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.nda
     return np.add.reduceat(mark[codes[places]], before, dtype=np.int64)
 
 
+class Groups:
+    """Sets of one size and prefix as groups, by ascending size, and an index of the groups' prefixes.
+
+    A link needs so many shingles in common that its first common one, in the order all sets share,
+    has at least as many left behind it in both sets.  So of the smaller set only a shorter part of
+    the prefix is indexed, and a place in the larger set's prefix leaves a range of sizes.
+    """
+
+    def __init__(self, n: np.ndarray, sets: list[np.ndarray], prefix: np.ndarray):
+        heads = [s[:k].tobytes() for s, k in zip(sets, prefix.tolist())]
+        self.order = order = np.array(sorted(range(len(sets)), key=lambda i: (n[i], heads[i])))
+        self.sizes = n[order].astype(np.int64)
+        new = [k == 0 or self.sizes[k] != self.sizes[k - 1] or heads[i] != heads[order[k - 1]] for k, i in enumerate(order.tolist())]
+        self.cuts = np.append(np.flatnonzero(new), len(order))
+        _, self.codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+        self.lengths = np.array([len(sets[i]) for i in order])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        at = self.cuts[:-1]
+        self.n, self.short = self.sizes[at], prefix[order][at].astype(np.int64)
+        longest = np.maximum.reduceat(self.lengths, at)
+        before = np.cumsum(self.short) - self.short
+        group = np.repeat(np.arange(len(at)), self.short)
+        place = np.arange(self.short.sum()) - np.repeat(before, self.short)
+        self.tokens, self.rest = self.codes[self.starts[at][group] + place], longest[group] - place
+        some = np.flatnonzero((100 + PERCENT) * self.rest >= 2 * PERCENT * self.n[group])
+        some = some[np.lexsort((group[some], self.tokens[some]))]
+        self.keys = self.tokens[some] * len(at) + group[some]
+        self.groups, self.left, self.before = group[some], self.rest[some], before
+        self.firsts = np.searchsorted(self.keys, np.arange(self.codes.max(initial=0) + 1) * len(at))
+
+    def probes(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of group g's prefix the shingles, and where smaller groups that have them stand in the index."""
+        own = slice(self.before[g], self.before[g] + self.short[g])
+        tokens, n = self.tokens[own], self.n[g]
+        least = np.searchsorted(self.n, -(-PERCENT * n // 100))
+        most = np.minimum(np.searchsorted(self.n, (100 + PERCENT) * self.rest[own] // PERCENT - n, side="right"), g)
+        a, b = (np.searchsorted(self.keys, tokens * len(self.n) + x) for x in (least, most))
+        return tokens, a, np.maximum(a, b)
+
+    def found(self, g: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Groups at the places of the index that may have a link with group g."""
+        held = b - a
+        places = np.repeat(a - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        other = self.groups[places]
+        return np.unique(other[(100 + PERCENT) * self.left[places] >= PERCENT * (self.n[g] + self.n[other])])
+
+    def members(self, groups: np.ndarray) -> np.ndarray:
+        held = self.cuts[groups + 1] - self.cuts[groups]
+        return np.repeat(self.cuts[groups] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+
+
 def linked(n: np.ndarray, sets: list[np.ndarray], prefix: np.ndarray) -> np.ndarray:
     """Labels of the components that links form among sets; n: whole sizes, of which sets hold the
-    shingles that other documents have too, the first ``prefix`` of them as the prefix.
-
-    Sets of one size and prefix are a group.  By ascending size, each set is held against the groups
-    that the length filter leaves, without members that are in its component already: a few at first
-    and more if those show no link.  Groups that share no prefix shingle go, the others expand to
-    their members, and these are verified.
+    shingles that other documents have too, in an order common to all, the first ``prefix`` of them
+    as the prefix.
+
+    Sets of one size and prefix are a group.  By ascending size, each group looks up the smaller
+    groups that its prefix shares a shingle with, as far as sizes and places of the shingle allow a
+    link; these expand to their members, without those that are in a set's component already, and
+    are verified: a few at first and more if those show no link.  Where all groups before some place
+    of a shingle's list are one component, sets of that component skip them.
     """
-    heads = [s[:k].tobytes() for s, k in zip(sets, prefix.tolist())]
-    order = np.array(sorted(range(len(sets)), key=lambda i: (n[i], heads[i])))
-    sizes = n[order].astype(np.int64)
-    new = [k == 0 or sizes[k] != sizes[k - 1] or heads[i] != heads[order[k - 1]] for k, i in enumerate(order.tolist())]
-    group = np.cumsum(new) - 1
-    _, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    lengths = np.array([len(sets[i]) for i in order])
-    starts, heads_at = np.cumsum(lengths) - lengths, np.flatnonzero(new)
-    short = prefix[order][heads_at].astype(np.int64)
-    mark, near = np.zeros((2, codes.max(initial=0) + 1), bool)
-    label = np.arange(len(order))
-    for i in range(1, len(order)):
-        left = np.arange(np.searchsorted(sizes, -(-PERCENT * sizes[i] // 100)), i)
-        left = left[label[left] != label[i]]
-        if not len(left):
-            continue
-        own = codes[starts[i] : starts[i] + lengths[i]]
-        head = own[: short[group[i]]]
-        mark[own], near[head] = True, True
-        step = 32
+    own = Groups(n, sets, prefix)
+    mark = np.zeros(own.codes.max(initial=0) + 1, bool)
+    label, parts = np.arange(len(own.order)), {i: [i] for i in range(len(own.order))}
+    alike = own.firsts.copy()
+
+    def verify(i: int, left: np.ndarray) -> None:
+        left, step = left[label[left] != label[i]], 32
         while len(left):
             some, left = left[-step:], left[:-step]
             step *= 4
-            groups, back = np.unique(group[some], return_inverse=True)
-            at = heads_at[groups]
-            some = some[(_sums(near, codes, starts[at], short[groups]) > 0)[back]]
-            if len(some):
-                both = _sums(mark, codes, starts[some], lengths[some])
-                for j in np.unique(label[some[enough(both, sizes[i], sizes[some])]]).tolist():
-                    label[label == j] = label[i]
-                left = left[label[left] != label[i]]
-        mark[own], near[head] = False, False
-    out = np.empty(len(order), np.int64)
-    out[order] = label
+            both = _sums(mark, own.codes, own.starts[some], own.lengths[some])
+            for j in np.unique(label[some[enough(both, own.sizes[i], own.sizes[some])]]).tolist():
+                small, large = sorted((j, int(label[i])), key=lambda x: len(parts[x]))
+                label[parts[small]] = large
+                parts[large] += parts.pop(small)
+            left = left[label[left] != label[i]]
+
+    for g, (start, end) in enumerate(zip(own.cuts.tolist(), own.cuts[1:].tolist())):
+        tokens, a, b = own.probes(g)
+        first = own.firsts[tokens]
+        some = b > a
+        last = own.members(np.unique(own.groups[b[some] - 1])[-32:]) if some.any() else b[:0]
+        for i in range(start, end):
+            codes = own.codes[own.starts[i] : own.starts[i] + own.lengths[i]]
+            mark[codes] = True
+            verify(i, np.arange(start, i))
+            if some.any():
+                verify(i, last)
+                head = label[own.cuts[own.groups[np.minimum(first, len(own.groups) - 1)]]]
+                skip = np.where(head == label[i], np.maximum(a, alike[tokens]), a)
+                verify(i, own.members(own.found(g, skip, np.maximum(skip, b))))
+            mark[codes] = False
+        if (label[start:end] == label[start]).all():
+            at = np.searchsorted(own.keys, tokens * len(own.n) + g)
+            held = at < len(own.keys)
+            held[held] = own.keys[at[held]] == (tokens * len(own.n) + g)[held]
+            held &= alike[tokens] == at
+            held[held] = label[own.cuts[own.groups[first[held]]]] == label[start]
+            alike[tokens[held]] += 1
+    out = np.empty(len(own.order), np.int64)
+    out[own.order] = label
     return out
 
 
