@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,9 @@ class Automaton:
     one gadget: the state t that all u-arcs enter is copied to a new state without the v-arc, the
     u-arcs are led to the copy, and every state with a u-arc gets an arc ``uv`` to where v leads.
     All arcs with one label enter one state, so ``target`` is a table by label.  The arc sets are
-    kept as differences: a state knows its original, the arc it lost and when it was made; a label
-    knows its left part and when it was made.  ``allows`` resolves an arc by undoing the later of
-    the two.
+    kept as differences: the copies made for one label u are a chain on the state that u entered at
+    first, and each knows the arc it lost and when it was made; a label knows its left part and when
+    it was made.  ``allows`` resolves an arc by undoing the later of the two, a chain at a time.
 
     Every string has exactly one path, so every prefix of a word ends in exactly one token.  The
     byte table is the automaton read byte by byte: a row stands for the arcs that have been begun
@@ -55,8 +56,12 @@ class Automaton:
         base = list(letters) + [c + WORD_END for c in letters]
         self.ids = [vocab[t] for t in base]
         number = {t: i for i, t in enumerate(base)}
-        self.parent, self.lost, self.born = [0], [-1], [-1]
-        self.target = [0] * len(base)
+        self.born, self.chain, self.place = [-1], [-1], [-1]
+        self.target, self.first = [0] * len(base), [0] * len(base)
+        # Of each label's chain: its states, their times, and the place where it lost an arc.
+        self.copies: list[list[int]] = [[] for _ in base]
+        self.times: list[list[int]] = [[] for _ in base]
+        self.lost: list[dict[int, int]] = [{} for _ in base]
         self.left, self.made = [-1] * len(base), [-1] * len(base)
         for time, (a, b) in enumerate(merges):
             if a + b in number:
@@ -65,13 +70,20 @@ class Automaton:
             old = self.target[u]
             if not self.allows(old, v):
                 continue  # no text ever has v after u at this point
-            self.parent.append(old)
-            self.lost.append(v)
-            self.born.append(2 * time)
             after = self.target[v]  # for u = v this is still the state before the split
-            self.target[u] = len(self.parent) - 1
+            self.target[u] = len(self.born)
+            self.born.append(2 * time)
+            self.chain.append(u)
+            self.place.append(len(self.copies[u]))
+            self.lost[u][v] = len(self.copies[u])
+            self.copies[u].append(self.target[u])
+            self.times[u].append(2 * time)
             number[a + b] = len(self.target)
             self.target.append(after)
+            self.first.append(after)
+            self.copies.append([])
+            self.times.append([])
+            self.lost.append({})
             self.left.append(u)
             self.made.append(2 * time + 1)
             self.ids.append(vocab[a + b])
@@ -96,22 +108,23 @@ class Automaton:
 
     def allows(self, state: int, label: int) -> bool:
         """Whether ``state`` has an arc ``label``."""
-        parent, lost, born, left, made = self.parent, self.lost, self.born, self.left, self.made
-        while True:
-            if made[label] > born[state]:
-                label = left[label]
-            elif state == 0:
-                return True
-            elif lost[state] == label:
+        while state:
+            made = self.made[label]
+            if made > self.born[state]:
+                label = self.left[label]
+                continue
+            u, place = self.chain[state], self.place[state]
+            if self.lost[u].get(label, place + 1) <= place:
                 return False
-            else:
-                state = parent[state]
+            older = bisect_left(self.times[u], made, 0, place + 1)
+            state = self.copies[u][older - 1] if older else self.first[u]
+        return True
 
     def _clear(self) -> None:
         self.row_of: dict[tuple, int] = {(-1, (0, 0)): 0}
         self.begun: list[tuple] = [(0, 0)]  # of each row: state, trie node, state, trie node, ...
         self.ended: list[int] = [-1]  # of each row: the token that ends there
-        self.table: list[dict[int, int]] = [{}]
+        self.table: dict[int, int] = {}  # 512 * row + symbol to the next row
 
     def _fill(self, row: int, symbol: int) -> int:
         """The row after ``row`` and a symbol."""
@@ -128,25 +141,24 @@ class Automaton:
         key = (ended, tuple(begun))
         to = self.row_of.get(key)
         if to is None:
-            to = self.row_of[key] = len(self.table)
+            to = self.row_of[key] = len(self.ended)
             self.begun.append(key[1])
             self.ended.append(ended)
-            self.table.append({})
-        self.table[row][symbol] = to
+        self.table[row << 9 | symbol] = to
         return to
 
     def encode(self, piece: str) -> list[int]:
         """The token ids of one pre-split word, already in its normal form."""
-        if len(self.table) > self.rows_kept:
+        if len(self.ended) > self.rows_kept:
             self._clear()
         symbols = bytearray(piece.encode())
         table, ended, row, names = self.table, self.ended, 0, []
         for symbol in symbols[:-1]:
-            to = table[row].get(symbol)
+            to = table.get(row << 9 | symbol)
             row = self._fill(row, symbol) if to is None else to
             names.append(ended[row])
         symbol = 256 + symbols[-1]
-        to = table[row].get(symbol)
+        to = table.get(row << 9 | symbol)
         names.append(ended[self._fill(row, symbol) if to is None else to])
         out, at = [], len(names)
         while at:

@@ -134,7 +134,7 @@ def test_automaton_table_starts_anew():
     tool, table = Tokenizer.from_file(WORDS), automaton.Automaton(WORDS, rows_kept=50)
     for word in ("mississippi", "aaaaaaab", "straße", "日本", "internationalisation", "x"):
         assert table.encode(word) == tool.encode(word, add_special_tokens=False).ids
-        assert len(table.table) <= 50 + 2 * len(word.encode())
+        assert len(table.ended) <= 50 + 2 * len(word.encode())
 
 
 def dense_ftrl(rows, epochs=toxicity.EPOCHS):
