@@ -4,61 +4,61 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, stage
 
-#: Trees, symbols of a hash string, and entries of a sorted array that one partition holds.
-TREES, SYMBOLS, PART_ROWS = 48, 8, 60_000
+#: Trees, bits of a hash string after its first symbol, and entries of a sorted array that one partition holds.
+TREES, BITS, PART_ROWS = 96, 24, 60_000
+#: Levels of a string: the root, its first symbol, and each bit.
+LEVELS = 1 + BITS
 #: Entries of a block and queries of a task where dense buckets are scored whole, and how many times
-#: the share of patternless data a dense bucket holds.
+#: the share of patternless data, and of a tree in the budget, a dense bucket holds.
 BLOCK_ROWS, BLOCK_QUERIES, DENSE = 4096, 2048, 4
 
 
 EMPTY = pa.table({"asker": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
 
 
-def breadth_for(n: int) -> int:
-    """Entries looked at in each tree: the square root of the index keeps recall on patternless data."""
-    return max(256, math.ceil(2.3 * math.sqrt(n)))
+def budget_for(n: int) -> int:
+    """Entries that all trees together give a query: with the square root of the index, recall stays on patternless data."""
+    return math.ceil(22 * math.sqrt(n))
 
 
-def rotations(dims: int, seed: int = 9) -> np.ndarray:
-    """Random orthogonal matrices, one for each symbol of each tree, side by side."""
+def turns_for(dims: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """For each tree a random rotation, and the normals of its planes, side by side."""
     rng = np.random.default_rng(seed)
-    return np.hstack([np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(TREES * SYMBOLS)]).astype(np.float32)
+    turns = np.hstack([np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(TREES)]).astype(np.float32)
+    return turns, rng.standard_normal((dims, TREES * BITS)).astype(np.float32)
 
 
-def hash_strings(vectors: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """For each vector and tree a string of symbols, each the nearest signed axis after a rotation.
+def hash_strings(vectors: np.ndarray, turns: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """For each vector and tree a string: the nearest signed axis after a rotation, then sides of planes.
 
     Strings are packed from the highest bit down, so number order is string order.
     """
     dims = vectors.shape[1]
-    width = max(1, (2 * dims - 1).bit_length())
-    symbols = min(SYMBOLS, 63 // width)
     out = np.zeros((len(vectors), TREES), np.int64)
+    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
     for a in range(0, len(vectors), 128):
-        y = (vectors[a : a + 128].astype(np.float32) @ turns).reshape(-1, TREES, SYMBOLS, dims)
-        axis = np.abs(y).argmax(axis=3)
-        symbol = 2 * axis + (np.take_along_axis(y, axis[..., None], 3)[..., 0] > 0)
-        for s in range(symbols):
-            out[a : a + 128] = out[a : a + 128] << width | symbol[:, :, s]
+        x = vectors[a : a + 128].astype(np.float32)
+        y = (x @ turns).reshape(-1, TREES, dims)
+        axis = np.abs(y).argmax(axis=2)
+        symbol = 2 * axis + (np.take_along_axis(y, axis[..., None], 2)[..., 0] > 0)
+        out[a : a + 128] = symbol << BITS | ((x @ planes).reshape(-1, TREES, BITS) > 0) @ weights
     return out
 
 
-def shared_levels(a: np.ndarray, b: int, width: int, symbols: int) -> np.ndarray:
-    """Length, in symbols, of the longest common prefix of hash strings with one string."""
-    apart = np.bitwise_xor(a, b)
-    bits = np.zeros(len(a), np.int64)
-    some = apart > 0
-    bits[some] = np.floor(np.log2(apart[some].astype(np.float64))).astype(np.int64) + 1
-    return symbols - -(-bits // width)
+def prefixes(strings: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+    """What strings begin with, down to a level; the root's prefix is 0."""
+    return np.where(np.asarray(level) > 0, strings >> (LEVELS - np.maximum(level, 1)), 0)
 
 
 def _as_matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -70,15 +70,12 @@ class Reached:
 
     NAMES = ["asker", "rep", "block", "low", "high"]
 
-    def __init__(self, k: int, reach: int, width: int, symbols: int):
-        self.k, self.reach, self.width, self.symbols = k, reach, width, symbols
+    def __init__(self, k: int):
+        self.k = k
         self.columns: list[list[np.ndarray]] = [[] for _ in self.NAMES]
 
     def look(self, rows: dict[str, np.ndarray], q: int, near: np.ndarray) -> None:
-        """Of the entries ``near`` place q the first in ascending from q's string that may be among the k + 1 best."""
-        if len(near) > self.reach:
-            level = shared_levels(rows["string"][near], rows["string"][q], self.width, self.symbols)
-            near = near[np.lexsort((np.abs(near - q), -level))[: self.reach]]
+        """Of the entries ``near`` those that may be among the k + 1 best of place q."""
         off, x = rows["off"], rows["x"]
         scores = x[near] @ x[q]
         error = off[q] + off[near] + off[q] * off[near]
@@ -90,14 +87,22 @@ class Reached:
 
     def batch(self, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch | None:
         """The candidates as rows of a wider table, null elsewhere."""
-        if not self.columns[0]:
-            return None
-        own = dict(zip(self.NAMES, (np.concatenate(c) for c in self.columns)))
-        m = len(own["asker"])
-        return pa.RecordBatch.from_arrays([pa.array(own[n]).cast(k) if n in own else pa.nulls(m, k) for n, k in zip(names, kinds)], names)
+        return _wider({n: np.concatenate(c) for n, c in zip(self.NAMES, self.columns)}, names, kinds) if self.columns[0] else None
 
 
-FOUND = "tree int, level int, prefix long, asker long, block long, held long, rep long, low float, high float, edge int, side int, string long, asked boolean, scale float, off float, small binary"
+def _wider(own: dict[str, np.ndarray], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    m = len(next(iter(own.values())))
+    return pa.RecordBatch.from_arrays([pa.array(own[n]).cast(k) if n in own else pa.nulls(m, k) for n, k in zip(names, kinds)], names)
+
+
+def _columns(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    types = {"int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    pairs = [column.split(" ") for column in schema.split(", ")]
+    return [n for n, _ in pairs], [types[t] for _, t in pairs]
+
+
+COUNTED = "tree int, level int, prefix long, asker long, others long, block long, held long"
+FOUND = "asker long, rep long, block long, low float, high float, edge int, side int, tree int, string long, level int, scale float, off float, small binary"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -108,197 +113,306 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists(e, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", breadth: int | None = None) -> DataFrame:
-    """The ``k`` nearest rows by cosine to each query row: query_id, rank, vec_id, score.
+def counted(arrays: DataFrame, most_sparse: list[float]) -> DataFrame:
+    """How many entries share each prefix of each query, from the sorted arrays (tree, string, rep, block, asked).
 
-    * Equal vectors become one entry with its k + 1 smallest ids (ties go to smaller ids, and a query
-      takes itself out), so copies never meet in one place and each distinct query is searched once.
-    * Each tree is one sorted array of hash strings, cut into ranges; its entries carry the vector in
-      8 bits a component and that vector's distance from it.  A query descends to its place, the
-      longest common prefix, and ascends symbol by symbol until ``breadth`` entries are reached in
-      every tree alike; near the edge of a range it looks into the next one too.  On patternless
-      data the last level is cut there, which is the forest's approximation.
-    * A bucket of more than ``breadth`` entries, and of ``DENSE`` times those that patternless data
-      would give its level, is dense.  Its entries stand in blocks by the string of the first tree; a
-      query is scored exactly against every entry of all blocks its deepest dense buckets touch, each
-      block once, so no pair is scored twice and the most work is that of brute force.
-    * Of the other candidates all whose approximate cosine, with its error bound, may belong to the
-      k + 1 best get exact ones in double precision.
-
-    Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows
-    without vec_id nor vectors of another length than the most common one.  Repeated rows are one; an
-    id with several vectors counts by the nearest of them, as query and as neighbour.  With fewer than k candidates all are given.  An empty table gives an empty result.
+    A query gets ``others`` where its run of one prefix lies within a range; where the run may go on in
+    another range, or is long, the run's entries are given by block (block, held) beside its queries.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    most = rows.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if most is None:
-        return spark.createDataFrame([], result)
-    dims = most["dims"]
-    rows = rows.where(F.size("embedding") == dims).dropDuplicates(["vec_id", "embedding"])
-    first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    entries = rows.withColumn("at", first).where(F.col("at") <= k + 1).groupBy("embedding")
-    entries = entries.agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asked = rows.where(query)
-    entries = stage(spark, entries.join(asked.groupBy("embedding").agg(F.lit(True).alias("asked")), "embedding", "left").select("rep", "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")), "forest-entries")
-    n = entries.count()
-    reach = breadth or breadth_for(n)
-    width = max(1, (2 * dims - 1).bit_length())
-    symbols = min(SYMBOLS, 63 // width)
-    most_sparse = [max(reach, DENSE * n / (2 * dims) ** level) for level in range(symbols + 1)]
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = rotations(dims)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                x = _as_matrix(part.column(2), dims)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                strings = hash_strings(x, turns)
-                scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
-                small = np.rint(x / scale[:, None]).astype(np.int8)
-                off = np.linalg.norm(x - small * scale[:, None].astype(np.float64), axis=1) + 1e-5  # and float32 sums
-                held = [pa.array([v.tobytes() for v in m], pa.binary()) for m in (strings, small)]
-                made = [pa.array(strings[:, 0]), pa.array(scale), pa.array(off.astype(np.float32)), *held]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "first", "scale", "off", "strings", "small"])
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part = 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            block = part + np.arange(at, at + batch.num_rows) // BLOCK_ROWS
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*batch.schema.names, "block"])
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                strings = np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64).reshape(-1, TREES)
-                for tree in range(TREES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(strings), tree, np.int32)), pa.array(strings[:, tree]), *part.columns[1:]], ["tree", "string", *part.schema.names[1:]])
-
-    names = [column.split(" ")[0] for column in FOUND.split(", ")]
-    kinds = [{"int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}[column.split(" ")[1]] for column in FOUND.split(", ")]
-
-    def arrays_of(table: pa.Table) -> dict[str, np.ndarray]:
-        rows = {c: table[c].to_numpy() for c in ("tree", "string", "rep", "block", "asked", "off")}
-        small = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dims).astype(np.float32)
-        return rows | {"x": small * table["scale"].to_numpy()[:, None]}
-
-    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates (asker, rep, block, low, high); runs of one prefix that may be part of a dense
-        bucket, with their rows by block (block, held) and their queries (asker); and the rows at
-        both ends of the range, for the edges (edge, side) it has with its neighbours."""
+    names, kinds = _columns(COUNTED)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        rows, reached, run_out = arrays_of(table), Reached(k, reach, width, symbols), []
-        trees, strings, reps, blocks, asks = (rows[c] for c in ("tree", "string", "rep", "block", "asked"))
+        trees, strings, reps, blocks, asked = (table[c].to_numpy() for c in ("tree", "string", "rep", "block", "asked"))
         cuts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1], [True]))).tolist()
         for a, b in zip(cuts, cuts[1:]):
-            for level in range(1, symbols + 1):
-                prefix = strings[a:b] >> width * (symbols - level)
+            tree, asks = int(trees[a]), np.flatnonzero(asked[a:b])
+            for level in range(0 if tree == 0 else 1, LEVELS + 1):
+                prefix = prefixes(strings[a:b], level)
                 ends = np.flatnonzero(np.concatenate((prefix[1:] != prefix[:-1], [True]))) + 1
                 starts = np.concatenate(([0], ends[:-1]))
-                open_ = (ends - starts > most_sparse[level]) | (starts == 0) | (ends == b - a)  # ranges may cut runs at their ends
-                for lo, hi in zip((a + starts[open_]).tolist(), (a + ends[open_]).tolist()):
-                    name = (int(trees[a]), level, int(prefix[lo - a]))
-                    run_out += [(*name, None, block, count) for block, count in zip(*(v.tolist() for v in np.unique(blocks[lo:hi], return_counts=True)))]
-                    run_out += [(*name, asker, None, None) for asker in reps[lo:hi][asks[lo:hi]].tolist()]
-            for q in (a + np.flatnonzero(asks[a:b])).tolist():
-                reached.look(rows, q, np.arange(max(a, q - reach), min(b, q + reach + 1)))
-        if (batch := reached.batch(names, kinds)) is not None:
-            yield batch
-        if run_out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*run_out), kinds)] + [pa.nulls(len(run_out), t) for t in kinds[6:]], names)
-        part = TaskContext.get().partitionId()
-        for edge, side, at in ((part, 1, 0), (part + 1, 0, max(0, len(reps) - reach))):
-            strip = table.slice(at, reach)
-            own = {"edge": np.full(len(strip), edge), "side": np.full(len(strip), side)}
-            columns = [pa.array(own[n]).cast(t) if n in own else strip[n].combine_chunks().cast(t) if n in strip.schema.names else pa.nulls(len(strip), t) for n, t in zip(names, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    def across(key: tuple, table: pa.Table) -> pa.Table:
-        """Candidates that a query near an edge has beyond it, in the same tree's array."""
-        table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("string", "ascending"), ("rep", "ascending")])
-        rows, reached, cut = arrays_of(table), Reached(k, reach, width, symbols), int((table["side"].to_numpy() == 0).sum())
-        place, trees = np.arange(len(table)), rows["tree"]
-        for q in np.flatnonzero(rows["asked"]).tolist():
-            near = place[cut : q + reach + 1] if q < cut else place[max(0, q - reach) : cut]
-            near = near[trees[near] == trees[q]]
-            if len(near):
-                reached.look(rows, q, near)
-        schema = pa.schema([(n, kinds[names.index(n)]) for n in Reached.NAMES])
-        batch = reached.batch(names, kinds)
-        return schema.empty_table() if batch is None else pa.Table.from_batches([batch]).select(Reached.NAMES)
-
-    base = "rep long, ids array<long>, embedding array<double>, asked boolean"
-    more = ", first long, scale float, off float, strings binary, small binary"
-    entries = stage(spark, entries.select("rep", "ids", "embedding", "asked").mapInArrow(hashed, base + more), "forest-strings")
-    ranges = max(1, min(shuffle_width(spark), -(-n // BLOCK_ROWS)), -(-n // (16 * BLOCK_ROWS)))
-    entries = entries.repartitionByRange(ranges, "first", "rep").sortWithinPartitions("first", "rep").mapInArrow(numbered, base + more + ", block long")
-    entries = stage(spark, entries, "forest-blocks")
-    tree_rows = entries.select("strings", "rep", "block", "asked", "scale", "off", "small").mapInArrow(grow, "tree int, string long, rep long, block long, asked boolean, scale float, off float, small binary")
-    parts = max(1, min(shuffle_width(spark) * 4, -(-n * TREES // PART_ROWS)), -(-n * TREES // (4 * PART_ROWS)))
-    arrays = tree_rows.repartitionByRange(parts, "tree", "string", "rep").sortWithinPartitions("tree", "string", "rep")
-    found = stage(spark, arrays.mapInArrow(climb, FOUND), "forest-found")
-    beyond = found.where("edge is not null").groupBy("edge").applyInArrow(across, "asker long, rep long, block long, low float, high float")
-
-    bucket = ["tree", "level", "prefix"]
-    runs = found.where("held is not null").groupBy(*bucket, "block").agg(F.sum("held").alias("held"))
-    sparse = F.element_at(F.array(*[F.lit(float(m)) for m in most_sparse]), F.col("level") + 1)
-    dense = runs.groupBy(*bucket).agg(F.sum("held").alias("total")).where(F.col("total") > sparse).select(*bucket)
-    deepest = found.where("tree is not null and asker is not null").select(*bucket, "asker").join(dense, bucket).groupBy("asker", "tree").agg(F.max(F.struct("level", "prefix")).alias("at"))
-    wanted = deepest.select("asker", "tree", "at.level", "at.prefix").join(runs.select(*bucket, "block"), bucket).select("asker", "block").distinct()
-    wanted = stage(spark, wanted, "forest-dense")
-
-    reached = found.where("rep is not null and edge is null").select("asker", "rep", "block", "low", "high").unionByName(beyond).groupBy("asker", "rep", "block").agg(F.max("low").alias("low"), F.min("high").alias("high"))
-    reached = reached.join(wanted, ["asker", "block"], "left_anti").withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("low"), "rep")))
-    least = F.max(F.when(F.col("at") == k + 1, F.col("low"))).over(Window.partitionBy("asker"))
-    best = reached.withColumn("least", least).where("least is null or high >= least")
-    one = entries.where("asked").select(F.col("rep").alias("asker"), F.col("embedding").alias("own"))
-    pairs = best.select("asker", "rep").join(one, "asker").join(entries.select("rep", "ids", "embedding"), "rep").select("asker", "ids", "own", "embedding")
-
-    def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = cosines(_as_matrix(batch.column(2), dims), _as_matrix(batch.column(3), dims))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["asker", "ids", "score"])
-
-    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k + 1 best entries of a block for each query sent to it."""
-        askers, own = left["asker"].to_numpy(), _as_matrix(left["own"].combine_chunks(), dims)
-        reps, all_ = right["rep"].to_numpy(), _as_matrix(right["embedding"].combine_chunks(), dims)
-        unit = lambda v: v / np.abs(v).max(axis=1, keepdims=True) / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True)
-        turned, rows, picked, scores = unit(all_).T, [], [], []
-        for a in range(0, len(own), 256):
-            for q, near in enumerate(unit(own[a : a + 256]) @ turned, a):
-                some = np.flatnonzero(near >= np.partition(near, -k - 1)[-k - 1] - 1e-12) if len(near) > k else np.arange(len(near))
-                score = cosines(np.broadcast_to(own[q], (len(some), dims)), all_[some])
-                best = np.lexsort((reps[some], -score))[: k + 1]
-                rows.append(np.full(len(best), askers[q]))
-                picked.append(some[best])
-                scores.append(score[best])
-        ids = right["ids"].combine_chunks().take(pa.array(np.concatenate(picked)))
-        return pa.table({"asker": np.concatenate(rows), "ids": ids, "score": np.concatenate(scores)})
-
-    scored = pairs.mapInArrow(exact, "asker long, ids array<long>, score double")
-    if not wanted.isEmpty():
+                wide = (ends - starts > most_sparse[level]) | ((starts == 0) & (a == 0)) | ((ends == b - a) & (b == len(strings)))
+                run = np.searchsorted(ends, asks, side="right")
+                alike = (ends - starts)[run] - 1
+                own = {"tree": np.full(len(asks), tree), "level": np.full(len(asks), level), "prefix": prefix[asks], "asker": reps[a:b][asks]}
+                inside = ~wide[run] & (alike > 0)
+                if inside.any():
+                    yield _wider({n: v[inside] for n, v in own.items()} | {"others": alike[inside]}, names, kinds)
+                if wide[run].any():
+                    yield _wider({n: v[wide[run]] for n, v in own.items()}, names, kinds)
+                for lo, hi in zip(starts[wide].tolist(), ends[wide].tolist()):
+                    ids, sizes = np.unique(blocks[a + lo : a + hi], return_counts=True)
+                    same = {"tree": tree, "level": level, "prefix": prefix[lo]}
+                    yield _wider({n: np.full(len(ids), v) for n, v in same.items()} | {"block": ids, "held": sizes}, names, kinds)
+
+    return arrays.mapInArrow(count, COUNTED)
+
+
+def ascent(counts: DataFrame, k: int, budget: int) -> DataFrame:
+    """How far each query ascends in each tree: asker, tree, level, others there, and gained by all trees so far.
+
+    ``counts`` holds asker, tree, level, prefix and others.  All trees ascend together, a level after the
+    other and a tree after the other within it, as long as their entries, counted in every tree that
+    gives them, are within ``budget``; and beyond it while no bucket holds k entries beside the query.
+    """
+    deeper = Window.partitionBy("asker", "tree").orderBy(F.desc("level"))
+    so_far = Window.partitionBy("asker").orderBy(F.desc("level"), "tree")
+    steps = counts.withColumn("gain", F.col("others") - F.coalesce(F.lag("others").over(deeper), F.lit(0)))
+    steps = steps.withColumn("gained", F.sum("gain").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = steps.withColumn("before", F.coalesce(F.max("others").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    taken = steps.where((F.col("gained") <= budget) | (F.col("before") < k) | (F.col("level") == LEVELS))
+    top = F.min(F.struct("level", "prefix", "others")).alias("top")
+    return taken.groupBy("asker", "tree").agg(top, F.max("gained").alias("gained")).select("asker", "tree", "top.level", "top.prefix", "top.others", "gained")
+
+
+class Forest:
+    """The entries of one length of vectors, hashed and in blocks, and how far each query ascends."""
+
+    def __init__(self, entries: DataFrame, dims: int, k: int, budget: int | None = None):
+        spark = entries.sparkSession
+        self.dims, self.k, self.spark = dims, k, spark
+        self.n = n = entries.count()
+        self.budget = budget or budget_for(n)
+        shares = [1.0] + [1 / (2 * dims) / 2**bit for bit in range(LEVELS)]
+        self.most_sparse = [math.inf] + [max(DENSE * self.budget / TREES, DENSE * n * share) for share in shares[1:]]
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            turns, planes = turns_for(dims)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2000):
+                    part = batch.slice(a, 2000)
+                    x = _as_matrix(part.column(2), dims)
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    strings = hash_strings(x, turns, planes)
+                    scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+                    small = np.rint(x / scale[:, None]).astype(np.int8)
+                    off = np.linalg.norm(x - small * scale[:, None].astype(np.float64), axis=1) + 1e-5  # and float32 sums
+                    held = [pa.array([v.tobytes() for v in m], pa.binary()) for m in (strings, small)]
+                    made = [pa.array(strings[:, 0]), pa.array(scale), pa.array(off.astype(np.float32)), *held]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "first", "scale", "off", "strings", "small"])
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, part = 0, TaskContext.get().partitionId() << 32
+            for batch in batches:
+                block = part + np.arange(at, at + batch.num_rows) // BLOCK_ROWS
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*batch.schema.names, "block"])
+
+        base = "rep long, ids array<long>, embedding array<double>, asked boolean"
+        more = ", first long, scale float, off float, strings binary, small binary"
+        entries = stage(spark, entries.select("rep", "ids", "embedding", "asked").mapInArrow(hashed, base + more), "forest-strings")
+        ranges = max(1, min(shuffle_width(spark), -(-n // BLOCK_ROWS)), -(-n // (16 * BLOCK_ROWS)))
+        entries = entries.repartitionByRange(ranges, "first", "rep").sortWithinPartitions("first", "rep").mapInArrow(numbered, base + more + ", block long")
+        self.entries = stage(spark, entries, "forest-blocks")
+
+        self.bucket = bucket = ["tree", "level", "prefix"]
+        light = self.arrays(self.entries, ["asked"], "asked boolean").select("tree", "string", "rep", "block", "asked")
+        self.counts = counts = stage(spark, counted(self.sorted(light), self.most_sparse), "forest-counts")
+        self.runs = counts.where("held is not null").groupBy(*bucket, "block").agg(F.sum("held").alias("held"))
+        self.totals = stage(spark, self.runs.groupBy(*bucket).agg(F.sum("held").alias("total")), "forest-totals")
+        self.open = counts.where("asker is not null and others is null").select(*bucket, "asker")
+        joined = self.open.join(self.totals, bucket).select("asker", *bucket, (F.col("total") - 1).alias("others")).where("others > 0")
+        known = counts.where("others is not null").select("asker", *bucket, "others").unionByName(joined)
+        self.ascents = stage(spark, ascent(known, k, self.budget), "forest-ascents")
+
+    def sorted(self, rows: DataFrame) -> DataFrame:
+        """The trees' arrays, cut into ranges that hold several budgets, so that a run within it meets two at most."""
+        each, n = max(PART_ROWS, 4 * self.budget), self.n * TREES
+        parts = max(1, min(shuffle_width(self.spark) * 4, n // each), n // (4 * each))
+        return rows.repartitionByRange(parts, "tree", "string", "rep").sortWithinPartitions("tree", "string", "rep")
+
+    def arrays(self, entries: DataFrame, names: list[str], schema: str) -> DataFrame:
+        """A row for each entry and tree, with columns ``names``; ``levels``, a number a tree, becomes ``level``."""
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2000):
+                    part = batch.slice(a, 2000)
+                    strings = np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64).reshape(-1, TREES)
+                    for tree in range(TREES):
+                        own = {"tree": pa.array(np.full(len(strings), tree, np.int32)), "string": pa.array(strings[:, tree])}
+                        own |= {n: part.column(n) for n in ["rep", "block", *names] if n != "levels"}
+                        if "levels" in names:
+                            own["level"] = pc.list_element(part.column("levels"), tree)
+                        yield pa.RecordBatch.from_pydict(own)
+
+        return entries.select("strings", "rep", "block", *names).mapInArrow(grow, f"tree int, string long, rep long, block long, {schema}")
+
+    def blocks_wanted(self) -> DataFrame:
+        """Queries and the blocks they are scored against whole (asker, block), each pair once.
+
+        These hold the deepest dense bucket of the query in each tree, and any bucket that the query
+        ascends to and that exceeds the budget.
+        """
+        limit = F.element_at(F.array(*[F.lit(float(m)) for m in self.most_sparse]), F.col("level") + 1)
+        dense = self.totals.where(F.col("total") > limit).select(*self.bucket)
+        deepest = self.open.join(dense, self.bucket).groupBy("asker", "tree").agg(F.max(F.struct("level", "prefix")).alias("at")).select("asker", "tree", "at.level", "at.prefix")
+        over = self.ascents.where(F.col("others") > self.budget).select("asker", *self.bucket)
+        return deepest.unionByName(over).join(self.runs.select(*self.bucket, "block"), self.bucket).select("asker", "block").distinct()
+
+    def found(self) -> DataFrame:
+        """Candidates from the sorted arrays (asker, rep, block, low, high): the runs that queries ascend to."""
+        k, reach, dims = self.k, self.budget + 1, self.dims
+        names, kinds = _columns(FOUND)
+        strip_columns = ["tree", "string", "level", "rep", "block", "scale", "off", "small"]
+
+        def arrays_of(table: pa.Table) -> dict[str, np.ndarray]:
+            rows = {c: table[c].to_numpy() for c in ("tree", "string", "rep", "block", "off")}
+            small = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dims).astype(np.float32)
+            return rows | {"level": table["level"].fill_null(-1).to_numpy(), "x": small * table["scale"].to_numpy()[:, None]}
+
+        def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Candidates within a range, and the rows at its ends for the edges (edge, side) with its neighbours."""
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            rows, reached = arrays_of(table), Reached(k)
+            trees, strings, levels = rows["tree"], rows["string"], rows["level"]
+            cuts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1], [True]))).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                asks = a + np.flatnonzero(levels[a:b] >= 0)
+                shift = np.where(levels[asks] > 0, LEVELS - levels[asks], 62)
+                prefix = strings[asks] >> shift
+                starts = a + np.searchsorted(strings[a:b], prefix << shift)
+                ends = a + np.searchsorted(strings[a:b], (prefix << shift) + (1 << shift.astype(np.int64)))
+                for q, lo, hi in zip(asks.tolist(), starts.tolist(), ends.tolist()):
+                    if hi - lo <= reach:
+                        reached.look(rows, q, np.arange(lo, hi))
+            if (batch := reached.batch(names, kinds)) is not None:
+                yield batch
+            part = TaskContext.get().partitionId()
+            for edge, side, at in ((part, 1, 0), (part + 1, 0, max(0, len(table) - reach))):
+                strip = table.slice(at, reach)
+                own = {"edge": np.full(len(strip), edge), "side": np.full(len(strip), side)}
+                columns = [pa.array(own[n]).cast(t) if n in own else strip[n].combine_chunks().cast(t) if n in strip_columns else pa.nulls(len(strip), t) for n, t in zip(names, kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        def across(key: tuple, table: pa.Table) -> pa.Table:
+            """Candidates that a query near an edge has beyond it, in the same tree's array."""
+            table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("string", "ascending"), ("rep", "ascending")])
+            rows, reached, cut = arrays_of(table), Reached(k), int((table["side"].to_numpy() == 0).sum())
+            place, trees, strings, levels = np.arange(len(table)), rows["tree"], rows["string"], rows["level"]
+            for q in np.flatnonzero(levels >= 0).tolist():
+                near = place[cut:] if q < cut else place[:cut]
+                near = near[(trees[near] == trees[q]) & (prefixes(strings[near], levels[q]) == prefixes(strings[q], levels[q]))]
+                if 0 < len(near) <= reach:
+                    reached.look(rows, q, near)
+            schema = pa.schema([(n, kinds[names.index(n)]) for n in Reached.NAMES])
+            batch = reached.batch(names, kinds)
+            return schema.empty_table() if batch is None else pa.Table.from_batches([batch]).select(Reached.NAMES)
+
+        tops = self.ascents.groupBy("asker").agg(F.map_from_entries(F.collect_list(F.struct("tree", "level"))).alias("tops"))
+        tops = tops.select(F.col("asker").alias("rep"), F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.element_at("tops", t)).alias("levels"))
+        entries = self.entries.drop("embedding", "ids").join(tops, "rep", "left")
+        arrays = self.arrays(entries, ["scale", "off", "small", "levels"], "scale float, off float, small binary, level int")
+        found = stage(self.spark, self.sorted(arrays).mapInArrow(climb, FOUND), "forest-found")
+        beyond = found.where("edge is not null").groupBy("edge").applyInArrow(across, "asker long, rep long, block long, low float, high float")
+        return found.where("edge is null").select(*Reached.NAMES).unionByName(beyond).groupBy("asker", "rep", "block").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+
+    def scored(self) -> DataFrame:
+        """The k + 1 best entries of each query at least, with exact cosines: asker, ids, score."""
+        k, dims = self.k, self.dims
+        wanted = stage(self.spark, self.blocks_wanted(), "forest-dense")
+        reached = self.found().join(wanted, ["asker", "block"], "left_anti").withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("low"), "rep")))
+        least = F.max(F.when(F.col("at") == k + 1, F.col("low"))).over(Window.partitionBy("asker"))
+        best = reached.withColumn("least", least).where("least is null or high >= least")
+        one = self.entries.where("asked").select(F.col("rep").alias("asker"), F.col("embedding").alias("own"))
+        pairs = best.select("asker", "rep").join(one, "asker").join(self.entries.select("rep", "ids", "embedding"), "rep").select("asker", "ids", "own", "embedding")
+
+        def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                score = cosines(_as_matrix(batch.column(2), dims), _as_matrix(batch.column(3), dims))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["asker", "ids", "score"])
+
+        def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+            """The k + 1 best entries of a block for each query sent to it."""
+            if not left.num_rows or not right.num_rows:
+                return EMPTY
+            askers, own = left["asker"].to_numpy(), _as_matrix(left["own"].combine_chunks(), dims)
+            reps, all_ = right["rep"].to_numpy(), _as_matrix(right["embedding"].combine_chunks(), dims)
+            unit = lambda v: v / np.abs(v).max(axis=1, keepdims=True) / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True)
+            turned, rows, picked, scores = unit(all_).T, [], [], []
+            for a in range(0, len(own), 256):
+                for q, near in enumerate(unit(own[a : a + 256]) @ turned, a):
+                    some = np.flatnonzero(near >= np.partition(near, -k - 1)[-k - 1] - 1e-12) if len(near) > k else np.arange(len(near))
+                    score = cosines(np.broadcast_to(own[q], (len(some), dims)), all_[some])
+                    best = np.lexsort((reps[some], -score))[: k + 1]
+                    rows.append(np.full(len(best), askers[q]))
+                    picked.append(some[best])
+                    scores.append(score[best])
+            ids = right["ids"].combine_chunks().take(pa.array(np.concatenate(picked)))
+            return pa.table({"asker": np.concatenate(rows), "ids": ids, "score": np.concatenate(scores)})
+
+        scored = pairs.mapInArrow(exact, "asker long, ids array<long>, score double")
+        if wanted.isEmpty():
+            return scored
         shares = wanted.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("shares"))
         sent = wanted.join(shares, "block").join(one, "asker").select("block", F.pmod(F.xxhash64("asker"), F.col("shares")).cast("int").alias("share"), "asker", "own")
-        held = entries.select("block", "rep", "ids", "embedding").join(shares, "block").select("block", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "rep", "ids", "embedding")
+        held = self.entries.select("block", "rep", "ids", "embedding").join(shares, "block").select("block", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "rep", "ids", "embedding")
         both = sent.groupBy("block", "share").cogroup(held.groupBy("block", "share"))
-        scored = scored.unionByName(both.applyInArrow(lambda left, right: whole(left, right) if left.num_rows and right.num_rows else EMPTY, "asker long, ids array<long>, score double"))
-    top = scored.withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("at") <= k + 1)
-    asks = asked.join(entries.where("asked").select("embedding", F.col("rep").alias("asker")), "embedding").select(F.col("vec_id").alias("query_id"), "asker")
-    each = asks.join(top.select("asker", "score", F.explode("ids").alias("vec_id")), "asker").where("vec_id <> query_id")
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return scored.unionByName(both.applyInArrow(whole, "asker long, ids array<long>, score double"))
+
+
+def forest_of(rows: DataFrame, dims: int, k: int, query: str, budget: int | None = None) -> tuple[Forest, DataFrame]:
+    """The forest of the vectors of one length, and its query rows (vec_id, asker).
+
+    Equal vectors become one entry with its k + 1 smallest ids.
+    """
+    rows = rows.where(F.size("embedding") == dims).dropDuplicates(["vec_id", "embedding"])
+    first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    entries = rows.withColumn("at", first).where(F.col("at") <= k + 1).groupBy("embedding")
+    entries = entries.agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asked = rows.where(query)
+    entries = entries.join(asked.groupBy("embedding").agg(F.lit(True).alias("asked")), "embedding", "left")
+    entries = stage(rows.sparkSession, entries.select("rep", "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")), "forest-entries")
+    asks = asked.join(entries.where("asked").select("embedding", F.col("rep").alias("asker")), "embedding")
+    return Forest(entries, dims, k, budget), asks.select(F.col("vec_id").alias("query_id"), "asker")
+
+
+def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", budget: int | None = None) -> DataFrame:
+    """The ``k`` nearest rows by cosine to each query row: query_id, rank, vec_id, score.
+
+    * Equal vectors become one entry with its k + 1 smallest ids (ties go to smaller ids, and a query
+      takes itself out), so copies never meet in one place and each distinct query is searched once.
+    * Each tree is one sorted array of hash strings, cut into ranges.  A first pass counts how many
+      entries share each prefix of each query; from its longest matches a query ascends in all trees
+      together, a level at a time, until they give ``budget`` entries (``ascent``).  A second pass over
+      the arrays, whose entries carry the vector in 8 bits a component and that vector's distance from
+      it, looks at all entries of the buckets so reached, and none else.
+    * A bucket of ``DENSE`` times a tree's share of the budget, and of ``DENSE`` times what patternless
+      data would give its level, is dense.  Its entries stand in blocks by the string of the first tree;
+      a query is scored exactly against every entry of all blocks its deepest dense buckets touch, each
+      block once, so no pair is scored twice and the most work is that of brute force.  So are buckets
+      beyond the budget, to which a query ascends that has no k entries beside it below.
+    * Of the other candidates all whose approximate cosine, with its error bound, may belong to the
+      k + 1 best get exact ones in double precision.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows
+    without vec_id.  A cosine needs vectors of one length, so that each length is a forest of its own,
+    one after the other.  Repeated rows are one; an id with several vectors counts by the nearest of
+    them, as query and as neighbour.  With fewer than k candidates all are given.  An empty table gives
+    an empty result.
+    """
+    rows = usable(vectors)
+    lengths = [r["dims"] for r in rows.where(query).select(F.size("embedding").alias("dims")).distinct().orderBy("dims").toLocalIterator()]
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def each(dims: int) -> DataFrame:
+        forest, asks = forest_of(rows, dims, k, query, budget)
+        top = forest.scored().withColumn("at", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("at") <= k + 1)
+        return asks.join(top.select("asker", "score", F.explode("ids").alias("vec_id")), "asker").where("vec_id <> query_id").drop("asker")
+
+    scored = reduce(DataFrame.unionByName, map(each, lengths)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -77,12 +77,12 @@ def test_neighbours_edges(spark):
 
 
 def test_neighbours_in_dense_clusters(spark):
-    """Close but not equal vectors: a cluster far larger than the forest's breadth, and a small tight one."""
+    """Close but not equal vectors: a cluster larger than the forest's budget, and a small tight one."""
     r = np.random.default_rng(6)
     groups = [(0, r.standard_normal((1000, 16))), (10_000, r.standard_normal(16) + 0.02 * r.standard_normal((3000, 16))), (20_000, r.standard_normal(16) + 0.001 * r.standard_normal((200, 16)))]
     rows = [(first + i, [float(x) for x in v]) for first, group in groups for i, v in enumerate(group)]
     got = {}
-    for row in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), breadth=256).collect():
+    for row in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
         got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
     expected = brute_nearest(dict(rows))
     assert set(got) == set(expected)
