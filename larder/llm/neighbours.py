@@ -19,9 +19,10 @@ from .common import shuffle_width, stage
 TREES, BITS, PART_ROWS = 96, 24, 60_000
 #: Levels of a string: the root, its first symbol, and each bit.
 LEVELS = 1 + BITS
-#: Entries of a block and queries of a task where dense buckets are scored whole, and how many times
-#: the share of patternless data, and of a tree in the budget, a dense bucket holds.
-BLOCK_ROWS, BLOCK_QUERIES, DENSE = 4096, 2048, 4
+#: Entries of a block and queries of a task where dense buckets are scored whole; how many times the
+#: share of patternless data, and what part of the budget, a bucket exceeds to be dense (of a smaller
+#: one the trees, each with other entries, see all but exp(-8) of it).
+BLOCK_ROWS, BLOCK_QUERIES, DENSE, PART_OF_BUDGET = 4096, 2048, 4, 8
 
 
 EMPTY = pa.table({"asker": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
@@ -177,7 +178,7 @@ class Forest:
         self.n = n = entries.count()
         self.budget = budget or budget_for(n)
         shares = [1.0] + [1 / (2 * dims) / 2**bit for bit in range(LEVELS)]
-        self.most_sparse = [math.inf] + [max(DENSE * self.budget / TREES, DENSE * n * share) for share in shares[1:]]
+        self.most_sparse = [math.inf] + [max(self.budget / PART_OF_BUDGET, DENSE * n * share) for share in shares[1:]]
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns, planes = turns_for(dims)
@@ -387,8 +388,8 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", budg
       together, a level at a time, until they give ``budget`` entries (``ascent``).  A second pass over
       the arrays, whose entries carry the vector in 8 bits a component and that vector's distance from
       it, looks at all entries of the buckets so reached, and none else.
-    * A bucket of ``DENSE`` times a tree's share of the budget, and of ``DENSE`` times what patternless
-      data would give its level, is dense.  Its entries stand in blocks by the string of the first tree;
+    * A bucket above one ``PART_OF_BUDGET``-th of the budget, and ``DENSE`` times what patternless data
+      would give its level, is dense.  Its entries stand in blocks by the string of the first tree;
       a query is scored exactly against every entry of all blocks its deepest dense buckets touch, each
       block once, so no pair is scored twice and the most work is that of brute force.  So are buckets
       beyond the budget, to which a query ascends that has no k entries beside it below.

@@ -20,8 +20,11 @@ def test_recall_at_fifty_thousand(spark, tmp_path):
     vectors = spark.read.parquet(str(tmp_path))
     forest, _ = neighbours.forest_of(neighbours.usable(vectors), 64, 5, "vec_id % 50 = 0")
     looked = forest.ascents.groupBy("asker").agg({"gained": "max"}).toPandas()["max(gained)"]
-    assert len(looked) == 1000 and looked.max() <= forest.budget and forest.blocks_wanted().isEmpty()
-    assert forest.budget < 0.1 * len(x)  # entries of all trees, those that several give counted each time
+    in_blocks = forest.blocks_wanted().join(forest.entries, "block").count()
+    assert len(looked) == 1000 and looked.max() <= forest.budget
+    share = (looked.sum() + in_blocks) / (1000 * len(x))  # entries that several trees give are counted each time
+    print("share looked at", share)
+    assert share < 0.1
     got = {}
     for row in neighbours.nearest(vectors).collect():
         got.setdefault(row.query_id, set()).add(row.vec_id)
