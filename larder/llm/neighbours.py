@@ -259,6 +259,7 @@ class Forest:
         """Candidates from the sorted arrays (asker, rep, block, low, high): the runs that queries ascend to."""
         k, reach, dims = self.k, self.budget + 1, self.dims
         names, kinds = _columns(FOUND)
+        shallow = {r["tree"]: r["top"] for r in self.ascents.groupBy("tree").agg(F.min("level").alias("top")).collect()}  # a row a tree
         strip_columns = ["tree", "string", "level", "rep", "block", "scale", "off", "small"]
 
         def arrays_of(table: pa.Table) -> dict[str, np.ndarray]:
@@ -267,7 +268,8 @@ class Forest:
             return rows | {"level": table["level"].fill_null(-1).to_numpy(), "x": small * table["scale"].to_numpy()[:, None]}
 
         def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Candidates within a range, and the rows at its ends for the edges (edge, side) with its neighbours."""
+            """Candidates within a range, and the rows at its ends for the edges (edge, side) with its neighbours:
+            those of the run that a query may ascend to across the edge."""
             held = [b for b in batches if b.num_rows]
             if not held:
                 return
@@ -287,8 +289,10 @@ class Forest:
             if (batch := reached.batch(names, kinds)) is not None:
                 yield batch
             part = TaskContext.get().partitionId()
-            for edge, side, at in ((part, 1, 0), (part + 1, 0, max(0, len(table) - reach))):
-                strip = table.slice(at, reach)
+            for edge, side, at, end in ((part, 1, 0, 0), (part + 1, 0, max(0, len(table) - reach), len(table) - 1)):
+                some, top = slice(at, at + reach), shallow.get(int(trees[end]), LEVELS)
+                open_ = (trees[some] == trees[end]) & (prefixes(strings[some], top) == prefixes(strings[end], top))
+                strip = table.slice(at, reach).filter(pa.array(open_))
                 own = {"edge": np.full(len(strip), edge), "side": np.full(len(strip), side)}
                 columns = [pa.array(own[n]).cast(t) if n in own else strip[n].combine_chunks().cast(t) if n in strip_columns else pa.nulls(len(strip), t) for n, t in zip(names, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
