@@ -30,7 +30,7 @@ EMPTY = pa.table({"asker": pa.array([], pa.int64()), "ids": pa.array([], pa.list
 
 def budget_for(n: int) -> int:
     """Entries that all trees together give a query: with the square root of the index, recall stays on patternless data."""
-    return math.ceil(22 * math.sqrt(n))
+    return math.ceil(28 * math.sqrt(n))
 
 
 def turns_for(dims: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ def test_recall_at_fifty_thousand(spark, tmp_path):
     assert len(looked) == 1000 and looked.max() <= forest.budget
     share = (looked.sum() + in_blocks) / (1000 * len(x))  # entries that several trees give are counted each time
     print("share looked at", share)
-    assert share < 0.1
+    assert share < 0.13
     got = {}
     for row in neighbours.nearest(vectors).collect():
         got.setdefault(row.query_id, set()).add(row.vec_id)
