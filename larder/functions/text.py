@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,9 +70,12 @@ def search_fold(s: Column) -> Column:
     """Lower case without accents, ß as ss.
 
     It stays in the JVM: a table of all Latin letters and combining marks instead of NFKD.  Only
-    compatible forms of several letters, such as ligatures, stay as they are.
+    compatible forms of several letters, such as ligatures, stay as they are.  ASCII texts, told by
+    their lengths, have nothing to look up.
     """
-    return F.replace(F.translate(F.lower(F.coalesce(s, F.lit(""))), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    low = F.lower(F.coalesce(s, F.lit("")))
+    folded = F.replace(F.translate(low, ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    return F.when(F.octet_length(s) == F.char_length(s), low).otherwise(folded)
 
 
 def _uncommon() -> str:
@@ -81,13 +85,18 @@ def _uncommon() -> str:
     codes = sorted(map(ord, common))
     starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
     ends = [c for c, after in zip(codes, [*codes[1:], -2]) if after != c + 1]
-    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
+    # the many ranges are tried on characters beyond ASCII alone
+    return r"(?=[^\x00-\x7F])[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
+
+
+@cache
+def _marks() -> dict[int, None]:
+    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
 
 
 def decomposed(s: str) -> str:
     """Lower case, NFKD, without marks, ß as ss: what a search compares."""
-    plain = unicodedata.normalize("NFKD", s.lower())
-    return "".join(c for c in plain if unicodedata.category(c)[0] != "M").replace("ß", "ss")
+    return unicodedata.normalize("NFKD", s.lower()).translate(_marks()).replace("ß", "ss")
 
 
 @F.pandas_udf(T.StringType())
@@ -106,10 +115,10 @@ UNCOMMON = _uncommon()
 def exact_fold(s: Column) -> Column:
     """``search_fold`` with compatible forms of several letters too (ligatures, fractions, half-width kana).
 
-    Only texts with a character that the JVM's tables do not know go to Python; others pass it as nulls.
+    Only texts with a character that the JVM's tables do not know go to Python; others pass it as nulls,
+    and what comes back as null is folded by the tables.
     """
-    rare = F.coalesce(s.rlike(UNCOMMON), F.lit(False))
-    return F.when(rare, _decomposed(F.when(rare, s))).otherwise(search_fold(s))
+    return F.coalesce(_decomposed(F.when(s.rlike(UNCOMMON), s)), search_fold(s))
 
 
 def exact_norm_desc(s: Column) -> Column:
