@@ -158,15 +158,15 @@ def _(spark, sf):
 @query("q131_indexed_topic_search", f"WITH {O} SELECT id FROM o WHERE contains({HAY}, 'brand') AND (contains({HAY}, 'gadg') OR category = 'ECONOMY') AND contains({HAY}, 'co')")
 def _(spark, sf):
     """The search of q82 by postings, topics among them."""
-    o = _offers(spark, sf).withColumn("hay", text.search_fold(F.concat_ws(" ", "title", "category", "description")))
+    o, hay = _offers(spark, sf), text.search_fold(F.concat_ws(" ", "title", "category", "description"))
     topics = {"Gadgets & Co": F.col("category") == "ECONOMY", "Metall": F.col("title").contains("steel")}
     folded = {label: text.decomposed(label) for label in topics}
     members = o.select("id", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(folded[label])) for label, test in topics.items()]))).alias("label"))
     index = postings.Postings(spark, sinks.shared_folder(spark, "postings"))
-    index.write(o, members)
+    index.write(o.select("id", hay.alias("hay")), members)
     asked = "Bránd  gadg co"
     found = index.candidates(text.decomposed(asked).split(), list(folded.values()), selection.TOPIC_TOKEN)
-    return o.join(found, "id", "left_semi").where(selection.all_tokens(F.col("hay"), asked, topics)).select("id")
+    return text.once(o.join(found, "id", "left_semi"), "hay", hay).where(selection.all_tokens(F.col("hay"), asked, topics)).select("id")
 
 
 @query("q132_indexed_title_search", f"WITH {O} SELECT id, title FROM o WHERE contains(lower(title), 'ring') OR contains(lower(description), 'ring') ORDER BY title, id LIMIT 50")
