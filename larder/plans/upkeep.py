@@ -133,9 +133,10 @@ def _(spark, sf):
 
 
 def _document_postings(spark: SparkSession, sf: str, fold) -> tuple[postings.Postings, DataFrame]:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", fold(F.coalesce("text", F.lit(""))).alias("hay"))
+    """An index of the folded texts, and the documents (id, lang, text), of which a search folds the candidates alone."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.coalesce("text", F.lit("")).alias("text"))
     index = postings.Postings(spark, sinks.shared_folder(spark, "postings"))
-    index.write(d)
+    index.write(d.select("id", fold(F.col("text")).alias("hay")))
     return index, d
 
 
@@ -143,7 +144,7 @@ def _document_postings(spark: SparkSession, sf: str, fold) -> tuple[postings.Pos
 def _(spark, sf):
     """The search of q56 by postings."""
     index, d = _document_postings(spark, sf, text.search_fold)
-    hits = d.join(index.candidates(["tion", "le", "eau"]), "id", "left_semi")
+    hits = text.once(d.join(index.candidates(["tion", "le", "eau"]), "id", "left_semi"), "hay", text.search_fold(F.col("text")))
     return hits.where(selection.all_tokens(F.col("hay"), "tion le eau", {})).select(F.col("id").alias("doc_id"))
 
 
