@@ -152,7 +152,8 @@ def _(spark, sf):
 def _(spark, sf):
     """The search of q57 by postings: either term."""
     index, d = _document_postings(spark, sf, text.fold_umlauts)
-    hits = d.join(postings.any_of([index.candidates([t]) for t in ("ueber", "oe")]), "id", "left_semi")
+    found = postings.any_of([index.candidates([t]) for t in ("ueber", "oe")])
+    hits = text.once(d.join(found, "id", "left_semi"), "hay", text.fold_umlauts(F.col("text")))
     return hits.where(F.contains("hay", F.lit("ueber")) | F.contains("hay", F.lit("oe"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
