@@ -183,12 +183,22 @@ ARCHIVED = OBS + ", there AS (SELECT DISTINCT supp FROM obs WHERE supp % 3 <> 0)
 
 
 def _archived(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Offers by supplier, and a file for two of three suppliers and for ten that offer nothing."""
-    obs, folder = observations(spark, sf), sinks.shared_folder(spark, "images")
-    kept = obs.where("supp % 3 <> 0").select("supp").distinct().unionByName(obs.select("supp").distinct().orderBy("supp").limit(10).select((-F.col("supp") - 1).alias("supp")))
-    kept.withColumn("x", F.lit(1)).coalesce(4).write.partitionBy("supp").parquet(folder)
-    found = files.existing(spark, [folder], "*.parquet", r"/supp=(-?\d+)/")
-    return obs.select("d", F.col("supp").cast("string").alias("id")), found
+    """Offers by supplier, and a file for two of three suppliers and for ten that offer nothing.
+
+    Offers are joined and written once, the suppliers next; tasks write the files into ``FOLDERS`` folders.
+    """
+    folder = sinks.shared_folder(spark, "images")
+    observations(spark, sf).select("d", "supp").write.parquet(f"{folder}/offers")
+    offers = spark.read.parquet(f"{folder}/offers")
+    offers.select("supp").distinct().write.parquet(f"{folder}/suppliers")
+    seen = spark.read.parquet(f"{folder}/suppliers")
+    kept = seen.where("supp % 3 <> 0").unionByName(seen.orderBy("supp").limit(10).select((-F.col("supp") - 1).alias("supp")))
+    path = F.format_string("%02d/%d.img", F.pmod(F.col("supp"), F.lit(FOLDERS)), F.col("supp"))
+    files.store(kept.select(path.alias("path"), F.lit("x").alias("content")).repartition("path"), f"{folder}/files")
+    found = files.existing(spark, [f"{folder}/files"], "*.img")
+    return offers.select("d", F.col("supp").cast("string").alias("id")), found
+#: Folders that the files of suppliers are dealt to.
+FOLDERS = 64
 
 
 @query("q133_archived_files_by_week", f"WITH {ARCHIVED} SELECT d, count(*) FILTER (supp IN (SELECT supp FROM there)) AS have, count(*) AS total FROM obs GROUP BY d")

@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def store(rows: DataFrame, folder: str) -> int:
+    """Write rows (path, content) as files below a folder that all tasks share; gives their number.
+
+    Tasks write the files where they belong, by Arrow's file systems (file, hdfs, s3, gs, abfs): names
+    are given, none is moved by the driver, and a task that runs again writes the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        made = set()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                below = f"{root}/{path}".rpartition("/")[0]
+                if below not in made:
+                    files.create_dir(below)
+                    made.add(below)
+                with files.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def existing(spark: SparkSession, folders: list[str], glob: str = "*", named: str = r"([^/]+)\.[^./]*$") -> DataFrame:
     """Files below folders as a table: folder, name (by the pattern's first group), length, path.
 
@@ -44,4 +71,4 @@ def missing(offers: DataFrame, files: DataFrame) -> DataFrame:
 
 def orphaned(offers: DataFrame, files: DataFrame) -> DataFrame:
     """Files that no offer names."""
-    return files.join(offers.select(F.col("id").alias("name")), "name", "left_anti").select("name", "path")
+    return files.join(offers.select(F.col("id").alias("name")).distinct(), "name", "left_anti").select("name", "path")
