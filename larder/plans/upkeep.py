@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ from .archive import FOLD, OBS, STATS, UML, _weekly, query
 from .selections import HAY, O, _offers
 
 
+def _last_week(line: DataFrame, obs: DataFrame) -> date | None:
+    """The last week with an observation; of all lines only those of the last days are joined, if these have one."""
+    week = F.date_trunc("week", "l_shipdate").cast("date")
+    top = line.agg(F.max(week).alias("d")).first().d
+    last = obs.where(F.col("d") >= F.date_sub(F.lit(top), 14)).agg(F.max("d").alias("d")).first().d
+    return last or obs.agg(F.max("d").alias("d")).first().d
+
+
 @query("q121_incremental_index", f"""WITH {OBS}, w AS (SELECT key, d, min(gp) AS gp FROM obs WHERE gpf IS NULL GROUP BY key, d),
  e AS (SELECT key, min(gp) AS low, max(gp) AS high, arg_max(gp, d) AS latest, max(d) AS latest_d FROM w GROUP BY key),
  o AS (SELECT key, arg_max(title, (d, l_orderkey, l_linenumber)) AS title, arg_max(cat, (d, l_orderkey, l_linenumber)) AS cat, max(unit) AS unit, count(DISTINCT d) AS weeks, count(*) AS n_obs, min(d) AS first_d, max(d) AS last_d FROM obs GROUP BY key)
@@ -22,7 +32,7 @@ from .selections import HAY, O, _offers
 def _(spark, sf):
     """The product index of all weeks, made of the archive up to a date and then brought up to date by the rest."""
     obs, folder = observations(spark, sf), sinks.shared_folder(spark, "product-index")
-    late = F.col("d") >= F.date_sub(obs.agg(F.max("d")).scalar(), 14)
+    late = F.col("d") >= F.date_sub(F.lit(_last_week(table(spark, sf, "lineitem"), obs)), 14)
     put = lambda rows: rows.repartition("d").write.mode("append").partitionBy("d").parquet(f"{folder}/archive")
     index = product_index.ProductIndex(spark, f"{folder}/archive", f"{folder}/index")
     for part in (obs.where(~late), obs.where(late)):
@@ -179,6 +189,8 @@ def _(spark, sf):
     return selection.title_or_description(o.join(index.candidates(["ring"]), "id", "left_semi"), "Ring").select("id", "title")
 
 
+#: Folders that the files of suppliers are dealt to.
+FOLDERS = 64
 ARCHIVED = OBS + ", there AS (SELECT DISTINCT supp FROM obs WHERE supp % 3 <> 0)"
 
 
@@ -197,8 +209,6 @@ def _archived(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     files.store(kept.select(path.alias("path"), F.lit("x").alias("content")).repartition("path"), f"{folder}/files")
     found = files.existing(spark, [f"{folder}/files"], "*.img")
     return offers.select("d", F.col("supp").cast("string").alias("id")), found
-#: Folders that the files of suppliers are dealt to.
-FOLDERS = 64
 
 
 @query("q133_archived_files_by_week", f"WITH {ARCHIVED} SELECT d, count(*) FILTER (supp IN (SELECT supp FROM there)) AS have, count(*) AS total FROM obs GROUP BY d")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import versions
-from .ingest import canonical_hash
 
 #: Columns of an observation that its week's hash covers.
 STABLE = ("key", "title", "cat", "unit", "d", "gp", "gpf", "face", "flagged", "l_orderkey", "l_linenumber")
@@ -27,11 +26,29 @@ class Report:
     dropped: list[date]
 
 
+def week_hashes(rows: DataFrame) -> DataFrame:
+    """Per week the number of rows and a hash of them in any order: sums of the halves of two row hashes.
+
+    It tells changes apart within the index, where ``canonical_hash``, which is kept for others to
+    compare, would spell every row as JSON.  Which columns are null is hashed too, as nulls are not.
+    """
+    columns = [F.col(c) for c in STABLE]
+    nulls = F.array(*[c.isNull() for c in columns])
+    both = [F.xxhash64(F.lit(seed), *columns, nulls) for seed in (1, 2)]
+    halves = [half for h in both for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    sums = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), *[F.sum(half).alias(f"_{k}") for k, half in enumerate(halves)])
+    return sums.select("d", "n", F.concat_ws("-", *[F.hex(f"_{k}") for k in range(len(halves))]).alias("hash"))
+
+
 def weekly_states(obs: DataFrame) -> DataFrame:
-    """Per product and week: last title and category with their place, observations, exact low, and the same as a span."""
+    """Per product and week: last title and category with their place, observations, exact low, and the same as a span.
+
+    Rows are dealt by week, as they are stored, once: a product has few rows a week, so that partial
+    states would be sorted without becoming fewer.
+    """
     at = F.struct("d", "l_orderkey", "l_linenumber")
     exact = F.when(F.col("gpf").isNull(), F.col("gp"))
-    found = obs.groupBy("key", "d").agg(
+    found = obs.repartition("d").groupBy("d", "key").agg(
         F.max_by("title", at).alias("title"), F.max_by("cat", at).alias("cat"), F.max("unit").alias("unit"),
         F.count(F.lit(1)).alias("n_obs"), F.min(exact).alias("low"), F.max(at).alias("named_at"),
     )
@@ -41,7 +58,7 @@ def weekly_states(obs: DataFrame) -> DataFrame:
 
 def merged(states: DataFrame) -> DataFrame:
     """States of the same products over different weeks as one state each; states of any span merge in any order."""
-    return states.groupBy("key").agg(
+    return states.repartition("key").groupBy("key").agg(
         F.max_by("title", "named_at").alias("title"), F.max_by("cat", "named_at").alias("cat"), F.max("unit").alias("unit"),
         F.sum("weeks").alias("weeks"), F.sum("n_obs").alias("n_obs"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.max_by("latest", "latest_d").alias("latest"), F.max("latest_d").alias("latest_d"), F.min("first_d").alias("first_d"), F.max("last_d").alias("last_d"), F.max("named_at").alias("named_at"),
@@ -92,13 +109,13 @@ class ProductIndex:
         known, stamps = {r.d: r for r in self.ledger().collect()}, self._stamps()
         dropped = sorted(set(known) - set(stamps))
         touched = sorted(d for d, stamp in stamps.items() if d not in known or known[d].stamp != stamp)
-        hashes = {r.d: r for r in canonical_hash(self._rows(touched), "d", list(STABLE)).collect()} if touched else {}
+        hashes = {r.d: r for r in week_hashes(self._rows(touched)).collect()} if touched else {}
         changed = [d for d in touched if d not in known or known[d].hash != hashes[d].hash]
         if not touched and not dropped and known:
             return Report([], [], [])
         folder = f"{self.path}/states/{uuid.uuid4().hex}"
         if changed:
-            weekly_states(self._rows(changed)).withColumn("week", F.col("first_d")).repartition("week").write.partitionBy("week").parquet(folder)
+            weekly_states(self._rows(changed)).withColumn("week", F.col("first_d")).write.partitionBy("week").parquet(folder)
         fresh = self._states([(d, folder) for d in changed])
         entries = [(d, stamps[d], hashes[d].hash, hashes[d].n, folder) if d in changed else (d, stamps[d], known[d].hash, known[d].n, known[d].folder) for d in sorted(stamps)]
         stale = [(d, known[d].folder) for d in sorted({*dropped, *changed} & set(known))]
