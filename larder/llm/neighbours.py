@@ -62,6 +62,13 @@ def prefixes(strings: np.ndarray, level: int | np.ndarray) -> np.ndarray:
     return np.where(np.asarray(level) > 0, strings >> (LEVELS - np.maximum(level, 1)), 0)
 
 
+def bucket_bounds(strings: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first string of the bucket that each string is in at its level, and the first one behind it."""
+    shift = np.where(levels > 0, LEVELS - levels, 62).astype(np.int64)
+    first = strings >> shift << shift
+    return first, first + (np.int64(1) << shift)
+
+
 def _as_matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
 
@@ -69,7 +76,7 @@ def _as_matrix(column: pa.Array, dims: int) -> np.ndarray:
 class Reached:
     """Candidates of queries, as columns: asker, rep, block, low and high bound of the cosine."""
 
-    NAMES = ["asker", "rep", "block", "low", "high"]
+    NAMES, SCHEMA = ["asker", "rep", "block", "low", "high"], "asker long, rep long, block long, low float, high float"
 
     def __init__(self, k: int):
         self.k = k
@@ -82,13 +89,12 @@ class Reached:
         error = off[q] + off[near] + off[q] * off[near]
         low, high = scores - error, scores + error
         some = high >= (np.partition(low, -self.k - 1)[-self.k - 1] if len(low) > self.k else -np.inf)
-        found = (np.full(some.sum(), rows["rep"][q]), rows["rep"][near[some]], rows["block"][near[some]], low[some], high[some])
+        found = (np.full(some.sum(), rows["asker"][q]), rows["rep"][near[some]], rows["block"][near[some]], low[some], high[some])
         for column, value in zip(self.columns, found):
             column.append(value)
 
-    def batch(self, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch | None:
-        """The candidates as rows of a wider table, null elsewhere."""
-        return _wider({n: np.concatenate(c) for n, c in zip(self.NAMES, self.columns)}, names, kinds) if self.columns[0] else None
+    def batch(self) -> pa.RecordBatch | None:
+        return _wider({n: np.concatenate(c) for n, c in zip(self.NAMES, self.columns)}, *_columns(self.SCHEMA)) if self.columns[0] else None
 
 
 def _wider(own: dict[str, np.ndarray], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -103,7 +109,8 @@ def _columns(schema: str) -> tuple[list[str], list[pa.DataType]]:
 
 
 COUNTED = "tree int, level int, prefix long, asker long, others long, block long, held long"
-FOUND = "asker long, rep long, block long, low float, high float, edge int, side int, tree int, string long, level int, scale float, off float, small binary"
+#: The block of a marker, which is no entry, and the ids by which markers stand before and behind all entries of a string.
+MARKER, BEFORE, BEHIND = -1, -(1 << 63), (1 << 63) - 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -227,7 +234,12 @@ class Forest:
         return rows.repartitionByRange(parts, "tree", "string", "rep").sortWithinPartitions("tree", "string", "rep")
 
     def arrays(self, entries: DataFrame, names: list[str], schema: str) -> DataFrame:
-        """A row for each entry and tree, with columns ``names``; ``levels``, a number a tree, becomes ``level``."""
+        """A row for each entry and tree, with columns ``names``.
+
+        ``levels``, a number a tree, becomes ``level`` and ``asker``.  A query that has a level also gets two
+        markers, before and behind all entries of the bucket there, so that the ranges in which its run
+        begins and ends have a row of it, wherever the arrays are cut.
+        """
 
         def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -239,7 +251,14 @@ class Forest:
                         own |= {n: part.column(n) for n in ["rep", "block", *names] if n != "levels"}
                         if "levels" in names:
                             own["level"] = pc.list_element(part.column("levels"), tree)
-                        yield pa.RecordBatch.from_pydict(own)
+                            own["asker"] = pc.if_else(own["level"].is_valid(), own["rep"], pa.scalar(None, pa.int64()))
+                        made = pa.RecordBatch.from_pydict(own)
+                        yield made
+                        if "levels" in names and (asks := made.filter(own["level"].is_valid())).num_rows:
+                            first, behind = bucket_bounds(asks["string"].to_numpy(), asks["level"].to_numpy())
+                            for string, rep in ((first, BEFORE), (behind - 1, BEHIND)):
+                                mark = {"string": string, "rep": np.full(len(string), rep), "block": np.full(len(string), MARKER)}
+                                yield pa.RecordBatch.from_arrays([pa.array(mark[n]) if n in mark else asks[n] for n in own], list(own))
 
         return entries.select("strings", "rep", "block", *names).mapInArrow(grow, f"tree int, string long, rep long, block long, {schema}")
 
@@ -256,68 +275,41 @@ class Forest:
         return deepest.unionByName(over).join(self.runs.select(*self.bucket, "block"), self.bucket).select("asker", "block").distinct()
 
     def found(self) -> DataFrame:
-        """Candidates from the sorted arrays (asker, rep, block, low, high): the runs that queries ascend to."""
-        k, reach, dims = self.k, self.budget + 1, self.dims
-        names, kinds = _columns(FOUND)
-        shallow = {r["tree"]: r["top"] for r in self.ascents.groupBy("tree").agg(F.min("level").alias("top")).collect()}  # a row a tree
-        strip_columns = ["tree", "string", "level", "rep", "block", "scale", "off", "small"]
+        """Candidates from the sorted arrays (asker, rep, block, low, high): the runs that queries ascend to.
 
-        def arrays_of(table: pa.Table) -> dict[str, np.ndarray]:
-            rows = {c: table[c].to_numpy() for c in ("tree", "string", "rep", "block", "off")}
-            small = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dims).astype(np.float32)
-            return rows | {"level": table["level"].fill_null(-1).to_numpy(), "x": small * table["scale"].to_numpy()[:, None]}
+        A run that goes on in another range is looked at there too, by the query's marker: queries
+        cross the edges of ranges, entries do not.
+        """
+        k, dims = self.k, self.dims
 
         def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Candidates within a range, and the rows at its ends for the edges (edge, side) with its neighbours:
-            those of the run that a query may ascend to across the edge."""
             held = [b for b in batches if b.num_rows]
             if not held:
                 return
             table = pa.Table.from_batches(held)
-            rows, reached = arrays_of(table), Reached(k)
-            trees, strings, levels = rows["tree"], rows["string"], rows["level"]
+            rows = {c: table[c].to_numpy() for c in ("tree", "string", "rep", "block", "off")}
+            small = np.frombuffer(b"".join(table["small"].to_pylist()), np.int8).reshape(-1, dims).astype(np.float32)
+            rows |= {"asker": table["asker"].fill_null(-1).to_numpy(), "level": table["level"].fill_null(-1).to_numpy(), "x": small * table["scale"].to_numpy()[:, None]}
+            reached, trees = Reached(k), rows["tree"]
             cuts = np.flatnonzero(np.concatenate(([True], trees[1:] != trees[:-1], [True]))).tolist()
             for a, b in zip(cuts, cuts[1:]):
-                asks = a + np.flatnonzero(levels[a:b] >= 0)
-                shift = np.where(levels[asks] > 0, LEVELS - levels[asks], 62)
-                prefix = strings[asks] >> shift
-                starts = a + np.searchsorted(strings[a:b], prefix << shift)
-                ends = a + np.searchsorted(strings[a:b], (prefix << shift) + (1 << shift.astype(np.int64)))
+                entries, asks = a + np.flatnonzero(rows["block"][a:b] != MARKER), a + np.flatnonzero(rows["level"][a:b] >= 0)
+                asks = asks[np.unique(rows["asker"][asks], return_index=True)[1]]  # once, however many rows it has here
+                bounds = bucket_bounds(rows["string"][asks], rows["level"][asks])
+                starts, ends = (np.searchsorted(rows["string"][entries], bound) for bound in bounds)
                 for q, lo, hi in zip(asks.tolist(), starts.tolist(), ends.tolist()):
-                    if hi - lo <= reach:
-                        reached.look(rows, q, np.arange(lo, hi))
-            if (batch := reached.batch(names, kinds)) is not None:
+                    if lo < hi:
+                        reached.look(rows, q, entries[lo:hi])
+            if (batch := reached.batch()) is not None:
                 yield batch
-            part = TaskContext.get().partitionId()
-            for edge, side, at, end in ((part, 1, 0, 0), (part + 1, 0, max(0, len(table) - reach), len(table) - 1)):
-                some, top = slice(at, at + reach), shallow.get(int(trees[end]), LEVELS)
-                open_ = (trees[some] == trees[end]) & (prefixes(strings[some], top) == prefixes(strings[end], top))
-                strip = table.slice(at, reach).filter(pa.array(open_))
-                own = {"edge": np.full(len(strip), edge), "side": np.full(len(strip), side)}
-                columns = [pa.array(own[n]).cast(t) if n in own else strip[n].combine_chunks().cast(t) if n in strip_columns else pa.nulls(len(strip), t) for n, t in zip(names, kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-        def across(key: tuple, table: pa.Table) -> pa.Table:
-            """Candidates that a query near an edge has beyond it, in the same tree's array."""
-            table = table.sort_by([("side", "ascending"), ("tree", "ascending"), ("string", "ascending"), ("rep", "ascending")])
-            rows, reached, cut = arrays_of(table), Reached(k), int((table["side"].to_numpy() == 0).sum())
-            place, trees, strings, levels = np.arange(len(table)), rows["tree"], rows["string"], rows["level"]
-            for q in np.flatnonzero(levels >= 0).tolist():
-                near = place[cut:] if q < cut else place[:cut]
-                near = near[(trees[near] == trees[q]) & (prefixes(strings[near], levels[q]) == prefixes(strings[q], levels[q]))]
-                if 0 < len(near) <= reach:
-                    reached.look(rows, q, near)
-            schema = pa.schema([(n, kinds[names.index(n)]) for n in Reached.NAMES])
-            batch = reached.batch(names, kinds)
-            return schema.empty_table() if batch is None else pa.Table.from_batches([batch]).select(Reached.NAMES)
-
-        tops = self.ascents.groupBy("asker").agg(F.map_from_entries(F.collect_list(F.struct("tree", "level"))).alias("tops"))
+
+        # buckets beyond the budget are scored whole, by blocks
+        tops = self.ascents.where(F.col("others") <= self.budget).groupBy("asker").agg(F.map_from_entries(F.collect_list(F.struct("tree", "level"))).alias("tops"))
         tops = tops.select(F.col("asker").alias("rep"), F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.element_at("tops", t)).alias("levels"))
         entries = self.entries.drop("embedding", "ids").join(tops, "rep", "left")
-        arrays = self.arrays(entries, ["scale", "off", "small", "levels"], "scale float, off float, small binary, level int")
-        found = stage(self.spark, self.sorted(arrays).mapInArrow(climb, FOUND), "forest-found")
-        beyond = found.where("edge is not null").groupBy("edge").applyInArrow(across, "asker long, rep long, block long, low float, high float")
-        return found.where("edge is null").select(*Reached.NAMES).unionByName(beyond).groupBy("asker", "rep", "block").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+        arrays = self.arrays(entries, ["scale", "off", "small", "levels"], "scale float, off float, small binary, level int, asker long")
+        found = stage(self.spark, self.sorted(arrays).mapInArrow(climb, Reached.SCHEMA), "forest-found")
+        return found.groupBy("asker", "rep", "block").agg(F.max("low").alias("low"), F.min("high").alias("high"))
 
     def scored(self) -> DataFrame:
         """The k + 1 best entries of each query at least, with exact cosines: asker, ids, score."""
