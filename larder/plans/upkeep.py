@@ -197,7 +197,7 @@ ARCHIVED = OBS + ", there AS (SELECT DISTINCT supp FROM obs WHERE supp % 3 <> 0)
 def _archived(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Offers by supplier, and a file for two of three suppliers and for ten that offer nothing.
 
-    Offers are joined and written once, the suppliers next; tasks write the files into ``FOLDERS`` folders.
+    Offers are joined and written once, the suppliers next; tasks write the files into ``FOLDERS`` folders, and list these.
     """
     folder = sinks.shared_folder(spark, "images")
     observations(spark, sf).select("d", "supp").write.parquet(f"{folder}/offers")
@@ -206,8 +206,8 @@ def _archived(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     seen = spark.read.parquet(f"{folder}/suppliers")
     kept = seen.where("supp % 3 <> 0").unionByName(seen.orderBy("supp").limit(10).select((-F.col("supp") - 1).alias("supp")))
     path = F.format_string("%02d/%d.img", F.pmod(F.col("supp"), F.lit(FOLDERS)), F.col("supp"))
-    files.store(kept.select(path.alias("path"), F.lit("x").alias("content")).repartition("path"), f"{folder}/files")
-    found = files.existing(spark, [f"{folder}/files"], "*.img")
+    files.store(kept.select(path.alias("path"), F.lit("x").alias("content")).repartition(FOLDERS, "path"), f"{folder}/files")
+    found = files.listed(spark.range(0, FOLDERS, 1, FOLDERS).select(F.format_string(f"{folder.replace('%', '%%')}/files/%02d", "id").alias("folder")), r"([^/]+)\.img$")
     return offers.select("d", F.col("supp").cast("string").alias("id")), found
 
 

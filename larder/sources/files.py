@@ -48,6 +48,24 @@ def existing(spark: SparkSession, folders: list[str], glob: str = "*", named: st
     return listed.select(folder.alias("folder"), F.regexp_extract("path", named, 1).alias("name"), "length", "path").where("name <> ''")
 
 
+def listed(folders: DataFrame, named: str = r"([^/]+)\.[^./]*$") -> DataFrame:
+    """Files right in folders (folder) that ``store`` wrote to, as ``existing`` has them; empty ones are passed over.
+
+    A task lists the folders of its partition, by the file systems of ``store``, so that no listing passes the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                files, root = fs.FileSystem.from_uri(folder)
+                found = [f for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.type == fs.FileType.File and f.size]
+                columns = [pa.array([folder] * len(found), pa.string()), pa.array([f.size for f in found], pa.int64()), pa.array([f"{folder}/{f.base_name}" for f in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["folder", "length", "path"])
+
+    found = folders.select("folder").mapInArrow(run, "folder string, length long, path string")
+    return found.select("folder", F.regexp_extract("path", named, 1).alias("name"), "length", "path").where("name <> ''")
+
+
 def _is_there(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
