@@ -21,7 +21,8 @@ TREES, BITS, PART_ROWS = 96, 24, 60_000
 LEVELS = 1 + BITS
 #: Entries of a block and queries of a task where dense buckets are scored whole; how many times the
 #: share of patternless data, and what part of the budget, a bucket exceeds to be dense (of a smaller
-#: one the trees, each with other entries, see all but exp(-8) of it).
+#: one the trees, each with other entries, see all but exp(-8) of it).  One of a whole string, which is
+#: looked at beyond the budget too, is dense above a tree's part of it, so that all together keep within it.
 BLOCK_ROWS, BLOCK_QUERIES, DENSE, PART_OF_BUDGET = 4096, 2048, 4, 8
 
 
@@ -185,7 +186,8 @@ class Forest:
         self.n = n = entries.count()
         self.budget = budget or budget_for(n)
         shares = [1.0] + [1 / (2 * dims) / 2**bit for bit in range(LEVELS)]
-        self.most_sparse = [math.inf] + [max(self.budget / PART_OF_BUDGET, DENSE * n * share) for share in shares[1:]]
+        parts = [PART_OF_BUDGET] * LEVELS + [TREES]
+        self.most_sparse = [math.inf] + [max(self.budget / part, DENSE * n * share) for part, share in zip(parts[1:], shares[1:])]
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns, planes = turns_for(dims)
@@ -225,7 +227,12 @@ class Forest:
         self.open = counts.where("asker is not null and others is null").select(*bucket, "asker")
         joined = self.open.join(self.totals, bucket).select("asker", *bucket, (F.col("total") - 1).alias("others")).where("others > 0")
         known = counts.where("others is not null").select("asker", *bucket, "others").unionByName(joined)
-        self.ascents = stage(spark, ascent(known, k, self.budget), "forest-ascents")
+        limit = F.element_at(F.array(*[F.lit(float(m)) for m in self.most_sparse]), F.col("level") + 1)
+        dense = self.totals.where(F.col("total") > limit).select(*bucket)
+        deepest = self.open.join(dense, bucket).groupBy("asker", "tree").agg(F.max(F.struct("level", "prefix")).alias("at"))
+        self.deepest = stage(spark, deepest.select("asker", "tree", "at.level", "at.prefix"), "forest-deepest")
+        within = self.deepest.select("asker", "tree", F.col("level").alias("dense"))
+        self.ascents = stage(spark, ascent(known, k, self.budget).join(within, ["asker", "tree"], "left"), "forest-ascents")
 
     def sorted(self, rows: DataFrame) -> DataFrame:
         """The trees' arrays, cut into ranges that hold several budgets, so that a run within it meets two at most."""
@@ -268,17 +275,16 @@ class Forest:
         These hold the deepest dense bucket of the query in each tree, and any bucket that the query
         ascends to and that exceeds the budget.
         """
-        limit = F.element_at(F.array(*[F.lit(float(m)) for m in self.most_sparse]), F.col("level") + 1)
-        dense = self.totals.where(F.col("total") > limit).select(*self.bucket)
-        deepest = self.open.join(dense, self.bucket).groupBy("asker", "tree").agg(F.max(F.struct("level", "prefix")).alias("at")).select("asker", "tree", "at.level", "at.prefix")
         over = self.ascents.where(F.col("others") > self.budget).select("asker", *self.bucket)
-        return deepest.unionByName(over).join(self.runs.select(*self.bucket, "block"), self.bucket).select("asker", "block").distinct()
+        return self.deepest.unionByName(over).join(self.runs.select(*self.bucket, "block"), self.bucket).select("asker", "block").distinct()
 
     def found(self) -> DataFrame:
         """Candidates from the sorted arrays (asker, rep, block, low, high): the runs that queries ascend to.
 
         A run that goes on in another range is looked at there too, by the query's marker: queries
-        cross the edges of ranges, entries do not.
+        cross the edges of ranges, entries do not.  A run within a dense bucket is left to the blocks,
+        which hold all of it: the 8 bits do not tell near copies apart, so that each tree would hand
+        all of them to each of their queries.
         """
         k, dims = self.k, self.dims
 
@@ -303,8 +309,9 @@ class Forest:
             if (batch := reached.batch()) is not None:
                 yield batch
 
-        # buckets beyond the budget are scored whole, by blocks
-        tops = self.ascents.where(F.col("others") <= self.budget).groupBy("asker").agg(F.map_from_entries(F.collect_list(F.struct("tree", "level"))).alias("tops"))
+        # buckets beyond the budget, and those within a dense one, are scored whole, by blocks
+        looks = self.ascents.where(F.col("others") <= self.budget).where("dense is null or level < dense")
+        tops = looks.groupBy("asker").agg(F.map_from_entries(F.collect_list(F.struct("tree", "level"))).alias("tops"))
         tops = tops.select(F.col("asker").alias("rep"), F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.element_at("tops", t)).alias("levels"))
         entries = self.entries.drop("embedding", "ids").join(tops, "rep", "left")
         arrays = self.arrays(entries, ["scale", "off", "small", "levels"], "scale float, off float, small binary, level int, asker long")
@@ -384,11 +391,12 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", budg
       together, a level at a time, until they give ``budget`` entries (``ascent``).  A second pass over
       the arrays, whose entries carry the vector in 8 bits a component and that vector's distance from
       it, looks at all entries of the buckets so reached, and none else.
-    * A bucket above one ``PART_OF_BUDGET``-th of the budget, and ``DENSE`` times what patternless data
-      would give its level, is dense.  Its entries stand in blocks by the string of the first tree;
-      a query is scored exactly against every entry of all blocks its deepest dense buckets touch, each
-      block once, so no pair is scored twice and the most work is that of brute force.  So are buckets
-      beyond the budget, to which a query ascends that has no k entries beside it below.
+    * A bucket above one ``PART_OF_BUDGET``-th of the budget (of whole strings: one ``TREES``-th), and
+      ``DENSE`` times what patternless data would give its level, is dense.  Its entries stand in blocks
+      by the string of the first tree; a query is scored exactly against every entry of all blocks its
+      deepest dense buckets touch, each block once, so no pair is scored twice and the most work is
+      that of brute force; the second pass leaves such buckets out.  So are buckets beyond the budget,
+      to which a query ascends that has no k entries beside it below.
     * Of the other candidates all whose approximate cosine, with its error bound, may belong to the
       k + 1 best get exact ones in double precision.
 
