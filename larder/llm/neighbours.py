@@ -21,8 +21,8 @@ TREES, BITS, PART_ROWS = 96, 24, 60_000
 LEVELS = 1 + BITS
 #: Entries of a block and queries of a task where dense buckets are scored whole; how many times the
 #: share of patternless data, and what part of the budget, a bucket exceeds to be dense (of a smaller
-#: one the trees, each with other entries, see all but exp(-8) of it).  One of a whole string, which is
-#: looked at beyond the budget too, is dense above a tree's part of it, so that all together keep within it.
+#: one the trees, each with other entries, see all but exp(-8) of it).  Where a tree has none, one of a whole
+#: string, looked at beyond the budget too, is dense above a tree's part of it: the rest keep within it together.
 BLOCK_ROWS, BLOCK_QUERIES, DENSE, PART_OF_BUDGET = 4096, 2048, 4, 8
 
 
@@ -186,8 +186,8 @@ class Forest:
         self.n = n = entries.count()
         self.budget = budget or budget_for(n)
         shares = [1.0] + [1 / (2 * dims) / 2**bit for bit in range(LEVELS)]
-        parts = [PART_OF_BUDGET] * LEVELS + [TREES]
-        self.most_sparse = [math.inf] + [max(self.budget / part, DENSE * n * share) for part, share in zip(parts[1:], shares[1:])]
+        self.most_sparse = [math.inf] + [max(self.budget / PART_OF_BUDGET, DENSE * n * share) for share in shares[1:]]
+        self.most_equal = max(self.budget / TREES, DENSE * n * shares[LEVELS])
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns, planes = turns_for(dims)
@@ -221,15 +221,15 @@ class Forest:
 
         self.bucket = bucket = ["tree", "level", "prefix"]
         light = self.arrays(self.entries, ["asked"], "asked boolean").select("tree", "string", "rep", "block", "asked")
-        self.counts = counts = stage(spark, counted(self.sorted(light), self.most_sparse), "forest-counts")
+        self.counts = counts = stage(spark, counted(self.sorted(light), [*self.most_sparse[:LEVELS], self.most_equal]), "forest-counts")
         self.runs = counts.where("held is not null").groupBy(*bucket, "block").agg(F.sum("held").alias("held"))
         self.totals = stage(spark, self.runs.groupBy(*bucket).agg(F.sum("held").alias("total")), "forest-totals")
         self.open = counts.where("asker is not null and others is null").select(*bucket, "asker")
         joined = self.open.join(self.totals, bucket).select("asker", *bucket, (F.col("total") - 1).alias("others")).where("others > 0")
         known = counts.where("others is not null").select("asker", *bucket, "others").unionByName(joined)
         limit = F.element_at(F.array(*[F.lit(float(m)) for m in self.most_sparse]), F.col("level") + 1)
-        dense = self.totals.where(F.col("total") > limit).select(*bucket)
-        deepest = self.open.join(dense, bucket).groupBy("asker", "tree").agg(F.max(F.struct("level", "prefix")).alias("at"))
+        dense = self.totals.withColumn("usual", F.col("total") > limit).where(F.col("usual") | ((F.col("level") == LEVELS) & (F.col("total") > self.most_equal)))
+        deepest = self.open.join(dense.drop("total"), bucket).groupBy("asker", "tree").agg(F.max(F.struct("usual", "level", "prefix")).alias("at"))
         self.deepest = stage(spark, deepest.select("asker", "tree", "at.level", "at.prefix"), "forest-deepest")
         within = self.deepest.select("asker", "tree", F.col("level").alias("dense"))
         self.ascents = stage(spark, ascent(known, k, self.budget).join(within, ["asker", "tree"], "left"), "forest-ascents")
@@ -391,12 +391,12 @@ def nearest(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", budg
       together, a level at a time, until they give ``budget`` entries (``ascent``).  A second pass over
       the arrays, whose entries carry the vector in 8 bits a component and that vector's distance from
       it, looks at all entries of the buckets so reached, and none else.
-    * A bucket above one ``PART_OF_BUDGET``-th of the budget (of whole strings: one ``TREES``-th), and
-      ``DENSE`` times what patternless data would give its level, is dense.  Its entries stand in blocks
-      by the string of the first tree; a query is scored exactly against every entry of all blocks its
-      deepest dense buckets touch, each block once, so no pair is scored twice and the most work is
-      that of brute force; the second pass leaves such buckets out.  So are buckets beyond the budget,
-      to which a query ascends that has no k entries beside it below.
+    * A bucket above one ``PART_OF_BUDGET``-th of the budget (of whole strings, in a tree that has no
+      such: one ``TREES``-th), and ``DENSE`` times what patternless data would give its level, is dense.
+      Its entries stand in blocks by the string of the first tree; a query is scored exactly against
+      every entry of all blocks its deepest dense buckets touch, each block once, so no pair is scored
+      twice and the most work is that of brute force; the second pass leaves such buckets out.  Buckets
+      beyond the budget, to which a query ascends that has no k entries beside it below, are scored so too.
     * Of the other candidates all whose approximate cosine, with its error bound, may belong to the
       k + 1 best get exact ones in double precision.
 

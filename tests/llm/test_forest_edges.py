@@ -32,11 +32,11 @@ def test_queries_cross_the_edges_of_ranges_and_entries_do_not(spark, monkeypatch
     assert cut.total() <= most * whole.total()
 
 
-@pytest.mark.parametrize("size", [20, 75, 150])
-def test_near_copies_are_not_handed_on_by_every_tree(spark, monkeypatch, size):
+@pytest.mark.parametrize("size, noise", [(20, 1e-4), (75, 1e-4), (150, 1e-4), (300, 0.03)])
+def test_near_copies_are_not_handed_on_by_every_tree(spark, monkeypatch, size, noise):
     """op5: each tree gave each query of a group all its near copies, as 8 bits do not tell them apart."""
     r = np.random.default_rng(7)
-    x = np.concatenate((r.standard_normal(8) + 1e-4 * r.standard_normal((size, 8)), r.standard_normal((700 - size, 8))))
+    x = np.concatenate((r.standard_normal(8) + noise * r.standard_normal((size, 8)), r.standard_normal((700 - size, 8))))
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     staged, stage = {}, neighbours.stage
 
